@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.chat_format import format_conversations
 from quern.llm.common import table
+from quern.llm.decontamination import leaks
+from quern.llm.line_dedup import dedup_lines
 from quern.llm.packing import pack
 from quern.llm.quality_rules import fit_quality_model, quality_rules
 from quern.llm.token_counts import token_counts
@@ -47,6 +49,10 @@ from marked group by conv_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules(docs.select("doc_id", "text"), fit_quality_model(docs, labels))
@@ -56,15 +62,47 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+_OP8_SQL = r"""
+with lines as (
+  select doc_id, text, i - 1 as pos, string_split(text, chr(10))[i] as line
+  from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as t(i)
+), worded as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from lines where regexp_matches(line, '[^\x20\x09-\x0D]')
+), summed as (
+  select *, row_number() over own as seq, sum(words) over own as upto from worded window own as (partition by doc_id order by pos)
+), ends as (
+  select a.doc_id, a.seq as first, min(b.seq) as last from summed a join summed b on a.doc_id = b.doc_id and b.seq between a.seq and a.seq + 49 and b.upto - a.upto + a.words >= 50 group by all
+  union
+  select b.doc_id, max(a.seq), b.seq from summed a join summed b on a.doc_id = b.doc_id and a.seq between b.seq - 49 and b.seq and b.upto - a.upto + a.words >= 50 group by b.doc_id, b.seq
+), runs as (
+  select e.doc_id, min(s.pos) as first, max(s.pos) as last, string_agg(s.line, chr(10) order by s.seq) as body
+  from ends e join summed s on s.doc_id = e.doc_id and s.seq between e.first and e.last group by e.doc_id, e.first, e.last
+), later as (
+  select doc_id, first, last from (select *, row_number() over (partition by body order by doc_id, first) as n from runs) where n > 1
+), gone as (
+  select distinct l.doc_id, l.pos from lines l join later r on l.doc_id = r.doc_id and l.pos between r.first and r.last
+)
+select l.doc_id, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as text,
+  count(*)::bigint as n_lines, count(g.pos)::bigint as n_deleted
+from lines l left join gone g on l.doc_id = g.doc_id and l.pos = g.pos group by l.doc_id
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_decontamination": op2_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1_SQL, "op8_line_dedup": _OP8_SQL}
