@@ -12,6 +12,7 @@ from quern.llm.common import table
 from quern.llm.decontamination import leaks
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.packing import pack
+from quern.llm.ppm_scoring import score_documents
 from quern.llm.quality_rules import fit_quality_model, quality_rules
 from quern.llm.token_counts import token_counts
 
@@ -53,6 +54,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules(docs.select("doc_id", "text"), fit_quality_model(docs, labels))
@@ -99,6 +104,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
