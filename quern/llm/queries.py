@@ -11,6 +11,7 @@ from quern.llm.chat_format import format_conversations
 from quern.llm.common import table
 from quern.llm.decontamination import leaks
 from quern.llm.line_dedup import dedup_lines
+from quern.llm.ngram_join import jaccard_classes
 from quern.llm.packing import pack
 from quern.llm.ppm_scoring import score_documents
 from quern.llm.quality_rules import fit_quality_model, quality_rules
@@ -54,6 +55,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
