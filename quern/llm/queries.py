@@ -16,6 +16,7 @@ from quern.llm.packing import pack
 from quern.llm.ppm_scoring import score_documents
 from quern.llm.quality_rules import fit_quality_model, quality_rules
 from quern.llm.token_counts import token_counts
+from quern.llm.toxicity import toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -102,6 +103,10 @@ from lines l left join gone g on l.doc_id = g.doc_id and l.pos = g.pos group by
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
