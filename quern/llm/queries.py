@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm.chat_format import format_conversations
 from quern.llm.common import table
 from quern.llm.decontamination import leaks
+from quern.llm.html_extraction import extract_pages
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.ngram_join import jaccard_classes
 from quern.llm.packing import pack
@@ -60,6 +61,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_html_extraction": op4_html_extraction,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
