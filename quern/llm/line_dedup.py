@@ -70,24 +70,31 @@ def _runs(docs: DataFrame, min_words: int) -> DataFrame:
         df = df.withColumn(f"names{k}", F.transform(below, _doubled(below, half)))
     lines = F.col("lines")
 
-    def run(start: Column, n: Column) -> Column:
-        name = F.lit(None).cast("struct<a:bigint,b:bigint>")
-        for k in range(levels):
-            names = F.col(f"names{k}")
-            name = F.when(n >= (1 << k), F.struct(n.alias("n"), F.get(names, start).alias("x"), F.get(names, start + n - (1 << k)).alias("y"))).otherwise(name) if k else F.struct(n.alias("n"), F.get(names, start).alias("x"), F.get(names, start + n - 1).alias("y"))
-        return F.when(n.isNotNull(), F.struct(name.alias("name"), F.get(lines, start).at.alias("first"), F.get(lines, start + n - 1).at.alias("last")))
-
-    def onward(x: Column, i: Column) -> Column:
-        return run(i, _shortest(F.slice(lines, i + 1, F.lit(min_words)), min_words))
-
     def backward(x: Column, i: Column) -> Column:
         low = F.greatest(F.lit(0), i - (min_words - 1))
         n = _shortest(F.reverse(F.slice(lines, low + 1, i - low + 1)), min_words)
-        return run(i - n + 1, n)
+        return F.struct(i.alias("end"), n.alias("n"))
+
+    df = df.withColumn("onward", F.transform(lines, lambda x, i: _shortest(F.slice(lines, i + 1, F.lit(min_words)), min_words)))
+    df = df.withColumn("backward", F.filter(F.transform(lines, backward), lambda x: x.n.isNotNull()))
+    spans = F.concat(
+        F.filter(F.transform("onward", lambda n, i: F.struct(i.alias("start"), n.alias("n"))), lambda x: x.n.isNotNull()),
+        # those that are shortest from their first line on too are there already
+        F.filter(F.transform("backward", lambda x: F.struct((x.end - x.n + 1).alias("start"), x.n.alias("n"))), lambda x: ~F.get(F.col("onward"), x.start).eqNullSafe(x.n)),
+    )
+
+    def covered(span: Column) -> Column:
+        """The two names of the largest level within the run, and its first and last line."""
+        end = span.start + span.n
+        first = second = F.lit(None).cast("struct<a:bigint,b:bigint>")
+        for k in range(levels):
+            names = F.col(f"names{k}")
+            first = F.when(span.n >= (1 << k), F.get(names, span.start)).otherwise(first)
+            second = F.when(span.n >= (1 << k), F.get(names, end - (1 << k))).otherwise(second)
+        return F.struct(span.n.alias("n"), first.alias("x"), second.alias("y"), F.get(lines, span.start).at.alias("first"), F.get(lines, end - 1).at.alias("last"))
 
-    found = F.array_distinct(F.concat(F.transform(lines, onward), F.transform(lines, backward)))
-    df = df.select("doc_id", "text_hash", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("run"))
-    name = _joined(F.col("run.name.x"), F.col("run.name.y"), F.col("run.name.n"))
+    df = df.select("doc_id", "text_hash", F.explode(F.transform(spans, covered)).alias("run"))
+    name = _joined(F.col("run.x"), F.col("run.y"), F.col("run.n"))
     df = df.select("doc_id", "text_hash", name.alias("name"), F.col("run.first").alias("first"), F.col("run.last").alias("last"))
     return df.select("doc_id", "text_hash", "name.a", "name.b", "first", "last")
 
