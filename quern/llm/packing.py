@@ -14,59 +14,111 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import CACHED_WORDS, stored, text_slices
+from quern.llm.common import stored, text_slices
 
-#: Words that are encoded with one call.
-_CALL = 4096
-_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+#: Pre-tokens that are encoded with one call, and words and pre-tokens that a worker remembers.
+_CALL, _WORDS, _PIECES = 4096, 400_000, 500_000
+#: Marks after a word, none of which the pattern treats alone.
+_MARKS = ".,;:!?"
+_END = "</w>"
 
 
-class WordEncoder(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes.
+class WordEncoder:
+    """The ids of texts, for a byte-pair tokenizer with word ends that drops white space.
 
-    Holds for tokenizers that drop white space and never join across it: there
-    the ids of a text are those of its words, one after the other.
+    Such a tokenizer gives a text the ids of its words, and a word the ids of
+    its pre-tokens, one after the other; so both are remembered, in two
+    generations: what was used since the last change of generations stays.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if "word_bpe" not in path:
-            probe = ["a b", "ab cd\n\tef", "it 's 12 34"]
-            whole = self.tokenizer.encode_batch(probe, add_special_tokens=False)
-            for text, encoded in zip(probe, whole, strict=True):
-                parts = self.tokenizer.encode_batch(text.split(), add_special_tokens=False)
-                if encoded.ids != [i for p in parts for i in p.ids]:
-                    raise ValueError(f"{path} joins words across white space")
-
-    def learn(self, words: list[str]) -> None:
-        for start in range(0, len(words), _CALL):
-            part = words[start : start + _CALL]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(encoded.ids, "<u4").tobytes()
+        described = json.loads(self.tokenizer.to_str())
+        splitter = next((x["pattern"]["Regex"] for x in described["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split" and x["invert"]), None)
+        if splitter is None or described["model"].get("end_of_word_suffix") != _END:
+            raise ValueError(f"{path} is no byte-pair tokenizer with word ends")
+        self.pattern = regex.compile(splitter)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_END)]] = True
+        self.special = [x["content"] for x in described["added_tokens"]]
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for start in range(0, len(pieces), _CALL):
+            part = pieces[start : start + _CALL]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part) and last[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * last).tolist()
+                self.pieces.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.pieces.update((x, self._alone(x)) for x in part)
+
+    def _learn(self, words: set[bytes]) -> None:
+        split: list[tuple[bytes, list[str]]] = []
+        new = set()
+        for word in words:
+            known = self.old_words.get(word)
+            if known is not None:
+                self.words[word] = known
+                continue
+            text = word.decode()
+            if "<" in text and any(x in text for x in self.special):
+                self.words[word] = self._alone(text)
+                continue
+            if not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
+                text = self.tokenizer.normalizer.normalize_str(text)  # lowers a final sigma otherwise than Python does
+            text = text.lower()
+            body = text.rstrip(_MARKS)
+            if body.isalpha():  # letters, and perhaps one run of marks
+                pieces = [body, text[len(body) :]] if len(body) < len(text) else [body]
+            else:
+                pieces = self.pattern.findall(text)
+            split.append((word, pieces))
+            for piece in pieces:
+                if piece not in self.pieces:
+                    old = self.old_pieces.get(piece)
+                    if old is None:
+                        new.add(piece)
+                    else:
+                        self.pieces[piece] = old
+        self._learn_pieces(list(new))
+        known = self.pieces.__getitem__
+        for word, pieces in split:
+            self.words[word] = b"".join(map(known, pieces)) if len(pieces) != 1 else known(pieces[0])
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """The ids of each text and the end id."""
+        """The ids of each text as little-endian unsigned 32-bit bytes, with the end id."""
         end = np.array([end_id], "<u4").tobytes()
-        split = [_SPACE.split(x) for x in texts]
-        new = {w for x in split for w in x}.difference(self)
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = {w for x in split for w in x}
-        self.learn(sorted(new))
-        return [b"".join(map(self.__getitem__, x)) + end for x in split]
+        split = [x.encode().split() for x in texts]
+        if len(self.words) >= _WORDS:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) >= _PIECES:
+            self.pieces, self.old_pieces = {}, self.pieces
+        self._learn({w for x in split for w in x}.difference(self.words))
+        known = self.words.__getitem__
+        return [b"".join(map(known, x)) + end for x in split]
 
 
 @lru_cache(maxsize=2)
