@@ -1,0 +1 @@
+"""Column functions over text, ranks and vectors."""

@@ -1,0 +1 @@
+"""Operators over DataFrames of documents, chunks, queries and ranks."""
