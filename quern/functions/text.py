@@ -21,6 +21,11 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c evaluated once: what a lambda takes from outside is evaluated again for each element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def occurrences(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -73,7 +78,7 @@ def estimate_tokens(c: Column, cjk: float = L.CHARS_PER_TOKEN_CJK, other: float
 def char_shingles(c: Column, n: int = 4) -> Column:
     """The set of n-character runs of the lower-cased text without white space; a text up to n characters is one itself."""
     t = F.regexp_replace(F.lower(text_of(c)), r"\s+", "")
-    runs = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
+    runs = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     return F.when(F.length(t) > n, F.array_distinct(runs)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 
@@ -135,8 +140,8 @@ def header_fields(c: Column, keys: list[str] = L.HEADER_KEYS, limit: int = 80) -
     known = F.array(*map(F.lit, keys))
     found = F.transform(F.slice(lines(c), 1, limit), lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), F.regexp_extract(x, pattern, 2).alias("v")))
     found = F.filter(found, lambda x: F.array_contains(known, x.k))
-    first = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y.k), x.k) == i + 1)
-    return F.map_from_entries(first)
+    first = lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y.k), x.k) == i + 1)
+    return F.map_from_entries(bound(found, first))
 
 
 def section_class(line: Column) -> Column:

@@ -1,10 +1,549 @@
-"""The queries of the library's own operators, and the same in SQL."""
+"""The queries of the library's own operators over the driver's tables, and the same in SQL.
+
+Documents stand in for articles: source is the journal, and the publication
+year is 1992 + doc_id modulo 35.  Items of benchmark are keyword queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import lexicon as L
+from quern.functions import text as T
+from quern.operators import bm25, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
+from quern.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: What several statements below share.
+_STOP = "(" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + ")"
+_TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[-''][a-z0-9]+)*'), lambda t: length(t) >= 2 and t not in {_STOP})"
+_BM25 = f"""
+docs as (select doc_id, {_TOKENS} as tokens from documents),
+size as (select count(*) as n, avg(len(tokens)) as a from docs),
+postings as (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from docs) group by all),
+terms as (select term, count(*) as df from postings group by term),
+idfs as (select term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from terms, size),
+wanted as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({_TOKENS}) as term from benchmark) group by all),
+scored as (
+  select query_id, p.doc_id as doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.tokens) / a))), 6) as score
+  from postings p join wanted w using (term) join idfs using (term) join docs d on d.doc_id = p.doc_id, size group by all
+)"""
+_COSINE = "round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6)"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \n\t\r]+'), lambda w: w <> '')"
+
+
+def _register(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").withColumn("pub_year", (F.lit(1992) + F.col("doc_id") % 35).cast("int")).withColumnRenamed("source", "journal")
+
+
+# ---- profiling
+
+
+@_register("profile_missingness", """
+with own as (select d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic from documents d left join labels l using (doc_id)),
+long as (select field, value from (select text, lang, source, quality::varchar as quality, toxic::varchar as toxic from own) unpivot include nulls (value for field in (text, lang, source, quality, toxic)))
+select field, sum(case when coalesce(value, '') = '' then 1 else 0 end)::bigint as n_empty, round(avg(case when coalesce(value, '') = '' then 1.0 else 0 end), 6) as empty_rate from long group by field
+""")
+def profile_missingness(spark, sf_dir):
+    own = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return profile.missingness(own, ["text", "lang", "source", "quality", "toxic"])
+
+
+@_register("profile_positive_rates", """
+select 'quality' as field, sum(quality)::bigint as n, round(avg(quality), 6) as rate from labels union all select 'toxic', sum(toxic)::bigint, round(avg(toxic), 6) from labels
+""")
+def profile_positive_rates(spark, sf_dir):
+    return profile.positive_rates(_table(spark, sf_dir, "labels"), ["quality", "toxic"])
+
+
+@_register("profile_length_quantiles", """
+select lang, count(*) as n, round(quantile_cont(n_chars, 0.0), 6) as p0, round(quantile_cont(n_chars, 0.05), 6) as p5, round(quantile_cont(n_chars, 0.25), 6) as p25, round(quantile_cont(n_chars, 0.5), 6) as p50,
+  round(quantile_cont(n_chars, 0.75), 6) as p75, round(quantile_cont(n_chars, 0.9), 6) as p90, round(quantile_cont(n_chars, 0.95), 6) as p95, round(quantile_cont(n_chars, 0.99), 6) as p99, round(quantile_cont(n_chars, 1.0), 6) as p100,
+  round(avg(n_chars), 6) as mean, round(stddev_pop(n_chars), 6) as stddev, median(n_chars)::double as median from documents group by lang
+""")
+def profile_length_quantiles(spark, sf_dir):
+    return profile.quantile_table(_table(spark, sf_dir, "documents"), F.col("n_chars"), ["lang"])
+
+
+@_register("profile_length_histogram", """
+with binned as (select (n_chars >= 0)::int + (n_chars >= 500)::int + (n_chars >= 1000)::int + (n_chars >= 2000)::int + (n_chars >= 5000)::int + (n_chars >= 20000)::int - 1 as bin from documents)
+select bin::int as bin, [0.0, 500, 1000, 2000, 5000, 20000][bin + 1]::double as low, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from binned where bin >= 0 group by bin
+""")
+def profile_length_histogram(spark, sf_dir):
+    return profile.histogram(_table(spark, sf_dir, "documents"), F.col("n_chars"), [0, 500, 1000, 2000, 5000, 20000])
+
+
+@_register("profile_lang_counts", "select lang, count(*) as n, count(distinct source) as n_sources from documents group by lang")
+def profile_lang_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+
+
+@_register("profile_strata", """
+with own as (select doc_id, n_chars, row_number() over (order by n_chars, doc_id) - 1 as pos, count(*) over () as n from documents)
+select doc_id, n_chars, ((pos >= n // 3)::int + (pos >= 2 * n // 3)::int)::int as stratum from own
+""")
+def profile_strata(spark, sf_dir):
+    return profile.strata(_table(spark, sf_dir, "documents"), "n_chars")
+
+
+@_register("profile_encoding", r"""
+select count(*) as n, 0::bigint as n_bad_bytes, count_if(text like '%�%' or text like '%Ã©%' or text like '%Ã¨%' or text like '%â€™%' or text like '%â€œ%' or text like '%ï¿½%') as n_mojibake,
+  count_if(regexp_matches(text, '[\x{4e00}-\x{9fff}]')) as n_cjk from documents
+""")
+def profile_encoding(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return profile.encoding_health(docs.withColumn("raw", F.col("text").cast("binary")), "raw")
+
+
+_NOISE = "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(L.NO_ACRONYMS)) + ")"
+
+
+@_register("profile_acronyms", f"""
+with found as (select doc_id, unnest(list_filter(regexp_extract_all(regexp_replace(coalesce(text, ''), '([A-Za-z0-9_]+)', ' \\1 ', 'g'), ' ([A-Z0-9]{{2,12}}) ', 1), lambda t: regexp_matches(t, '[A-Z]') and t not in {_NOISE})) as acronym from documents)
+select acronym, count(*) as n, count(distinct doc_id) as n_docs from found group by acronym
+""")
+def profile_acronyms(spark, sf_dir):
+    return profile.acronym_table(_table(spark, sf_dir, "documents")).select("acronym", "n", "n_docs")
+
+
+@_register("profile_concept_counts", """
+with c(concept, pattern) as (values ('the', 'the'), ('of', 'of'), ('de la', 'de la'), ('licence', 'licensed? under'), ('und', 'und'))
+select concept, sum(len(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9_])', '\\1\\1', 'g'), '(?:^|[^a-z0-9_])' || regexp_replace(pattern, ' ', '  ', 'g') || '(?:$|[^a-z0-9_])')))::bigint as n from documents, c group by concept
+""")
+def profile_concept_counts(spark, sf_dir):
+    return profile.concept_counts(_table(spark, sf_dir, "documents"), {"the": "the", "of": "of", "de la": "de la", "licence": "licensed? under", "und": "und"})
+
+
+@_register("profile_sections")
+def profile_sections(spark, sf_dir):
+    rows = [(1, "1. Introduction\nx\nMaterials and methods:\ny\nRESULTS\nz\nDiscussion\nReferences"), (2, "1 资料与方法\n文\nAim"), (3, "nothing here")]
+    return profile.section_matrix(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@_register("profile_header_kv", r"""
+select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(url, '^https?://([^/]+)/', 1) as host from pages
+""")
+def profile_header_kv(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"))
+
+
+@_register("header_fields")
+def header_fields(spark, sf_dir):
+    rows = [(1, "ISSN: 1-2\nDOI: a/b\nISSN: 9\nOther: x\nPublisher:  P ")]
+    return spark.createDataFrame(rows, "id long, text string").select("id", F.explode(T.header_fields(F.col("text"))).alias("key", "value"))
+
+
+@_register("clean_cascade", """
+select coalesce(case when doc_id in (3, 7) then 'excluded' when coalesce(text, '') = '' then 'no_text' when len(string_split(text, chr(10))) < 5 then 'short' when trim(text) = '' then 'empty_core' end, 'kept') as drop_reason, count(*) as n from documents group by 1
+""")
+def clean_cascade(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    own = filters.clean_cascade(docs, T.regions(F.col("text")).core, F.size(T.lines(F.col("text"))), [3, 7], min_lines=5)
+    return own.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))
+
+
+@_register("token_estimate", """
+select doc_id, (case when length(text) > 0 then floor((0 / 1.57 + length(text) / 5.03::double) * 1.3) + 1 else 0 end)::bigint as tokens from documents
+""")
+def token_estimate(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(T.text_of("text")).alias("tokens"))
+
+
+@_register("paragraph_units", r"""
+with p as (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[ \t]*(?:\n[ \t]*)+'), lambda p: trim(array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' '))), lambda p: p <> '') as u from documents)
+select doc_id, len(u)::int as n_paragraphs, coalesce(list_sum(list_transform(u, lambda x: length(x))), 0)::bigint as n_chars from p
+""")
+def paragraph_units(spark, sf_dir):
+    own = _table(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("u"))
+    return own.select("doc_id", F.size("u").alias("n_paragraphs"), F.aggregate("u", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
+
+
+@_register("removed_share", """
+select lang, round(100 * (1 - sum(length(string_split(text, chr(10))[1])) / sum(length(text))), 6) as removed_pct, round(sum(length(text)) / sum(len(regexp_extract_all(text, '[^ \\n\\t\\r]+'))), 6) as chars_per_word from documents group by lang
+""")
+def removed_share(spark, sf_dir):
+    own = T.text_of("text")
+    first = F.length(F.get(F.split(own, "\n"), F.lit(0)))
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(100 * (1 - F.sum(first) / F.sum(F.length(own))), 6).alias("removed_pct"), F.round(F.sum(F.length(own)) / F.sum(F.regexp_count(own, F.lit("[^ \\n\\t\\r]+"))), 6).alias("chars_per_word"))
+
+
+def _line_words(spark, sf_dir) -> DataFrame:
+    words = F.transform(F.split(T.text_of("text"), "\n"), lambda x: F.regexp_count(x, F.lit("[^ \\n\\t\\r]+")).cast("long"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.filter(words, lambda n: n > 0).alias("units"))
+
+
+@_register("pack_simulation")
+def pack_simulation(spark, sf_dir):
+    return profile.chunk_size_simulation(_line_words(spark, sf_dir), "units", [64, 128, 256, 512])
+
+
+@_register("smallest_chunk_size")
+def smallest_chunk_size(spark, sf_dir):
+    return profile.smallest_size(profile.chunk_size_simulation(_line_words(spark, sf_dir), "units", [64, 128, 256, 512]))
+
+
+# ---- chunks
+
+
+@_register("chunk_fixed_overlap", f"""
+with own as (select doc_id, {_WORDS} as w from documents where len({_WORDS}) > 0),
+spans as (select doc_id, w, greatest(0, ceil((len(w) - 16) / 112.0)::int - 1) + 1 as total, unnest(range(0, greatest(0, ceil((len(w) - 16) / 112.0)::int - 1) + 1)) as s from own)
+select doc_id || '_' || lpad(s::varchar, greatest(4, length(s::varchar))::int, '0') as chunk_id, doc_id, s::int as chunk_index, total::int as total_chunks, array_to_string(w[s * 112 + 1:s * 112 + 128], ' ') as text, len(w[s * 112 + 1:s * 112 + 128])::int as token_count from spans
+""")
+def chunk_fixed_overlap(spark, sf_dir):
+    return chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16)
+
+
+@_register("chunk_recursive")
+def chunk_recursive(spark, sf_dir):
+    return chunk.split_documents(_table(spark, sf_dir, "documents"), 128, 16).select("chunk_id", "doc_id", "chunk_index", "total_chunks", "token_count", "text")
+
+
+@_register("chunk_whole", f"select doc_id, doc_id::varchar as chunk_id, len({_WORDS})::int as token_count, contains(coalesce(text, ''), chr(9)) as is_table from documents")
+def chunk_whole(spark, sf_dir):
+    return chunk.whole_documents(_table(spark, sf_dir, "documents")).select("doc_id", "chunk_id", "token_count", "is_table")
+
+
+_CHUNKS = ORACLE_SQL["chunk_fixed_overlap"]
+
+
+@_register("chunk_quality", f"""
+with chunks as ({_CHUNKS}), flagged as (select concat_ws('|', case when trim(text) = '' then 'empty' end, case when token_count > 8192 then 'over_model_limit' when token_count > 512 then 'over_chunk_size' end, case when token_count > 0 and token_count < 20 then 'too_short' end,
+  case when text like '%�%' or text like '%Ã©%' or text like '%Ã¨%' or text like '%â€™%' or text like '%â€œ%' or text like '%ï¿½%' then 'mojibake' end) as issues from chunks)
+select issues, count(*) as n, round(100 * count(*) / sum(count(*)) over (), 6) as pct from flagged group by issues
+""")
+def chunk_quality(spark, sf_dir):
+    own = chunk.quality_issues(chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16)).groupBy("issues").agg(F.count("*").alias("n"))
+    total = own.agg(F.sum("n").alias("total"))
+    return own.crossJoin(F.broadcast(total)).select("issues", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("pct"))
+
+
+@_register("chunks_per_doc", f"""
+with chunks as ({_CHUNKS}), per as (select doc_id, count(*) as n from chunks group by doc_id)
+select count(*) as n_docs, round(avg(n), 6) as mean, quantile_cont(n, 0.5)::double as p50, max(n) as largest, count_if(n >= 3) as multi from per
+""")
+def chunks_per_doc(spark, sf_dir):
+    per = chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("n_docs"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("p50"), F.max("n").alias("largest"), F.count_if(F.col("n") >= 3).alias("multi"))
+
+
+@_register("adjacent_overlap", f"""
+with chunks as ({_CHUNKS}), pairs as (select doc_id, chunk_index, text as a, left(lead(text) over (partition by doc_id order by chunk_index), 400) as b from chunks)
+select doc_id, chunk_index, coalesce(list_max(list_filter(range(21, least(200, length(a)) + 1), lambda n: contains(b, right(a, n)))), 0)::int as overlap from pairs where b is not null
+""")
+def adjacent_overlap(spark, sf_dir):
+    return chunk.adjacent_overlap(chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16))
+
+
+@_register("neighbour_similarity", f"""
+with chunks as ({_CHUNKS}), flat as (select doc_id, chunk_index, regexp_replace(lower(text), '\\s+', '', 'g') as t from chunks),
+sets as (select doc_id, chunk_index, case when length(t) > 4 then list_distinct(list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4))) when length(t) > 0 then [t] else [] end as s from flat),
+pairs as (select doc_id, chunk_index, s, lead(s) over (partition by doc_id order by chunk_index) as n from sets)
+select doc_id, chunk_index, round(case when len(s) > 0 and len(n) > 0 then len(list_intersect(s, n)) / (len(s) + len(n) - len(list_intersect(s, n)))::double else 0 end, 6) as similarity from pairs where n is not null
+""")
+def neighbour_similarity(spark, sf_dir):
+    return chunk.neighbours(chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16))
+
+
+# ---- ranking
+
+
+def _index(spark, sf_dir) -> bm25.Index:
+    return bm25.build_index(_table(spark, sf_dir, "documents"))
+
+
+def _queries(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+
+
+@_register("bm25_terms", f"with {_BM25} select term, df, round(idf, 6) as idf from idfs")
+def bm25_terms(spark, sf_dir):
+    return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_register("bm25_stats", f"with {_BM25} select (select n from size) as n_docs, (select round(a, 6) from size) as average_length, (select count(*) from terms) as n_terms, (select count(*) from postings) as n_postings")
+def bm25_stats(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    sizes = index.terms.agg(F.count("*").alias("n_terms"), F.sum("df").cast("long").alias("n_postings"))
+    return sizes.select(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.average_length), 6).alias("average_length"), "n_terms", "n_postings")
+
+
+@_register("bm25_topk", f"with {_BM25} select * from (select *, row_number() over (partition by query_id order by score desc, doc)::int as rank from scored) where rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return bm25.search(_index(spark, sf_dir), _queries(spark, sf_dir), 10)
+
+
+@_register("bm25_topk_filtered", f"""
+with {_BM25} select * from (select s.*, row_number() over (partition by query_id order by score desc, doc)::int as rank from scored s where 1992 + doc % 35 between 2020 and 2023) where rank <= 10
+""")
+def bm25_topk_filtered(spark, sf_dir):
+    years = query.find_filters("2020-2023", L.YEAR_MAX)[0]
+    allowed = _articles(spark, sf_dir).where(filters.predicate(years)).select(F.col("doc_id").alias("doc"))
+    return bm25.search(_index(spark, sf_dir), _queries(spark, sf_dir), 10, allowed=allowed)
+
+
+@_register("bm25_overfetch", f"""
+with {_BM25}, fetched as (select * from (select *, row_number() over (partition by query_id order by score desc, doc) as r from scored) where r <= 50)
+select query_id, doc, score, row_number() over (partition by query_id order by score desc, doc)::int as rank from fetched where 1992 + doc % 35 >= 2020 qualify rank <= 10
+""")
+def bm25_overfetch(spark, sf_dir):
+    allowed = _articles(spark, sf_dir).where(filters.predicate({"pub_year": {"$gte": 2020}})).select(F.col("doc_id").alias("doc"))
+    return bm25.overfetch(bm25.scores(_index(spark, sf_dir), _queries(spark, sf_dir)), allowed, 10)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings")
+
+
+def _vector_queries(spark, sf_dir) -> DataFrame:
+    return _vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_VECTOR = f"select q.vec_id as query_id, v.vec_id as doc, {_COSINE} as score, row_number() over (partition by q.vec_id order by {_COSINE} desc, v.vec_id)::int as rank from embeddings q, embeddings v where q.vec_id % 100 = 0"
+
+
+@_register("vector_topk", f"{_VECTOR} qualify rank <= 10")
+def vector_topk(spark, sf_dir):
+    return vector.vector_search(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 10)
+
+
+@_register("vector_topk_filtered", f"{_VECTOR} and v.label in (1, 2) qualify rank <= 10")
+def vector_topk_filtered(spark, sf_dir):
+    return vector.vector_search(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir).where(filters.predicate({"label": {"$in": [1, 2]}})), 10)
+
+
+@_register("vector_self_check", f"""
+with best as ({_VECTOR} qualify rank = 1)
+select query_id, doc, score, case when query_id = doc then 'exact' when o.label = f.label then 'same_group' else 'cross_group' end as verdict from best join embeddings o on o.vec_id = query_id join embeddings f on f.vec_id = doc
+""")
+def vector_self_check(spark, sf_dir):
+    return vector.self_check(_vectors(spark, sf_dir))
+
+
+@_register("vector_stats", """
+with n as (select len(embedding) as d, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as l from embeddings)
+select count(*) as n, count_if(l = 0) as zero_vectors, min(d)::int as min_dim, max(d)::int as max_dim, round(min(l), 4) as min_norm, round(max(l), 4) as max_norm from n
+""")
+def vector_stats(spark, sf_dir):
+    return vector.vector_stats(_vectors(spark, sf_dir))
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    """Keyword lists of the items and vector lists of the vectors under the same ids."""
+    items = _queries(spark, sf_dir)
+    keyword = bm25.search(_index(spark, sf_dir), items, 20)
+    own = _vectors(spark, sf_dir).join(items.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = vector.vector_search(own, _vectors(spark, sf_dir), 20)
+    return fusion.union([fusion.path(near, 0, "vector", "vector"), fusion.path(keyword, 1, "bm25", "keyword")])
+
+
+_LISTS = f"""{_BM25}, near as (
+  select q.vec_id as query_id, 0 as path_idx, 'vector' as path, 'vector' as kind, v.vec_id as id, {_COSINE} as score, row_number() over (partition by q.vec_id order by {_COSINE} desc, v.vec_id) as rank
+  from embeddings q, embeddings v where q.vec_id in (select item_id from benchmark) qualify rank <= 20
+), lists as (
+  select * from near union all
+  select query_id, 1, 'bm25', 'keyword', doc, score, row_number() over (partition by query_id order by score desc, doc) as rank from scored qualify rank <= 20
+), once as (
+  select query_id, id, count(distinct path) as n_paths, min(path_idx * 1000 + rank) as seen from lists group by all
+)"""
+_RANKED = "select query_id, id, fused_score, n_paths, row_number() over (partition by query_id order by fused_score desc, seen, id)::int as fused_rank"
+_FUSED = ["query_id", "id", "fused_score", "n_paths", "fused_rank"]
+
+
+@_register("fusion_rrf", f"with {_LISTS}, f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 6) as fused_score from lists group by all) {_RANKED} from f join once using (query_id, id)")
+def fusion_rrf(spark, sf_dir):
+    return fusion.reciprocal_rank(_paths(spark, sf_dir)).select(*_FUSED)
+
+
+@_register("fusion_weighted", f"""
+with {_LISTS}, v as (select *, case when max(score) over w - min(score) over w < 1e-9 then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as value from lists window w as (partition by query_id, path_idx)),
+k as (select query_id, id, kind, max(value) as value from v group by all),
+f as (select query_id, id, round(sum(case kind when 'vector' then 0.7::double else 0.3::double end * value), 6) as fused_score from k group by all) {_RANKED} from f join once using (query_id, id)
+""")
+def fusion_weighted(spark, sf_dir):
+    return fusion.weighted(_paths(spark, sf_dir)).select(*_FUSED)
+
+
+@_register("fusion_simple", f"with {_LISTS}, f as (select query_id, id, round(1.0::double / row_number() over (partition by query_id order by seen, id), 6) as fused_score from once) {_RANKED} from f join once using (query_id, id)")
+def fusion_simple(spark, sf_dir):
+    return fusion.first_seen(_paths(spark, sf_dir)).select(*_FUSED)
+
+
+@_register("filter_in_years", "select doc_id, (1992 + doc_id % 35)::int as pub_year from documents where 1992 + doc_id % 35 in (2020, 2021, 2022, 2023)")
+def filter_in_years(spark, sf_dir):
+    return _articles(spark, sf_dir).where(filters.predicate(query.find_filters("trials 2020-2023", L.YEAR_MAX)[0])).select("doc_id", "pub_year")
+
+
+@_register("licence_gate", """
+select doc_id, coalesce(quality = 1 and not toxic = 1 and lang in ('en', 'de'), false) as allowed from documents left join labels using (doc_id)
+""")
+def licence_gate(spark, sf_dir):
+    own = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return own.select("doc_id", filters.licence_gate(F.col("quality") == 1, F.col("toxic") == 1, F.col("lang"), ["en", "de"]).alias("allowed"))
+
+
+_VENUES = "with v as (select source as venue, count(distinct doc_id) as n_docs from documents group by source) select venue, n_docs, round(least(1.0, 0.4 + 0.6 * ln(1 + n_docs) / ln(1 + max(n_docs) over ())), 4)::double as authority from v"
+
+
+@_register("venue_authority", _VENUES)
+def venue_authority(spark, sf_dir):
+    return rerank.venue_authority(_articles(spark, sf_dir))
+
+
+@_register("rerank_multicriteria", f"""
+with {_BM25}, venues as ({_VENUES}), first as (select query_id, doc as id, score, row_number() over (partition by query_id order by score desc, doc) as fused_rank from scored qualify fused_rank <= 20),
+criteria as (select query_id, id, fused_rank, coalesce(l.quality, 0)::double as raw, greatest(0.0, least(1.0, (id % 35) / 34.0::double)) as recency, authority from first join documents d on d.doc_id = id join venues on venue = d.source left join labels l on l.doc_id = id),
+normal as (select *, case when count(*) over w = 1 then raw when max(raw) over w - min(raw) over w < 1e-9 then 1.0 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end as relevance from criteria window w as (partition by query_id)),
+final as (select query_id, id, round(relevance * 0.6::double + recency * 0.25::double + authority * 0.15::double, 6) as rerank_score from normal)
+select query_id, id, rerank_score, row_number() over (partition by query_id order by rerank_score desc, id)::int as rerank_rank from final qualify rerank_rank <= 5
+""")
+def rerank_multicriteria(spark, sf_dir):
+    found = bm25.search(_index(spark, sf_dir), _queries(spark, sf_dir), 20).withColumnRenamed("doc", "id").withColumnRenamed("rank", "fused_rank")
+    articles = _articles(spark, sf_dir)
+    known = rerank.venue_authority(articles).select(F.col("venue").alias("journal"), F.col("authority").alias("known"))
+    rows = found.join(articles.select(F.col("doc_id").alias("id"), "journal", "pub_year"), "id").join(known, "journal", "left").join(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    rows = rows.withColumn("relevance", F.coalesce("quality", F.lit(0)).cast("double")).withColumn("recency", rerank.recency(F.col("pub_year"))).withColumn("authority", rerank.authority(F.col("journal"), F.col("known")))
+    return rerank.rerank(rows).select("query_id", "id", "rerank_score", "rerank_rank")
+
+
+# ---- context
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """The 12 best documents of each item with what a context needs."""
+    found = bm25.search(_index(spark, sf_dir), _queries(spark, sf_dir), 12).select("query_id", F.col("doc").alias("id"), F.col("score").alias("fused_score"))
+    rows = found.join(_articles(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "journal", "pub_year"), "id")
+    return rows.withColumn("doc_id", F.col("journal")).withColumn("source", F.col("id").cast("string"))
+
+
+@_register("dedup_greedy")
+def dedup_greedy(spark, sf_dir):
+    return context.greedy_dedup(context.context_rows(_results(spark, sf_dir))).select("query_id", "id", "relevance_score")
+
+
+_FIRST = f"with {_BM25}, first as (select query_id, doc as id, score, row_number() over (partition by query_id order by score desc, doc) as r from scored qualify r <= 12), rows as (select first.*, d.source, d.text from first join documents d on d.doc_id = id), ranked as (select *, row_number() over (partition by query_id, source order by score desc, id) as n from rows), chosen as (select query_id, id, source, text, n, round(score * pow(0.6, n - 1), 6) as diverse_score from ranked where n <= 3)"
+
+
+@_register("diversity_select", f"{_FIRST} select query_id, id, n::int as source_rank, diverse_score, row_number() over (partition by query_id order by diverse_score desc, id)::int as position from chosen")
+def diversity_select(spark, sf_dir):
+    return context.diversify(context.context_rows(_results(spark, sf_dir))).select("query_id", "id", "source_rank", "diverse_score", "position")
+
+
+@_register("context_budget", f"""
+{_FIRST}, placed as (select *, row_number() over (partition by query_id order by diverse_score desc, id) as position from chosen),
+blocks as (select query_id, id, position, floor(length('[' || position || '] 来源: ' || id || '（' || (1992 + id % 35) || ' / ' || source || '）' || chr(10) || trim(text) || chr(10)) as chars, '[' || position || '] 来源: ' || id || '（' || (1992 + id % 35) || ' / ' || source || '）' || chr(10) || trim(text) || chr(10) as block from placed),
+costed as (select query_id, id, position, (floor((2 / 1.57::double + (length(block) - 2) / 5.03::double) * 1.3) + 1)::bigint as tokens from blocks)
+select query_id, id, position::int as position, tokens from (select *, sum(tokens) over (partition by query_id order by position) as upto from costed) where upto <= 2500
+""".replace("floor(length('[' || position || '] 来源: ' || id || '（' || (1992 + id % 35) || ' / ' || source || '）' || chr(10) || trim(text) || chr(10)) as chars, ", ""))
+def context_budget(spark, sf_dir):
+    chosen = context.diversify(context.context_rows(_results(spark, sf_dir)))
+    return context.fill_budget(chosen).where("not truncated").select("query_id", "id", "position", "tokens")
+
+
+@_register("context_assembled")
+def context_assembled(spark, sf_dir):
+    return context.assemble(_results(spark, sf_dir)).drop("selected")
+
+
+@_register("source_stats", f"""
+{_FIRST}, per as (select query_id, source, count(*) as n from chosen group by all)
+select query_id, sum(n)::bigint as n_chunks, count(*) as unique_docs, (select min(1992 + id % 35)::varchar from chosen c where c.query_id = per.query_id) as year_min, (select max(1992 + id % 35)::varchar from chosen c where c.query_id = per.query_id) as year_max from per group by query_id
+""")
+def source_stats(spark, sf_dir):
+    return context.source_stats(context.diversify(context.context_rows(_results(spark, sf_dir)))).select("query_id", "n_chunks", "unique_docs", "year_min", "year_max")
+
+
+@_register("generated_answers")
+def generated_answers(spark, sf_dir):
+    built = context.assemble(_results(spark, sf_dir))
+    return generate.answer(built.join(_queries(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")).select("query_id", "answer", "warning")
+
+
+@_register("evidence_filter")
+def evidence_filter(spark, sf_dir):
+    rows = context.diversify(context.context_rows(_results(spark, sf_dir)))
+    ids = F.when(F.col("query_id") % 3 == 0, F.array(F.lit(1), F.lit(3))).when(F.col("query_id") % 3 == 1, F.array(F.lit(99)))
+    return generate.filter_context(rows, _queries(spark, sf_dir).select("query_id", ids.alias("ids"))).select("query_id", "id", "position", "filter_note")
+
+
+# ---- the rest
+
+
+@_register("anti_join_new_ids", "select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def anti_join_new_ids(spark, sf_dir):
+    return filters.new_ids(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"))
+
+
+@_register("topic_quota", """
+with fresh as (select doc_id, source, row_number() over (partition by source order by doc_id) as n from documents where doc_id not in (select doc_id from labels)) select doc_id, source from fresh where n <= 5
+""")
+def topic_quota(spark, sf_dir):
+    fresh = filters.new_ids(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filters.topic_quota(fresh.select("doc_id", "source", F.col("source").alias("topic_idx"), F.col("doc_id").alias("pos")), 5, 100_000).select("doc_id", "source")
+
+
+@_register("latest_version", "select o_custkey as key, max(struct_pack(d := o_orderdate, k := o_orderkey)).k as latest from orders group by o_custkey")
+def latest_version(spark, sf_dir):
+    found = io.latest_versions(_table(spark, sf_dir, "orders"), F.col("o_custkey"), F.struct("o_orderdate", "o_orderkey"))
+    return found.select("key", F.col("latest.o_orderkey").alias("latest"))
+
+
+@_register("turn_context", """
+select conv_id, turn, role, lag(role) over w as previous_role, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn rows unbounded preceding)::bigint as chars_so_far from conversations window w as (partition by conv_id order by turn)
+""")
+def turn_context(spark, sf_dir):
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", "role", F.lag("role").over(own).alias("previous_role"), F.sum(F.length(T.text_of("text"))).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("chars_so_far"))
+
+
+@_register("random_sample", "select doc_id from documents order by md5(doc_id::varchar || '42'), doc_id limit 20")
+def random_sample(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("42"))), "doc_id").limit(20)
+
+
+@_register("text_checksums", "select doc_id, md5(text) as digest, length(text) as n_chars, strlen(text)::int as n_bytes, len(string_split(text, chr(10)))::int as n_lines from documents")
+def text_checksums(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+@_register("term_hits", "select doc_id, (contains(lower(text), 'licen') or contains(lower(text), 'password')) as hit from documents")
+def term_hits(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.any_term(F.col("text"), ["licen", "PASSWORD"]).alias("hit"))
+
+
+@_register("embedded_items")
+def embedded_items(spark, sf_dir):
+    return models.embed(_queries(spark, sf_dir)).select("query_id", F.size("embedding").alias("dim"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@_register("query_enhance")
+def query_enhance(spark, sf_dir):
+    rows = [(1, "MI mortality after 2020"), (2, "二甲双胍对心血管疾病有何影响？"), (3, "T2DM and CKD 2020-2023 tables"), (4, ""), (5, "近五年 aspirin 出血"), (6, "MIDAS touch")]
+    return query.enhance(spark.createDataFrame(rows, "query_id long, text string"))
+
+
+@_register("json_repair")
+def json_repair(spark, sf_dir):
+    rows = [(1, '{"a": 1}'), (2, '```json\n{"a": [1, 2]}\n```'), (3, 'Well: {"a": 1} there'), (4, '{"a": 1,}'), (5, "{“a”: 1}"), (6, '{"a": {"b": [1, 2'), (7, '<think>x</think>{"a": 1}'), (8, "{'a': True}"), (9, "no")]
+    return spark.createDataFrame(rows, "id long, reply string").select("id", generate.json_udf(F.col("reply")).alias("json"))
