@@ -171,12 +171,6 @@ def first_year(c: Column) -> Column:
     return F.nullif(F.regexp_extract(text_of(c), "((?:19|20)[0-9]{2})", 1), F.lit(""))
 
 
-def recency(year: Column, low: int = L.YEAR_MIN, high: int = L.YEAR_MAX) -> Column:
-    """0 to 1 over the range of years, 0.5 for what is no year."""
-    y = year.cast("string").try_cast("int") if hasattr(year, "try_cast") else F.expr("null")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - low) / F.lit(float(high - low)))), F.lit(0.5))
-
-
 def is_table(c: Column) -> Column:
     return F.contains(c, F.lit("\t"))
 

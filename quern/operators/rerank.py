@@ -25,7 +25,8 @@ def authority(venue: Column, known: Column, top: list[str] = L.TOP_VENUES) -> Co
 
 def recency(year: Column, low: int = L.YEAR_MIN, high: int = L.YEAR_MAX) -> Column:
     """0 to 1 over the years, 0.5 where there is none; ``year`` is an integer or null."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (year - low) / F.lit(float(high - low)))), F.lit(0.5))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (year - low) / F.lit(float(high - low))))
+    return F.when(year.isNull(), F.lit(0.5)).otherwise(share)
 
 
 def rerank(candidates: DataFrame, top_n: int = 5, weights: dict[str, float] | None = None, normalize: bool = True, cut: int = 20, item: str = "id") -> DataFrame:
