@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import task
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -125,4 +127,4 @@ def format_conversations(turns: DataFrame, template: Template = marked_template,
                 rows = part.slice(start, 500).to_pylist()
                 yield pa.RecordBatch.from_pylist([one(r["conv_id"], r["turns"]) for r in rows], schema=schema)
 
-    return grouped.mapInArrow(run, "conv_id long, formatted string, spans array<array<long>>, loss_spans array<array<long>>, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at long")
+    return grouped.mapInArrow(task(run), "conv_id long, formatted string, spans array<array<long>>, loss_spans array<array<long>>, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at long")

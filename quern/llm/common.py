@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -15,14 +17,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that are handled together in a Python worker hold about this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 #: A worker forgets its word hashes when it holds so many.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: What a Python worker keeps from one task to the next, by operator; another operator's task drops it.
+_KEPT: dict[str, object] = {}
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def kept(name: str, make: Callable[[], object]):
+    """The worker's object of that name, made if it isn't there."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def task(function: Callable[[Batches], Batches], keeps: str = "") -> Callable[[Batches], Batches]:
+    """``function`` for mapInArrow: before it what other operators kept goes, after it memory goes back to the system."""
+
+    def run(batches: Batches) -> Batches:
+        for name in [x for x in _KEPT if not x.startswith(keeps or "\0")]:
+            del _KEPT[name]
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words seen lately."""
 

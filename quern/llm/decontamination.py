@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, folded_words, text_slices, window_hashes
+from quern.llm.common import WordHashes, folded_words, task, text_slices, window_hashes
 
 MIN_MATCH, THRESHOLD, BLOCK_WORDS = 5, 0.5, 1_000_000
 #: Slots of the table that most windows of clean documents don't get past.
@@ -182,7 +182,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, coverage double, tiles array<array<long>>"))
+        parts.append(docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, item_id long, coverage double, tiles array<array<long>>"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -199,5 +199,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
             for part, found in _matched(batches, sent.value, threshold):
                 yield part.filter(pa.array([not x for x in found], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(task(run), docs.schema)
     return out

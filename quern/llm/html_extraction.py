@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.llm.boosting import BoostedTrees, boost
-from quern.llm.common import slices
+from quern.llm.common import slices, task
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s>/]*+)[^>]*+(?:>|\Z)|([a-zA-Z][^\s>/]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|([a-zA-Z][^\s>/]*+)([^>]*+)(?:>|\Z))""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -364,4 +364,4 @@ def extract_pages(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFr
                 own = part.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(task(run), "page_id long, url string, text string, n_chars long")

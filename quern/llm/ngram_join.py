@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHashes, folded_words, mix64, stored, text_slices, window_hashes
+from quern.llm.common import WordHashes, folded_words, mix64, stored, task, text_slices, window_hashes
 from quern.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -148,7 +148,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, (_, t) in zip(columns, extra, strict=True))], names=[*part.schema.names, *(n for n, _ in extra)])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + "__row long, __n long, __a long, __b long, __sig binary")
+    return docs.mapInArrow(task(run), schema + "__row long, __n long, __a long, __b long, __sig binary")
 
 
 def _banded(representatives: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def _banded(representatives: DataFrame) -> DataFrame:
                 n = len(signature)
                 yield pa.RecordBatch.from_arrays([pa.array(band_keys(signature).ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int16), n)), pa.array(np.repeat(own.column(0).to_numpy(), BANDS))], schema=schema)
 
-    return representatives.select("row", "sig").mapInArrow(run, "key long, band short, row long")
+    return representatives.select("row", "sig").mapInArrow(task(run), "key long, band short, row long")
 
 
 def _units(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
@@ -232,7 +232,7 @@ def _candidates(members: DataFrame, threshold: float, tolerance: float) -> DataF
         if partners:
             yield flush()
 
-    return members.mapInArrow(run, "group long, row long, partners array<long>")
+    return members.mapInArrow(task(run), "group long, row long, partners array<long>")
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -270,7 +270,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                 linked = [x for x in rows if links[x]]
                 yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([find(x) for x in linked], pa.int64()), pa.array([links[x] for x in linked], pa.int64())], schema=schema)
 
-    return rows.mapInArrow(run, "row long, root long, n long")
+    return rows.mapInArrow(task(run), "row long, root long, n long")
 
 
 def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:

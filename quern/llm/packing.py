@@ -18,7 +18,6 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored, text_slices
+from quern.llm.common import kept, stored, task, text_slices
 
 #: Pre-tokens that are encoded with one call, and words and pre-tokens that a worker remembers.
 _CALL, _WORDS, _PIECES = 4096, 400_000, 500_000
@@ -121,11 +120,6 @@ class WordEncoder:
         return [b"".join(map(known, x)) + end for x in split]
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 class TournamentTree:
     """The room of each bin, and above it the largest room of either side."""
 
@@ -169,7 +163,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity:
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = _encoder(tokenizer), 0
+        encoder, row = kept(f"packing {tokenizer}", lambda: WordEncoder(tokenizer)), 0
         for part, texts in text_slices(batches):
             out: list[list] = [[] for _ in schema]
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts, end_id), strict=True):
@@ -180,7 +174,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(task(run, "packing "), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_size: int = 8192, seed: int = 7, with_ids: bool = False) -> DataFrame:

@@ -15,12 +15,11 @@ from __future__ import annotations
 import base64
 from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import CACHED_WORDS, text_slices
+from quern.llm.common import CACHED_WORDS, kept, task, text_slices
 
 
 class PieceCounter(dict):
@@ -91,7 +90,6 @@ class PieceCounter(dict):
         return value
 
 
-@lru_cache(maxsize=2)
 def rank_file_counter(path: str) -> PieceCounter:
     """The counter of a file of base64 pieces and ranks."""
     with open(path, "rb") as lines:
@@ -104,9 +102,9 @@ def token_counts(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
     schema = pa.schema([(id_column, pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = rank_file_counter(vocabulary)
+        counter = kept(f"token_counts {vocabulary}", lambda: rank_file_counter(vocabulary))
         for part, texts in text_slices(batches, text_column):
             split = [x.encode().split() for x in texts]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(map(len, split), pa.int64()), pa.array((sum(map(counter.__getitem__, x)) for x in split), pa.int64())], schema=schema)
 
-    return docs.select(field.name, text_column).mapInArrow(run, f"`{id_column}` long, n_words long, n_tokens long")
+    return docs.select(field.name, text_column).mapInArrow(task(run, "token_counts "), f"`{id_column}` long, n_words long, n_tokens long")

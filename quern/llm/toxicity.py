@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_bucket, slices
+from quern.llm.common import crc_bucket, slices, task
 
 SAMPLE, LANDMARKS = 3000, 400
 SPAN, DECAY, STRETCH = 6, 0.5, 12
@@ -273,7 +273,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int
             units = [" ".join(sorted({u for u in (x or "").lower().split() if len(u) <= 24})) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(units, pa.string())], schema=schema)
 
-    return [(r.toxic, r.units) for r in found.mapInArrow(run, "toxic int, units string").collect()]
+    return [(r.toxic, r.units) for r in found.mapInArrow(task(run), "toxic int, units string").collect()]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
@@ -292,4 +292,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks
                 yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], schema=schema)
 
     held_out = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(True))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(task(run), "doc_id long, held_out boolean, score double, predicted int")
