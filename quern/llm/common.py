@@ -136,6 +136,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with names of its own for all columns but doc_id and text, so that none clashes with an operator's."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import plain_names, stored
 
 #: A repeated run is deleted if it has this many words.
 MIN_WORDS = 50
@@ -107,30 +107,36 @@ def _deleted(docs: DataFrame, min_words: int) -> DataFrame:
     return runs.join(repeated, ["a", "b"]).where(~at.eqNullSafe(F.col("origin"))).select("doc_id", "text_hash", "first", "last").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the deduplicated text and two more columns: n_lines of the text before, n_deleted of these."""
+def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` under plain names with the deduplicated text, __n_lines of the text before and __n_deleted of these."""
+    docs = plain_names(docs)
     deleted = _deleted(docs, min_words)
     before = Window.partitionBy("doc_id", "text_hash").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.coalesce(F.max("last").over(before), F.lit(-1))
     gaps = deleted.withColumn("free", ends + 1).withColumn("new", F.greatest(F.lit(0), F.col("last") - F.greatest(ends, F.col("first") - 1)))
     # what is kept: the lines between the deleted runs, and those after the last of them
-    kept = gaps.groupBy("doc_id", "text_hash").agg(
+    kept = gaps.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.array_sort(F.collect_list(F.when(F.col("first") > F.col("free"), F.struct(F.col("free").alias("start"), (F.col("first") - F.col("free")).alias("n"))))).alias("__kept"),
         F.max("last").alias("__last"),
         F.sum("new").alias("__new"),
     )
-    kept = kept.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__hash")
-    lines = F.split("text", "\n")
-    text = docs.select("*", F.xxhash64("text").alias("__own")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    joined = docs.select("*", F.xxhash64("text").alias("__own")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    out = joined.withColumn("__lines", F.split("text", "\n"))
     n = F.size(F.col("__lines"))
-    tail = F.when(n > F.col("__last") + 1, F.slice("__lines", F.col("__last") + 2, n - F.col("__last") - 1)).otherwise(F.expr("array()").cast("array<string>"))
+    tail = F.when(n > F.col("__last") + 1, F.slice("__lines", F.col("__last") + 2, n - F.col("__last") - 1)).otherwise(F.array().cast("array<string>"))
     rest = F.concat(F.flatten(F.transform("__kept", lambda x: F.slice("__lines", x.start + 1, x.n))), tail)
-    out = text.withColumn("__lines", lines)
-    order = [F.when(F.col("__last").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*order, F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__new", F.lit(0)).cast("long").alias("n_deleted"))
+    text = F.when(F.col("__last").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    own = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*own, F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce("__new", F.lit(0)).cast("long").alias("__n_deleted"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the deduplicated text and the columns n_lines, of the text before, and n_deleted of these; columns of these names are replaced."""
+    docs = docs.drop("n_lines", "n_deleted")
+    return _rewritten(docs, min_words).toDF(*docs.columns, "n_lines", "n_deleted")
 
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of ``docs`` with the deduplicated text; rows that lost all of their words go."""
-    done = dedup_lines(docs, min_words)
-    return done.where((F.col("n_deleted") == 0) | F.col("text").rlike(WORD)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    done = _rewritten(docs, min_words).where((F.col("__n_deleted") == 0) | F.col("text").rlike(WORD))
+    return done.drop("__n_lines", "__n_deleted").toDF(*docs.columns)

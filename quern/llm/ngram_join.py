@@ -34,8 +34,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import WordHashes, folded_words, mix64, stored, task, text_slices, window_hashes
+from quern.llm.common import WordHashes, folded_words, mix64, plain_names, stored, task, text_slices, window_hashes
 from quern.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -147,8 +148,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
             row += len(sets)
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, (_, t) in zip(columns, extra, strict=True))], names=[*part.schema.names, *(n for n, _ in extra)])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(task(run), schema + "__row long, __n long, __a long, __b long, __sig binary")
+    kinds = {"__sig": T.BinaryType()}
+    return docs.mapInArrow(task(run), T.StructType([*docs.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n, _ in extra)]))
 
 
 def _banded(representatives: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Per row: doc_id; class_id, the least id that links of the threshold lead to; copy_id, the least id with
     the same shingles; n_copies, the rows with these; n_links, the other texts that it is linked with."""
-    rows, classes = _classes(docs, threshold, tolerance)
+    rows, classes = _classes(docs.select("doc_id", "text"), threshold, tolerance)
     own = classes.select("a", "b", "class_id", F.col("doc_id").alias("copy_id"), "n_copies", "n_links", F.lit(True).alias("found"))
     key = (rows["__a"] == own["a"]) & (rows["__b"] == own["b"])
     out = rows.select("doc_id", "__a", "__b", "__n").join(own, key, "left")
@@ -324,7 +325,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The rows of ``docs``, as they came, with one row left of every group that links or equal shingles connect."""
-    rows, classes = _classes(docs, threshold, tolerance)
+    rows, classes = _classes(plain_names(docs), threshold, tolerance)
     kept = classes.where("row = keeper").select(F.col("row").alias("__row"), F.lit(True).alias("__kept"))
     out = rows.join(kept, "__row", "left").where("__kept or __n = 0")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*plain_names(docs).columns).toDF(*docs.columns)
