@@ -23,13 +23,19 @@ def test_planted_rows(spark, data, tmp_path):
     """Copies, near copies, a leak and junk among clean documents."""
     import shutil
 
+    import random
+
     for t in ("labels", "benchmark"):
         shutil.copy(f"{data}/{t}.parquet", tmp_path)
-    clean = " ".join(f"clean{i} statement" for i in range(60))
-    near = clean.replace("clean30", "changed")
+    known = spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").select("doc_id")
+    words = sorted({w for r in spark.read.parquet(f"{data}/documents.parquet").join(known, "doc_id").collect() for w in r.text.split()})
+    rng = random.Random(6)
+    made = lambda: [rng.choice(words) for _ in range(120)]
+    clean = made()
+    near = [*clean[:60], "changed", *clean[61:]]
     item = spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").first().text
-    unique = lambda k: " ".join(f"only{k}x{i} words" for i in range(40))
-    rows = [(10**6, clean), (10**6 + 1, clean), (10**6 + 2, near), (10**6 + 3, unique(1) + "\n" + item), (10**6 + 4, unique(2)), (10**6 + 5, "few words"), (10**6 + 6, None)]
+    texts = [" ".join(clean), " ".join(clean), " ".join(near), " ".join(made()) + "\n" + item, " ".join(made()), "few words", None]
+    rows = [(10**6 + k, t) for k, t in enumerate(texts)]
     extra = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     spark.read.parquet(f"{data}/documents.parquet").unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
