@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quern.functions import lexicon as L
 from quern.functions import text as T
 from quern.operators import bm25, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
+from quern.plans import experiments
+from quern.plans.retrieval import Retriever
 from quern.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -532,6 +534,53 @@ def term_hits(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.any_term(F.col("text"), ["licen", "PASSWORD"]).alias("hit"))
 
 
+@_register("experiment_compare", """
+with scores as (select lang as setting, source as query_id, avg(n_chars) as score from documents group by all),
+best as (select query_id, first(setting order by score desc, setting) as setting from scores group by query_id), wins as (select setting, count(*) as wins from best group by setting),
+means as (select setting, count(distinct query_id) as n_queries, round(avg(score), 6) as mean_score from scores group by setting)
+select setting, n_queries, mean_score, round(mean_score - max(mean_score) over (), 6) as delta, coalesce(wins, 0) as wins from means left join wins using (setting)
+""")
+def experiment_compare(spark, sf_dir):
+    scores = _table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("setting"), F.col("source").alias("query_id")).agg(F.avg("n_chars").alias("score"))
+    return experiments.compare(scores)
+
+
+@_register("filter_compliance", "select source, round(avg(case when lang = 'en' then 1.0 else 0 end), 6) as compliance from documents group by source")
+def filter_compliance(spark, sf_dir):
+    return experiments.compliance(_table(spark, sf_dir, "documents"), F.col("lang") == "en", "source")
+
+
+@_register("chunk_renumber", f"""
+with chunks as ({_CHUNKS}), kept as (select doc_id, chunk_index as old_index from chunks where token_count >= 100),
+numbered as (select *, (row_number() over (partition by doc_id order by old_index) - 1)::int as chunk_index, count(*) over (partition by doc_id)::int as total_chunks from kept)
+select doc_id, old_index, chunk_index, total_chunks, doc_id || '_' || lpad(chunk_index::varchar, greatest(4, length(chunk_index::varchar))::int, '0') as chunk_id from numbered
+""")
+def chunk_renumber(spark, sf_dir):
+    kept = chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16).where("token_count >= 100").withColumn("old_index", F.col("chunk_index"))
+    return chunk.renumber(kept).select("doc_id", "old_index", "chunk_index", "total_chunks", "chunk_id")
+
+
+@_register("metadata_normalized", "select doc_id, coalesce(quality::varchar, '') as quality, coalesce(lang, '') as lang from documents left join labels using (doc_id)")
+def metadata_normalized(spark, sf_dir):
+    own = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "lang")
+    return io.normalized_metadata(own, ["quality", "lang"])
+
+
+def _retriever(spark, sf_dir) -> Retriever:
+    chunks = _articles(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "doc_id", "journal", F.col("pub_year").cast("string").alias("pub_year"), "lang", T.is_table(T.text_of("text")).alias("is_table"))
+    return Retriever.build(chunks)
+
+
+@_register("retrieved_candidates")
+def retrieved_candidates(spark, sf_dir):
+    return _retriever(spark, sf_dir).retrieve(_queries(spark, sf_dir)).select("query_id", "chunk_id", "fused_score", "fused_rank", "n_paths")
+
+
+@_register("search_results")
+def search_results(spark, sf_dir):
+    return _retriever(spark, sf_dir).search(_queries(spark, sf_dir)).select("query_id", "chunk_id", "rerank_score", "rerank_rank", "snippet")
+
+
 @_register("embedded_items")
 def embedded_items(spark, sf_dir):
     return models.embed(_queries(spark, sf_dir)).select("query_id", F.size("embedding").alias("dim"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
