@@ -108,8 +108,8 @@ def profile_strata(spark, sf_dir):
 
 
 @_register("profile_encoding", r"""
-select count(*) as n, 0::bigint as n_bad_bytes, count_if(text like '%�%' or text like '%Ã©%' or text like '%Ã¨%' or text like '%â€™%' or text like '%â€œ%' or text like '%ï¿½%') as n_mojibake,
-  count_if(regexp_matches(text, '[\x{4e00}-\x{9fff}]')) as n_cjk from documents
+select count(*) as n, 0::bigint as n_bad_bytes, count_if(text like '%�%' or text like '%Ã©%' or text like '%Ã¨%' or text like '%â€™%' or text like '%â€œ%' or text like '%ï¿½%')::bigint as n_mojibake,
+  count_if(regexp_matches(text, '[\x{4e00}-\x{9fff}]'))::bigint as n_cjk from documents
 """)
 def profile_encoding(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -242,7 +242,7 @@ def chunk_quality(spark, sf_dir):
 
 @_register("chunks_per_doc", f"""
 with chunks as ({_CHUNKS}), per as (select doc_id, count(*) as n from chunks group by doc_id)
-select count(*) as n_docs, round(avg(n), 6) as mean, quantile_cont(n, 0.5)::double as p50, max(n) as largest, count_if(n >= 3) as multi from per
+select count(*) as n_docs, round(avg(n), 6) as mean, quantile_cont(n, 0.5)::double as p50, max(n) as largest, count_if(n >= 3)::bigint as multi from per
 """)
 def chunks_per_doc(spark, sf_dir):
     per = chunk.word_windows(_table(spark, sf_dir, "documents"), 128, 16).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -344,7 +344,7 @@ def vector_self_check(spark, sf_dir):
 
 @_register("vector_stats", """
 with n as (select len(embedding) as d, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as l from embeddings)
-select count(*) as n, count_if(l = 0) as zero_vectors, min(d)::int as min_dim, max(d)::int as max_dim, round(min(l), 4) as min_norm, round(max(l), 4) as max_norm from n
+select count(*) as n, count_if(l = 0)::bigint as zero_vectors, min(d)::int as min_dim, max(d)::int as max_dim, round(min(l), 4) as min_norm, round(max(l), 4) as max_norm from n
 """)
 def vector_stats(spark, sf_dir):
     return vector.vector_stats(_vectors(spark, sf_dir))
