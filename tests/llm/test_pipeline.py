@@ -42,3 +42,15 @@ def test_planted_rows(spark, data, tmp_path):
     for _, stage in pipeline.STAGES[:-1]:
         docs = pipeline.stored(stage(spark, docs, str(tmp_path)), "stage")
     assert {r.doc_id - 10**6 for r in docs.where("doc_id >= 1000000").collect()} == {0, 4}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_odd_tables(spark, data, name):
+    from cases import documents, empty
+
+    stage = dict(pipeline.STAGES)[name]
+    docs = documents(spark)
+    out = stage(spark, docs, data)
+    assert out.count() <= docs.count() or name == "packing"
+    assert name == "packing" or out.columns == docs.columns
+    assert stage(spark, empty(spark), data).count() == 0
