@@ -21,6 +21,9 @@ SLICE_CHARS = 1_500_000
 #: A worker forgets its word hashes when it holds so many.
 CACHED_WORDS = 250_000
 
+#: Longer words aren't remembered.
+LONG_WORD = 100
+
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,9 +63,11 @@ class WordHashes(dict):
     """word -> 64-bit hash, kept for the words seen lately."""
 
     def __missing__(self, word):
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list) -> np.ndarray:

@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import kept, stored, task, text_slices
+from quern.llm.common import LONG_WORD, kept, stored, task, text_slices
 
 #: Pre-tokens that are encoded with one call, and words and pre-tokens that a worker remembers.
-_CALL, _WORDS, _PIECES = 4096, 400_000, 500_000
+_CALL, _WORDS, _PIECES = 4096, 800_000, 900_000
 #: Marks after a word, none of which the pattern treats alone.
 _MARKS = ".,;:!?"
 _END = "</w>"
@@ -40,6 +40,7 @@ class WordEncoder:
     Such a tokenizer gives a text the ids of its words, and a word the ids of
     its pre-tokens, one after the other; so both are remembered, in two
     generations: what was used since the last change of generations stays.
+    What is longer than LONG_WORD is forgotten after the call.
     """
 
     def __init__(self, path: str):
@@ -59,6 +60,8 @@ class WordEncoder:
         self.old_words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.long_words: list[bytes] = []
+        self.long_pieces: list[str] = []
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -103,6 +106,8 @@ class WordEncoder:
                     else:
                         self.pieces[piece] = old
         self._learn_pieces(list(new))
+        self.long_words = [w for w in words if len(w) > LONG_WORD]
+        self.long_pieces = [p for p in new if len(p) > LONG_WORD]
         known = self.pieces.__getitem__
         for word, pieces in split:
             self.words[word] = b"".join(map(known, pieces)) if len(pieces) != 1 else known(pieces[0])
@@ -117,7 +122,12 @@ class WordEncoder:
             self.pieces, self.old_pieces = {}, self.pieces
         self._learn({w for x in split for w in x}.difference(self.words))
         known = self.words.__getitem__
-        return [b"".join(map(known, x)) + end for x in split]
+        out = [b"".join(map(known, x)) + end for x in split]
+        for long in self.long_words:
+            self.words.pop(long, None)
+        for long in self.long_pieces:
+            self.pieces.pop(long, None)
+        return out
 
 
 class TournamentTree:

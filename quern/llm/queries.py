@@ -61,6 +61,33 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+_OP3_SQL = r"""
+with recursive worded as (
+  select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents
+), sets as (
+  select r, doc_id, list_sort(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as s from worded
+), classes as (
+  select s, min(doc_id) as copy_id, count(*) as n_copies from sets where len(s) > 0 group by s
+), shingles as (
+  select copy_id, len(s) as n, unnest(s) as x from classes
+), pairs as (
+  select a.copy_id as a, b.copy_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as n from shingles a join shingles b on a.x = b.x and a.copy_id < b.copy_id group by all
+), links as (
+  select a, b from pairs where n >= 0.8 * (na + nb - n) - 1e-9 union all select b, a from pairs where n >= 0.8 * (na + nb - n) - 1e-9
+), reached as (
+  select copy_id as a, copy_id as b from classes union select r.a, l.b from reached r join links l on r.b = l.a
+), groups as (
+  select a as copy_id, min(b) as class_id from reached group by a
+), counts as (
+  select a as copy_id, count(*) as n_links from links group by a
+)
+select t.doc_id, coalesce(g.class_id, t.doc_id) as class_id, coalesce(c.copy_id, t.doc_id) as copy_id,
+  coalesce(c.n_copies, 1)::bigint as n_copies, coalesce(n.n_links, 0)::bigint as n_links, len(t.s)::bigint as n_shingles
+from sets t left join classes c on t.s = c.s left join groups g on g.copy_id = c.copy_id left join counts n on n.copy_id = c.copy_id
+"""
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -129,4 +156,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1_SQL, "op8_line_dedup": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL}

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import CACHED_WORDS, kept, task, text_slices
+from quern.llm.common import CACHED_WORDS, LONG_WORD, kept, task, text_slices
 
 
 class PieceCounter(dict):
@@ -82,10 +82,10 @@ class PieceCounter(dict):
         return total
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         value = self.count(word)
-        if len(word) < 200:
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
             self[word] = value
         return value
 
