@@ -1,8 +1,8 @@
 """Inverted index and BM25 ranking.
 
-The index is three tables: postings (term, doc, tf), terms (term, df, idf) and
-docs (doc, len).  Scoring joins the few terms of the queries with the postings;
-statistics are those of the whole corpus also where candidates are filtered.
+The index is three tables: postings (term, doc, len, tf), terms (term, df, idf)
+and docs (doc, len).  A posting carries its document's length, so scoring joins
+only the few terms of the queries with the postings; statistics are those of the whole corpus also where candidates are filtered.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Postings by one pre-aggregating shuffle; documents without tokens count with length 0."""
     own = documents.select(F.col(doc_id).alias("doc"), tokens(F.col(text), stop_words).alias("tokens"))
     docs = own.select("doc", F.size("tokens").cast("long").alias("len"))
-    postings = own.select("doc", F.explode("tokens").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    postings = own.select("doc", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
     n, average = _size(docs)
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", inverse_frequency(F.col("df"), F.lit(n)))
     return Index(postings, terms, docs, n, average)
@@ -63,7 +63,7 @@ def scores(index: Index, queries: DataFrame, query_id: str = "query_id", text: s
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = wanted.join(index.terms, "term")
     postings = index.postings if allowed is None else index.postings.join(allowed, "doc", "left_semi")
-    found = postings.join(wanted, "term").join(index.docs, "doc")
+    found = postings.join(wanted, "term")
     length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(index.average_length or 1.0))
     part = F.col("times") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + length)
     return found.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
