@@ -41,6 +41,11 @@ def kept(name: str, make: Callable[[], object]):
     return _KEPT[name]
 
 
+def dropped(broadcast) -> None:
+    """Forgets the loaded value of a broadcast in this worker; another task loads it from its file again."""
+    broadcast.__dict__.pop("_value", None)
+
+
 def task(function: Callable[[Batches], Batches], keeps: str = "") -> Callable[[Batches], Batches]:
     """``function`` for mapInArrow: before it what other operators kept goes, after it memory goes back to the system."""
 
@@ -110,11 +115,11 @@ def slices(sizes: Iterable[int], most: int = SLICE_CHARS) -> Iterator[tuple[int,
         yield start, end
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Pieces of the batches with their texts as strings (null: empty), bounded in characters."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        for start, end in slices(lengths):
+        for start, end in slices(lengths, most):
             part = batch.slice(start, end - start)
             yield part, [x or "" for x in part.column(column).to_pylist()]
 
