@@ -32,10 +32,9 @@ def occurrences(c: Column, pattern: str) -> Column:
 
 def latin_tokens(c: Column, stop_words: Iterable[str] = L.STOP_WORDS) -> Column:
     """Lower-case words of two characters or more that aren't stop words, in order."""
-    stop = F.array(*map(F.lit, stop_words)) if stop_words else None
     found = F.regexp_extract_all(F.lower(text_of(c)), F.lit(f"({LATIN_WORD})"), F.lit(1))
-    long = F.filter(found, lambda t: F.length(t) >= 2)
-    return F.filter(long, lambda t: ~F.array_contains(stop, t)) if stop is not None else long
+    stop = list(stop_words or ())
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(stop) if stop else F.length(t) >= 2)
 
 
 def cjk_tokens(c: Column) -> Column:
