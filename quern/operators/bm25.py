@@ -41,8 +41,15 @@ def _size(docs: DataFrame) -> tuple[int, float]:
     return row.n, row.a or 0.0
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions, as from one small file; large tables are left alone."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stop_words: list[str] = L.STOP_WORDS) -> Index:
     """Postings by one pre-aggregating shuffle; documents without tokens count with length 0."""
+    documents = spread(documents.select(doc_id, text), doc_id)
     own = documents.select(F.col(doc_id).alias("doc"), tokens(F.col(text), stop_words).alias("tokens"))
     docs = own.select("doc", F.size("tokens").cast("long").alias("len"))
     postings = own.select("doc", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
