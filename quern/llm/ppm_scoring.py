@@ -1,10 +1,14 @@
 """LM scoring: prediction by partial matching over bytes, beside a word unigram.
 
 The model is a trie of byte contexts up to ``order`` bytes, trained on all
-training documents: their n-grams are counted in the tasks and summed in one
-shuffle, and those that occur often enough to fit ``max_grams`` entries (one
-least count for all lengths, so every suffix and prefix of an entry is in the
-trie too) go to the driver and to the tasks.  A byte is predicted from the
+training documents, with all their n-grams: it grows with the input and stands
+nowhere as a whole.  Documents form chunks of bounded size; each chunk's distinct
+n-grams go by the last two context bytes to the tasks that sum them.  Such a task
+has all that the contexts of two bytes and more with this end need, and gets the
+shorter ones, 256 ** 2 at most, from the driver; it sends each chunk the
+logarithms of its n-grams, with which the chunk's texts are scored.  Only a
+caller who gives ``max_grams`` has rare entries pruned (one least count for all
+lengths, so every suffix and prefix of an entry stays).  A byte is predicted from the
 longest known context; where it has not followed that context, an escape leads
 to the next shorter one, from which the bytes that the longer one has seen are
 excluded.  A symbol seen c times among n after a context with d different
@@ -22,23 +26,27 @@ has the probability 1 / 256.
 
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_bucket, dropped, stored, task, text_slices
+from quern.llm.common import crc_bucket, dropped, slices, stored, task, text_slices
 
-ORDER, MAX_GRAMS, MAX_HEAVY = 5, 1 << 21, 200_000
+ORDER, MAX_HEAVY = 5, 200_000
 #: Symbols that no UTF-8 text holds: what stands before a text, and what ends it.
 _BEFORE, _END = 0xFE, 0xFF
 _SYMBOLS = 256
 _SLICE_BYTES = 300_000
+#: Characters of a chunk; n-grams that are evaluated together, a bucket at least; bytes that wait in memory meanwhile.
+_CHUNK_CHARS, _TOGETHER, _WAITING = 16_000_000, 200_000, 32_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -186,40 +194,95 @@ class PartialMatching:
         return out
 
 
-def _partial_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(word, gram, n) of the rows of ``docs``, summed over each task's rows; one of word and gram is null."""
-    schema = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+class Keys:
+    """n-gram codes with the last two context bytes, their bucket, in front, so that sorted keys stand by bucket."""
+
+    def __init__(self, order: int):
+        self.ends = min(2, order)  # context bytes of the bucket
+        self.end_bits, self.rest_bits = np.uint64(8 * self.ends), np.uint64(8 * (order - self.ends + 1))
+        self.mask = np.uint64((1 << int(self.end_bits)) - 1)
+        self.rest_type = np.dtype("<u4" if self.rest_bits <= 32 else "<u8")
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        rest = (codes >> (self.end_bits + np.uint64(8)) << np.uint64(8)) | (codes & np.uint64(0xFF))
+        return ((codes >> np.uint64(8) & self.mask) << self.rest_bits) | rest
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        rest = keys & np.uint64((1 << int(self.rest_bits)) - 1)
+        return (rest >> np.uint64(8) << (self.end_bits + np.uint64(8))) | (keys >> self.rest_bits << np.uint64(8)) | (rest & np.uint64(0xFF))
+
+    def joined(self, buckets: np.ndarray, lengths: np.ndarray, rests: bytes) -> np.ndarray:
+        """The keys of rows of (bucket, bytes of the rests)."""
+        return (np.repeat(buckets.astype(np.uint64), lengths // self.rest_type.itemsize) << self.rest_bits) | np.frombuffer(rests, self.rest_type).astype(np.uint64)
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of consecutive pieces of ``values``; ``ends`` has where each ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _rows(schema: pa.Schema, n: int, /, **columns) -> pa.RecordBatch:
+    """A batch whose other columns are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+_CHUNKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+_CHUNKED_SQL = "chunk long, bucket int, grams binary, counts binary, word binary, gram long, n long, row long, doc_id long, held_out boolean, text string"
+
+
+def _chunked(docs: DataFrame, order: int) -> DataFrame:
+    """Rows of three kinds: the documents with their chunk (bucket -1); a chunk's n-grams of a bucket with their
+    counts in training documents; counts of words and of the n-grams that are shorter than a bucket's, of training documents."""
+    keys = Keys(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, codes, counts, read = Counter(), np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        words, low, read = Counter(), np.zeros(1 << 8 * keys.ends, np.int64), 0
+        chunk, row, chars, parts = TaskContext.get().partitionId() << 30, TaskContext.get().partitionId() << 40, 0, []
 
         def of_words():
-            n = len(words)
-            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(n, pa.int64()), pa.array(words.values(), pa.int64())], schema=schema)
+            out = _rows(_CHUNKED, len(words), word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
             words.clear()
             return out
 
-        def of_grams():
-            return pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes.astype(np.int64)), pa.array(counts)], schema=schema)
+        def of_chunk():
+            own, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            bucket = (own >> keys.rest_bits).astype(np.int32)
+            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(own))
+            rest = (own & np.uint64((1 << int(keys.rest_bits)) - 1)).astype(keys.rest_type)
+            return _rows(_CHUNKED, len(ends), chunk=pa.array(np.full(len(ends), chunk)), bucket=pa.array(bucket[ends - 1]), grams=_binary(rest, ends), counts=_binary(counts.astype("<u4"), ends))
 
-        for _, own in text_slices(batches, most=_SLICE_BYTES):
-            texts = [lowered(x) for x in own]
-            for text in texts:
-                words.update(text.split())
-            words[b""] += len(texts)  # the end
-            read += sum(map(len, texts))
-            new, often = np.unique(gram_codes(texts, order)[0], return_counts=True)
-            codes, counts = _summed(np.concatenate([codes, new]), np.concatenate([counts, often]))
+        for own, raw in text_slices(batches, most=_SLICE_BYTES):
+            held = own.column(2).to_pylist()
+            yield _rows(_CHUNKED, len(raw), chunk=pa.array(np.full(len(raw), chunk)), bucket=pa.array(np.full(len(raw), -1, np.int32)), row=pa.array(np.arange(row, row + len(raw))), doc_id=own.column(0).cast(pa.int64()), held_out=own.column(2), text=pa.array(raw, pa.string()))
+            row += len(raw)
+            for out in (False, True):
+                texts = [lowered(x) for x, h in zip(raw, held, strict=True) if h == out]
+                if not texts:
+                    continue
+                codes = gram_codes(texts, order)[0]
+                new, often = np.unique(keys.of(codes), return_counts=True)
+                parts.append((new, np.zeros(len(new), np.int64) if out else often.astype(np.int64)))
+                if not out:
+                    low += np.bincount((codes & keys.mask).astype(np.int64), minlength=len(low))
+                    for text in texts:
+                        words.update(text.split())
+                    words[b""] += len(texts)  # the end
+                    read += sum(map(len, texts))
+            chars += sum(map(len, raw))
+            if chars >= _CHUNK_CHARS:
+                yield of_chunk()
+                chunk, chars, parts = chunk + 1, 0, []
             if len(words) > 200_000 or read > 100_000_000:  # the second for long words
                 yield of_words()
                 read = 0
-            if len(codes) > 1_000_000:
-                yield of_grams()
-                codes, counts = codes[:0], counts[:0]
+        if parts:
+            yield of_chunk()
         yield of_words()
-        yield of_grams()
+        seen = np.flatnonzero(low) if keys.ends else np.empty(0, np.int64)
+        yield _rows(_CHUNKED, len(seen), gram=pa.array(seen), n=pa.array(low[seen]))
 
-    return docs.select("text").mapInArrow(task(run), "word binary, gram long, n long")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(task(run), _CHUNKED_SQL)
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -235,40 +298,149 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> PartialMatching:
-    """The trie from (gram, n) of the longest n-grams, all documents together."""
-    suffixes = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("code")) for j in range(order + 1))))
-    grams = stored(counts.select(suffixes.alias("x"), "n").groupBy("x.j", "x.code").agg(F.sum("n").alias("n")), "grams")
-    kept = grams.where(F.col("n") >= _least_count(grams, max_grams)).toArrow()
-    length, code, n = (kept.column(i).to_numpy() for i in range(3))
-    parts = []
-    for j in range(order + 1):
-        own = length == j
-        parts.append(_summed(code[own].astype(np.uint64), n[own].astype(np.int64)))
-    return PartialMatching(order, [p[0] for p in parts], [p[1] for p in parts])
+class _Buckets:
+    """The rows (chunk, bucket, grams, counts) of a task, sorted by bucket: whole buckets together, summed; the rows wait in a file."""
+
+    def __init__(self, keys: Keys):
+        self.keys = keys
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and their sums, for one or more whole buckets; ``waiting`` has their rows until the next ones are asked for."""
+        self._clear()
+        last = None
+        for batch in batches:
+            bucket = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if last is not None and bucket[start] != last and sum(len(p[0]) for p in self.parts) >= _TOGETHER:
+                    yield self._sum()
+                    self._clear()
+                last = bucket[start]
+                self._add(batch.slice(start, end - start))
+        if self.parts:
+            yield self._sum()
+        self.file.close()
+
+    def _clear(self) -> None:
+        self.parts, self.index, self.fresh = [], [], 0
+        self.file = tempfile.SpooledTemporaryFile(_WAITING)
+
+    def _sum(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts, self.fresh = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
+        return self.parts[0]
+
+    def _add(self, rows: pa.RecordBatch) -> None:
+        for at, size in slices(pc.binary_length(rows.column(2)).to_pylist(), 4_000_000):
+            part = rows.slice(at, size - at)
+            rests, lengths = b"".join(part.column(2).to_pylist()), pc.binary_length(part.column(2)).to_numpy()
+            buckets = part.column(1).to_numpy()
+            self.file.write(rests)
+            self.index.append((part.column(0).to_numpy(), buckets, lengths))
+            self.parts.append((self.keys.joined(buckets, lengths, rests), np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4").astype(np.int64)))
+            self.fresh += len(self.parts[-1][0])
+            if self.fresh > max(1_000_000, 2 * len(self.parts[0][0])):
+                self._sum()
+
+    def waiting(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
+        """(chunks, buckets, bytes of each row's rests, all these bytes)."""
+        self.file.seek(0)
+        for chunks, buckets, lengths in self.index:
+            yield chunks, buckets, lengths, self.file.read(int(lengths.sum()))
+
+
+def _by_length(codes: np.ndarray, counts: np.ndarray, most: int, least: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams with ``least`` to ``most`` context bytes that end those of ``most``, with their counts."""
+    out = []
+    for j in range(least, most + 1):
+        out.append(_summed(codes & np.uint64((1 << (8 * (j + 1))) - 1), counts))
+    return out
+
+
+def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int, max_grams: int | None) -> DataFrame:
+    """(chunk, bucket, logs): for each row of ``grams`` the log10 of each n-gram's last symbol."""
+    spark, keys = grams.sparkSession, Keys(order)
+    rows = grams.repartition("bucket").sortWithinPartitions("bucket")
+
+    def trained(found: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        seen = counts > 0
+        return _by_length(keys.codes(found[seen]), counts[seen], order, keys.ends)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _Buckets(keys).read(batches):
+            for _, n in trained(*found):
+                yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
+
+    least = 1
+    if max_grams is not None:
+        shorter = spark.createDataFrame([(int(n),) for _, counts in low for n in counts], "n long")
+        least = _least_count(stored(rows.mapInArrow(task(occurrences), "n long").unionByName(shorter), "occurrences"), max_grams)
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = _Buckets(keys)
+        for found, counts in waiting.read(batches):
+            parts = [(g[n >= least], n[n >= least]) for g, n in [*low, *trained(found, counts)]]
+            logs = PartialMatching(order, [p[0] for p in parts], [p[1] for p in parts]).log10(keys.codes(found))
+            for chunks, buckets, lengths, rests in waiting.waiting():
+                own = logs[np.searchsorted(found, keys.joined(buckets, lengths, rests))]
+                ends = np.cumsum(lengths) // keys.rest_type.itemsize
+                yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(buckets), _binary(own, ends)], schema=schema)
+
+    return rows.mapInArrow(task(run), "chunk long, bucket int, logs binary")
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, max_heavy: int = MAX_HEAVY) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, max_grams: int | None = None, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     held_out = F.coalesce(crc_bucket("doc_id", 10) == 0, F.lit(True))
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    counts = stored(_partial_counts(docs.where("not held_out"), order).groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
+    chunked = stored(_chunked(docs, order), "chunked")
+    counts = stored(chunked.where("n is not null").groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("word is not null").select("word", "n")
     size = words.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     tokens, kinds = size.n or 0, size.kinds
-    model = train(counts.where("gram is not null").select("gram", "n"), order, max_grams)
+    ends = Keys(order).ends
+    shortest = counts.where("gram is not null").select("gram", "n").toArrow()
+    low = _by_length(shortest.column(0).to_numpy().astype(np.uint64), shortest.column(1).to_numpy().astype(np.int64), ends - 1)
+    logs = _logs(chunked.where("grams is not null").select("chunk", "bucket", "grams", "counts"), low, order, max_grams)
     least = _least_count(words, max_heavy)
     heavy = {bytes(w): float(np.log10(n + 0.1)) for w, n in zip(*words.where(F.col("n") >= least).toArrow().to_pydict().values(), strict=True)}
-    sent = spark.sparkContext.broadcast((model, heavy))
+    sent = spark.sparkContext.broadcast(heavy)
     scale = float(np.log10(tokens + 0.1 * (kinds + 1)))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
 
+    keys = Keys(order)
+
+    def scored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Slices of a chunk's documents with the table of its n-grams and their logarithms, which come after them by bucket."""
+        docs, logs, last = [], [], None
+
+        def whole_chunk():
+            found = [np.unique(keys.of(gram_codes([lowered(x) for x in raw], order)[0])) for _, raw in text_slices(docs, most=_SLICE_BYTES)]
+            table, values = HashedCodes(np.unique(np.concatenate(found))), np.concatenate(logs)
+            for part, raw in text_slices(docs, most=_SLICE_BYTES):
+                yield part, raw, table, values
+
+        for batch in batches:
+            chunk, is_doc = batch.column(0).to_numpy(), batch.column(1).to_numpy() < 0
+            cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(chunk)] if len(chunk) else []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if chunk[start] != last:
+                    if docs:
+                        yield from whole_chunk()
+                    last, docs, logs = chunk[start], [], []
+                own = batch.slice(start, end - start)
+                if is_doc[start]:
+                    docs.append(own)
+                else:
+                    logs.append(np.frombuffer(b"".join(own.column("logs").to_pylist()), "<f8"))
+        if docs:
+            yield from whole_chunk()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, heavy = sent.value
-        row = TaskContext.get().partitionId() << 40
+        heavy = sent.value
         look = heavy.get
-        for own, raw in text_slices(batches, most=_SLICE_BYTES):
+        for own, raw, table, values_of in scored_slices(batches):
             texts = [lowered(x) for x in raw]
             n_tokens, known, logs, rest = [], [], [], []
             for text in texts:
@@ -284,15 +456,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GR
                     rest.append([])
                 known.append(len(values))
                 logs.append(sum(values))
-            codes, starts = gram_codes(texts, model.order)
-            scores = np.add.reduceat(model.log10(codes), starts)
-            rows = np.arange(row, row + len(texts))
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), own.column(0).cast(pa.int64()), own.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores), pa.array(rest, schema.field("rest").type)], schema=schema)
-        del model, heavy, look
+            codes, starts = gram_codes(texts, order)
+            scores = np.add.reduceat(values_of[table.find(keys.of(codes))], starts)
+            yield pa.RecordBatch.from_arrays([own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores), pa.array(rest, schema.field("rest").type)], schema=schema)
+        del heavy, look
         dropped(sent)  # the joins that follow need the memory
 
-    done = stored(docs.mapInArrow(task(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<word:binary,n:int>>"), "scored")
+    texts = chunked.where("bucket = -1").select("chunk", "bucket", "row", "doc_id", "held_out", "text")
+    together = texts.unionByName(logs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    done = stored(together.mapInArrow(task(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<word:binary,n:int>>"), "scored")
     rare = done.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     looked = rare.join(words.where(F.col("n") < least).withColumnRenamed("n", "c"), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import math
 import random
 import zlib
@@ -90,6 +91,24 @@ def test_pruned_model_stays_a_distribution(spark):
     assert all(math.isfinite(x) for x in pruned.values()) and pruned[1] < full[1]
 
 
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_scores_are_those_of_all_grams(spark, order, monkeypatch):
+    """Whatever the chunks and buckets, no entry is missing; a byte's n-grams must not be dropped by their number."""
+    monkeypatch.setattr("quern.llm.ppm_scoring._CHUNK_CHARS", 50)
+    monkeypatch.setattr("quern.llm.ppm_scoring._SLICE_BYTES", 20)
+    monkeypatch.setattr("quern.llm.ppm_scoring._TOGETHER", 5)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdE é\n") for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    got = {r.doc_id: r.score for r in score_documents(documents(spark, texts, [*range(80)]).repartition(3), order=order).collect()}
+    assert all(got[i] == pytest.approx(brute(train, t, order)) for i, t in enumerate(texts))
+
+
+def test_grams_have_no_limit():
+    defaults = inspect.signature(score_documents).parameters
+    assert defaults["max_grams"].default is None
+
+
 def test_odd_tables(spark):
     got = score_documents(documents(spark)).collect()
     assert len(got) == documents(spark).count() and all(math.isfinite(r.score) and r.score <= 0 for r in got)
