@@ -74,8 +74,8 @@ def embed(df: DataFrame, make: Callable[[], Embedder] = hashing_embedder, text:
     return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
-def relevance(df: DataFrame, score: Scorer = overlap_scorer, query: str = "query", text: str = "text", batch: int = 8, most_chars: int = 2000) -> Column:
-    """A column of scores of each row's text for its query."""
+def relevance(df: DataFrame, score: Scorer = overlap_scorer, query: str = "query", text: str = "text", batch: int = 8, most_chars: int | None = None) -> Column:
+    """A column of scores of each row's whole text for its query; ``most_chars`` is for a scorer that has a length limit."""
 
     def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, texts in series:

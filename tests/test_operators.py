@@ -230,6 +230,12 @@ def test_default_models(spark):
     assert [r.s for r in df.select(models.relevance(df).alias("s")).collect()] == [0.5, 0.0]
 
 
+def test_relevance_reads_whole_texts(spark):
+    df = spark.createDataFrame([("late words", "x " * 1500 + "late words"), ("late words", "x " * 1500)], "query string, text string")
+    assert [r.s for r in df.select(models.relevance(df).alias("s")).collect()] == [1.0, 0.0]
+    assert [r.s for r in df.select(models.relevance(df, most_chars=2000).alias("s")).collect()] == [0.0, 0.0]
+
+
 # ---- sources and resumable work
 
 
