@@ -12,8 +12,9 @@ The trees are trained here on pages of ``make_page``, which builds articles and
 what surrounds them in many ways and knows which run of text is which.
 
 Defined cases: a null or empty page gives an empty text; tags that were never
-closed end with the page, other end tags are ignored; scripts, styles and the
-like are no text; rows are extracted one by one; other columns are ignored.
+closed end with the page, other end tags are ignored; scripts, styles,
+titles, templates, text areas and frames are no text, all other elements are
+ordinary nodes (formulas: part of the run of text); rows are extracted one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s>/]*
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # HTML elements by kind.
-_RAW = frozenset("script style noscript template iframe svg math object canvas audio video select textarea title".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source map area label".split())
+_RAW = frozenset("script style template iframe textarea title".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source map area label math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts menclose".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAGS = "#text p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd div section article main nav header footer aside form fieldset button table tr td th blockquote pre figure figcaption address details summary body html".split()
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
@@ -94,6 +95,8 @@ class Page:
                 elif tag in _VOID:
                     if tag in ("hr", "input"):
                         flush()
+                elif attributes.endswith("/") and (tag == "svg" or "svg" in names):  # ends itself
+                    flush()
                 elif tag not in ("html", "head", "body") or tag == "body":
                     flush()
                     link_depth = 0

@@ -61,3 +61,10 @@ def test_rows(spark, trees):
     got = extract_pages(df, trees).collect()
     assert len(got) == 4 and got[0].text == "" and got[0].n_chars == 0 and got[1].n_chars == len(got[1].text) > 0
     assert extract_pages(df.where("false"), trees).count() == 0
+
+
+def test_only_raw_text_is_left_out():
+    page = "<body><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><object data=a>Fallback</object><svg><path d='M0'/><text>Label</text></svg><noscript><p>Plain</p></noscript><script>no</script><style>no</style><select><option>One<option>Two</select><p>Last</p>"
+    assert [x for x in Page(page).text if x] == ["Let x=1 be.", "Fallback", "Label", "Plain", "One", "Two", "Last"]
+    for tag in ("object", "select", "math", "svg", "video", "canvas", "audio", "noscript"):
+        assert "Rest of the page" in Page(f"<body><p>First</p><{tag}><p>Rest of the page</p></body>").text
