@@ -137,8 +137,7 @@ def profile_concept_counts(spark, sf_dir):
 
 @_register("profile_sections")
 def profile_sections(spark, sf_dir):
-    rows = [(1, "1. Introduction\nx\nMaterials and methods:\ny\nRESULTS\nz\nDiscussion\nReferences"), (2, "1 资料与方法\n文\nAim"), (3, "nothing here")]
-    return profile.section_matrix(spark.createDataFrame(rows, "doc_id long, text string"))
+    return profile.section_matrix(_table(spark, sf_dir, "documents"))
 
 
 @_register("profile_header_kv", r"""
@@ -151,8 +150,8 @@ def profile_header_kv(spark, sf_dir):
 
 @_register("header_fields")
 def header_fields(spark, sf_dir):
-    rows = [(1, "ISSN: 1-2\nDOI: a/b\nISSN: 9\nOther: x\nPublisher:  P ")]
-    return spark.createDataFrame(rows, "id long, text string").select("id", F.explode(T.header_fields(F.col("text"))).alias("key", "value"))
+    """A document without fields has one row, of nulls."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode_outer(T.header_fields(F.col("text"))).alias("key", "value"))
 
 
 @_register("clean_cascade", """
