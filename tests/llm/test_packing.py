@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from cases import documents, empty
 
-from quern.llm import packing
 from quern.llm.packing import TournamentTree, WordEncoder, first_fit_decreasing, pack
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -35,16 +34,15 @@ def test_tree_takes_the_first_bin_with_room():
     assert [tree.take(n) for n in (7, 7, 3, 3, 10)] == [0, 1, 0, 1, 2]
 
 
-def test_encoder_gives_the_tokenizers_ids(monkeypatch):
-    monkeypatch.setattr(packing, "_WORDS", 40)
-    monkeypatch.setattr(packing, "_PIECES", 40)
+def test_encoder_gives_the_tokenizers_ids():
     tokenizer, encoder = tokenizers.Tokenizer.from_file(PATH), WordEncoder(PATH)
     rng = random.Random(4)
-    odd = ["it's", "'tis", "!'s", "ΑΣ", "ΣΑΣ", "İx", "ǅ", "é", "é", "日本語", "123", "a1b2", "<|endoftext|>", "x<|startoftext|>y", "a\xa0b", "\x1c", "...", "_", "THE", "ﬁ", "don't.", "a-b"]
+    odd = ["it's", "'tis", "!'s", "ΑΣ", "ΣΑΣ", "İx", "ǅ", "é", "é", "日本語", "123", "a1b2", "<|endoftext|>", "x<|startoftext|>y", "a\xa0b", "\x1c", "...", "_", "THE", "ﬁ", "don't.", "a-b", "aaaaaaa", "x" * 150, "I\u0307", "I\u0307\u0323", "!!!???"]
     for _ in range(60):
         texts = [rng.choice([" ", "\n", "\t ", "  "]).join(rng.choice([*odd, f"w{rng.randrange(99)}"]) for _ in range(rng.randint(0, 12))) for _ in range(4)]
         want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
-        assert encoder.encode(texts, 2) == want
+        got = encoder.encode(texts, 2)
+        assert [got[i].tobytes() for i in range(len(got))] == want
 
 
 def test_every_id_lies_in_one_piece(spark):
@@ -76,6 +74,16 @@ def test_every_id_lies_in_one_piece(spark):
     assert pack(empty(spark), PATH).count() == 0
 
 
+def test_equal_rows_of_many_partitions_meet_in_no_group(spark):
+    docs = documents(spark, ["same text"] * 64, [1] * 64).repartition(32)
+    assert pack(docs, PATH, group_size=8).selectExpr("sequence_id >> 32 as g").distinct().count() > 1
+
+
+def test_ids_of_other_types(spark):
+    docs = documents(spark).selectExpr("concat('d', doc_id) as doc_id", "text")
+    assert {r.doc_id for r in pack(docs, PATH).select("doc_id").distinct().collect()} == {None, *(f"d{i}" for i in range(docs.count() - 1))}
+
+
 def test_repeated_rows_keep_their_pieces(spark):
     docs = documents(spark, ["a b"] * 50, [None] * 50)
     rows = pack(docs, PATH, group_size=8).collect()
