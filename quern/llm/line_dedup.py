@@ -1,24 +1,33 @@
 """Line dedup: later copies of repeated runs of lines are deleted, with DataFrame functions only.
 
-Each document is a sequence of line ids (128-bit hashes; lines without a word
-are skipped).  Prefix doubling gives every suffix of every sequence the name of
-its first 1, 2, 4, ... lines, each level from two names of the level below, so
-suffixes of one name are an interval of the suffix array in which the longest
-common prefix is that long or longer.  A run counts if it has ``min_words``
-words, and the shortest such run at a position has ``min_words`` lines at most;
-that bounds the levels that are needed.  The shortest runs from each line on and
-up to each line are named by two overlapping names of the largest level within
-them.  Every maximal repeated run is the union of such runs, so a line lies in a
-later copy of a repeated run if and only if it lies in a short run whose name
-occurs earlier.  Names meet in one pre-aggregating shuffle (count and first
-occurrence); the runs then join the names that occur twice, both sides read from
-written tables, so a name that many documents share can be split by the engine.
+Each document is a sequence of line ids; lines without a word are skipped.  A
+suffix array over all sequences is made by distributed prefix doubling: rows are
+(document, position), the rank of a suffix by its first line comes from a global
+sort of the line hashes, and each round pairs the rank at a position with the one
+2^k lines further on, sorts the pairs that occur and numbers them in order, which
+ranks the suffixes by their first 2^(k+1) lines.  Suffixes whose rank is their
+own repeat nothing and leave the rounds (prefix doubling with discarding), as do
+stretches of repeated lines with fewer than ``min_words`` words.
+
+The suffixes that agree in n lines stand next to each other in the array: an
+interval whose longest common prefix is n or more.  Two ranks that cover the n
+lines, one from the first line on and one up to the last, tell which interval it
+is, so its bounds and its first occurrence come from one pre-aggregating shuffle.
+A run counts from ``min_words`` words on.  The intervals looked at are, from each
+position, the shortest prefix that counts and the longer ones that don't count
+without their first line; every maximal repeated run is the union of such
+prefixes, and none of them has more than ``min_words`` lines, which bounds the
+rounds.  All of an interval but its first occurrence are later copies.
+
+Rank tables are joined with rows by rank; both sides are read from written
+tables, so the engine can split a rank that many rows share.
 
 Defined cases: order is by doc_id (null first), then a hash of the text, then
 line; rows that agree in doc_id and text are one document and get one result;
-a copy may overlap the run that it repeats; lines are compared whole; a null
-text stays null; a text whose lines are all deleted becomes empty; an empty
-table stays empty; other columns are kept as they are.
+a copy may overlap the run that it repeats; lines are compared whole, by 128
+bits of hash; a null text stays null; a text whose lines are all deleted becomes
+empty; very long texts are rows like others, their lines stand in many rows; an
+empty table stays empty; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -31,80 +40,86 @@ from quern.llm.common import plain_names, stored
 #: A repeated run is deleted if it has this many words.
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def _name(*parts: Column) -> Column:
-    """128 bits, as two independent hashes."""
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *reversed(parts)).alias("b"))
-
-
-def _joined(x: Column, y: Column, *more: Column) -> Column:
-    """The name of a run from the names of two runs that cover it."""
-    return _name(x.a, x.b, y.a, y.b, *more)
-
-
-def _shortest(lines: Column, min_words: int) -> Column:
-    """How many lines, from the first on, hold ``min_words`` words; null if all of them don't."""
-    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
-    more = lambda acc, x: F.when(acc.words >= min_words, acc).otherwise(F.struct((acc.words + x.words).alias("words"), (acc.n + 1).alias("n")))
-    return F.aggregate(lines, start, more, lambda acc: F.when(acc.words >= min_words, acc.n))
-
-
-def _doubled(names: Column, half: int):
-    """The lambda that names twice as many lines from each line on."""
-    return lambda x, i: _joined(x, F.get(names, i + half))
-
-
-def _runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, a, b, first, last): document, name, first and last line of each shortest run."""
-    levels = max(1, min_words).bit_length()
-
-    def line(x: Column, i: Column) -> Column:
-        name = _name(x)
-        return F.struct(i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("words"), name.a.alias("a"), name.b.alias("b"))
-
-    df = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(F.transform(F.split("text", "\n"), line), lambda x: x.words > 0).alias("lines"))
-    df = df.withColumn("names0", F.transform("lines", lambda x: F.struct(x.a.alias("a"), x.b.alias("b"))))
-    for k in range(1, levels):
-        below, half = F.col(f"names{k - 1}"), 1 << (k - 1)
-        df = df.withColumn(f"names{k}", F.transform(below, _doubled(below, half)))
+_DOCUMENT = ["doc_id", "text_hash"]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row per line with a word: document, position among these, place among all, words, the line's hashes and an id of the row."""
+    line = lambda x, i: F.struct(i.alias("at"), x.alias("line"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(F.transform(F.split("text", "\n"), line), lambda x: x.line.rlike(WORD)).alias("lines"))
+    rows = split.select("*", F.posexplode("lines").alias("pos", "x")).drop("lines")
+    own = rows.select("doc_id", "text_hash", "pos", "x.at", F.regexp_count("x.line", F.lit(WORD)).alias("words"), F.xxhash64("x.line").alias("a"), F.xxhash64(F.lit(2), "x.line").alias("b"))
+    return own.withColumn("row", F.xxhash64("doc_id", "text_hash", "pos"))
+
+
+def _ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that several rows have, numbered in their order."""
+    found = rows.groupBy(*keys).agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    return stored(found.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank")), "ranks")
+
+
+def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
+    """``rows`` in stretches of neighbouring lines that have ``min_words`` words, with the least and the greatest number
+    of lines of the prefixes to look at (null where too few words follow)."""
+    once = rows.repartition(*_DOCUMENT).dropDuplicates([*_DOCUMENT, "pos"])
+    own = Window.partitionBy(*_DOCUMENT)
+    once = once.withColumn("stretch", F.col("pos") - F.row_number().over(own.orderBy("pos")))
+    own = Window.partitionBy(*_DOCUMENT, "stretch")
+    once = once.withColumn("all", F.sum("words").over(own)).where(F.col("all") >= min_words)
+    once = once.withColumn("upto", F.sum("words").over(own.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("words"))
+    # the lines before which fewer words stand, and those up to which fewer words follow the first line
+    short, rest = (own.orderBy(c).rangeBetween(0, min_words - 1) for c in ("before", "upto"))
+    once = once.withColumn("least", F.when(F.max("upto").over(short) - F.col("before") >= min_words, F.count("*").over(short)))
+    return once.withColumn("most", F.greatest("least", F.count("*").over(rest))).select(*_DOCUMENT, "pos", "at", "row", "least", "most", "rank")
+
+
+def suffix_ranks(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+    """The stretches of repeated lines, and for each k (doc_id, text_hash, pos, row, rank): the rank of the suffix
+    from a position on by its first 2^k lines, where another suffix has the same lines."""
+    lines = stored(_lines(docs), "lines")
+    ranked = lines.join(_ranks(lines, ["a", "b"]), ["a", "b"]).drop("a", "b")
+    base = stored(_stretches(ranked, min_words), "stretches")
+    longest = base.agg(F.max(F.when(F.col("least").isNotNull(), F.col("most"))).alias("n")).first().n or 1
+    levels = [base.select(*_DOCUMENT, "pos", "row", "rank")]
+    while 2 ** len(levels) <= longest:
+        half = 2 ** (len(levels) - 1)
+        onward = Window.partitionBy(*_DOCUMENT).orderBy("pos").rangeBetween(half, half)
+        pairs = stored(levels[-1].withColumn("next", F.max("rank").over(onward)).where("next is not null").withColumnRenamed("rank", "first"), "pairs")
+        ranked = pairs.join(_ranks(pairs, ["first", "next"]), ["first", "next"]).select(*_DOCUMENT, "pos", "row", "rank")
+        levels.append(stored(ranked, "suffixes"))
+    return base, levels
+
+
+def _intervals(base: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(doc_id, text_hash, first, last, n, x, y): each prefix to look at with its first and last line's place, its number of lines, and the two ranks that cover it."""
+    every = [base.select(*_DOCUMENT, "pos", "at", "least", "most", F.lit(0).alias("k"), "rank")]
+    every += [x.select(*_DOCUMENT, "pos", F.lit(k).alias("k"), "rank") for k, x in enumerate(levels) if k]
+    rows = every[0]
+    for x in every[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    of_level = [F.max(F.when(F.col("k") == k, F.col("rank"))) for k in range(len(levels))]
+    rows = rows.repartition(*_DOCUMENT).groupBy(*_DOCUMENT, "pos").agg(F.max("at").alias("at"), F.max("least").alias("least"), F.max("most").alias("most"), F.array(*of_level).alias("ranks"))
+    whole = rows.groupBy(*_DOCUMENT).agg(F.array_sort(F.collect_list(F.struct("pos", "at", "least", "most", "ranks"))).alias("lines"))
     lines = F.col("lines")
 
-    def backward(x: Column, i: Column) -> Column:
-        low = F.greatest(F.lit(0), i - (min_words - 1))
-        n = _shortest(F.reverse(F.slice(lines, low + 1, i - low + 1)), min_words)
-        return F.struct(i.alias("end"), n.alias("n"))
-
-    df = df.withColumn("onward", F.transform(lines, lambda x, i: _shortest(F.slice(lines, i + 1, F.lit(min_words)), min_words)))
-    df = df.withColumn("backward", F.filter(F.transform(lines, backward), lambda x: x.n.isNotNull()))
-    spans = F.concat(
-        F.filter(F.transform("onward", lambda n, i: F.struct(i.alias("start"), n.alias("n"))), lambda x: x.n.isNotNull()),
-        # those that are shortest from their first line on too are there already
-        F.filter(F.transform("backward", lambda x: F.struct((x.end - x.n + 1).alias("start"), x.n.alias("n"))), lambda x: ~F.get(F.col("onward"), x.start).eqNullSafe(x.n)),
-    )
+    def prefixes(x: Column, i: Column) -> Column:
+        def one(n: Column) -> Column:
+            k = sum(((n >= 2**j).cast("int") for j in range(1, len(levels))), F.lit(0))
+            back = i + n - F.element_at(F.array(*(F.lit(2**j) for j in range(len(levels)))), k + 1)
+            return F.struct(x.at.alias("first"), F.get(lines, i + n - 1).at.alias("last"), n.alias("n"), F.get(x.ranks, k).alias("x"), F.get(F.get(lines, back).ranks, k).alias("y"))
 
-    def covered(span: Column) -> Column:
-        """The two names of the largest level within the run, and its first and last line."""
-        end = span.start + span.n
-        first = second = F.lit(None).cast("struct<a:bigint,b:bigint>")
-        for k in range(levels):
-            names = F.col(f"names{k}")
-            first = F.when(span.n >= (1 << k), F.get(names, span.start)).otherwise(first)
-            second = F.when(span.n >= (1 << k), F.get(names, end - (1 << k))).otherwise(second)
-        return F.struct(span.n.alias("n"), first.alias("x"), second.alias("y"), F.get(lines, span.start).at.alias("first"), F.get(lines, end - 1).at.alias("last"))
+        return F.transform(F.sequence(x.least, x.most), one)
 
-    df = df.select("doc_id", "text_hash", F.explode(F.transform(spans, covered)).alias("run"))
-    name = _joined(F.col("run.x"), F.col("run.y"), F.col("run.n"))
-    df = df.select("doc_id", "text_hash", name.alias("name"), F.col("run.first").alias("first"), F.col("run.last").alias("last"))
-    return df.select("doc_id", "text_hash", "name.a", "name.b", "first", "last")
+    some = F.transform(lines, lambda x, i: F.when(x.least.isNotNull(), F.filter(prefixes(x, i), lambda p: p.x.isNotNull() & p.y.isNotNull())).otherwise(F.array()))
+    return whole.select(*_DOCUMENT, F.explode(F.flatten(some)).alias("p")).select(*_DOCUMENT, "p.*")
 
 
 def _deleted(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, first, last): the runs that occur earlier."""
-    runs = stored(_runs(docs, min_words), "runs")
+    """(doc_id, text_hash, first, last): the later copies of repeated runs."""
+    prefixes = stored(_intervals(*suffix_ranks(docs, min_words)), "prefixes")
     at = F.struct("doc_id", "text_hash", "first")
-    repeated = stored(runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(at).alias("origin")).where("n > 1").drop("n"), "repeated")
-    return runs.join(repeated, ["a", "b"]).where(~at.eqNullSafe(F.col("origin"))).select("doc_id", "text_hash", "first", "last").distinct()
+    intervals = prefixes.groupBy("n", "x", "y").agg(F.min(at).alias("origin"), F.max(at).alias("end")).where("origin < end").drop("end")
+    return prefixes.join(stored(intervals, "intervals"), ["n", "x", "y"]).where(~at.eqNullSafe(F.col("origin"))).select("doc_id", "text_hash", "first", "last").distinct()
 
 
 def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
