@@ -158,6 +158,12 @@ def test_year_filters():
     assert f("before 1993") == {"$in": ["1992", "1993"]} and f("in 2019") == "2019" and f("id 120205") is None
 
 
+def test_mentions_are_joined(spark):
+    queries = spark.createDataFrame([(1, "MIDAS and MI, Heart Failure"), (2, "服用aspirin后 二甲双胍"), (3, None), (4, "eGFR ＨＦ")], "query_id long, text string")
+    got = {(r.query_id, r.surface, r.term) for r in query.mentions(queries, query.Lexicon(corpus={"MIDAS": "some study"})).collect()}
+    assert got == {(1, "MI", "myocardial infarction"), (1, "mi", "myocardial infarction"), (1, "MIDAS", "some study"), (1, "heart failure", "heart failure"), (2, "aspirin", "aspirin"), (2, "二甲双胍", "metformin"), (4, "eGFR", "egfr"), (4, "egfr", "egfr"), (4, "HF", "heart failure"), (4, "hf", "heart failure")}
+
+
 def test_names_need_borders():
     u = query.understand("MIDAS and MI")
     assert u["expansions"] == {"MI": "myocardial infarction"} and u["vector_query"] == "MIDAS and myocardial infarction (MI)"
@@ -186,6 +192,12 @@ def test_extract_json(reply, value):
     assert generate.extract_json(reply) == value
 
 
+def test_tolerant_reader():
+    assert generate.extract_json('see [note here], then {"a": "he said \\"hi\\"", b: None, "c": \'it\\\'s\'}') == {"a": 'he said "hi"', "b": None, "c": "it's"}
+    assert generate.extract_json('{"a": "x\x01y", "b": -2.5e3, "c') == {"a": "xy", "b": -2500.0}
+    assert generate.extract_json("```json\n-2.5\n```") == -2.5 and generate.extract_json("[" * 5000) is not None
+
+
 def test_usable_ids():
     assert generate.usable_ids('{"usable_ids": [1, "3", "x"]}') == [1, 3]
     assert generate.usable_ids("可用证据编号：3,5") == [3, 5] and generate.usable_ids("可用证据编号：无可用证据") == []
