@@ -161,9 +161,8 @@ def acronyms(c: Column) -> Column:
 
 def acronym_definitions(c: Column) -> Column:
     """array of struct(phrase, acronym) from ``full name (ACRO)``; phrases up to 70 characters."""
-    pattern = r"([A-Za-z][A-Za-z\-]*(?:[ \t]+[A-Za-z][A-Za-z\-]*){1,7})[ \t]*\(([A-Z][A-Z0-9\-]{1,11})\)"
-    both = F.arrays_zip(F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(1)).alias("phrase"), F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(2)).alias("acronym"))
-    return F.filter(both, lambda x: F.length(x.phrase) <= 70)
+    groups = [F.regexp_extract_all(text_of(c), F.lit(L.DEFINITION), F.lit(i)).alias(name) for i, name in ((1, "phrase"), (2, "acronym"))]
+    return F.filter(F.arrays_zip(*groups), lambda x: F.length(x.phrase) <= L.LONGEST_PHRASE)
 
 
 def first_year(c: Column) -> Column:

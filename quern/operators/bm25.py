@@ -25,15 +25,15 @@ class Index:
     average_length: float
 
     def save(self, path: str) -> None:
-        """Postings and terms are sorted by term, so a query's terms reach few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        """Postings and terms are sorted by term, so a query's terms reach few row groups; the size is a table of one row."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        for name in ("postings", "terms"):
+            getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
+        self.docs.sparkSession.createDataFrame([(self.n_docs, self.average_length)], "n_docs long, average_length double").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        docs = spark.read.parquet(f"{path}/docs")
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), docs, *_size(docs))
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/docs"), *spark.read.parquet(f"{path}/size").first())
 
 
 def _size(docs: DataFrame) -> tuple[int, float]:
@@ -41,23 +41,41 @@ def _size(docs: DataFrame) -> tuple[int, float]:
     return row.n, row.a or 0.0
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where it comes in fewer partitions, as from one small file; large tables are left alone."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key) if df._jdf.rdd().getNumPartitions() < n else df
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stop_words: list[str] = L.STOP_WORDS, partitions: int | None = None) -> Index:
+    """Postings by one pre-aggregating shuffle; documents without tokens count with length 0.
 
-
-def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stop_words: list[str] = L.STOP_WORDS) -> Index:
-    """Postings by one pre-aggregating shuffle; documents without tokens count with length 0."""
-    documents = spread(documents.select(doc_id, text), doc_id)
+    ``partitions`` spreads the documents first, for a table in few files.
+    """
+    documents = documents.select(doc_id, text)
+    documents = documents.repartition(partitions, doc_id) if partitions else documents
     own = documents.select(F.col(doc_id).alias("doc"), tokens(F.col(text), stop_words).alias("tokens"))
     docs = own.select("doc", F.size("tokens").cast("long").alias("len"))
     postings = own.select("doc", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
+    return _index(postings, docs)
+
+
+def _index(postings: DataFrame, docs: DataFrame) -> Index:
     n, average = _size(docs)
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", inverse_frequency(F.col("df"), F.lit(n)))
     return Index(postings, terms, docs, n, average)
 
 
+def saved_index(documents: DataFrame, path: str, **options) -> Index:
+    """The index, built in one pass over the texts and written to ``path``: terms and sizes come from the written postings and lengths."""
+    spark = documents.sparkSession
+    doc_id, text, partitions = options.get("doc_id", "doc_id"), options.get("text", "text"), options.get("partitions")
+    own = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    own = own.repartition(partitions, "doc") if partitions else own
+    found = tokens(F.col("text"), options.get("stop_words", L.STOP_WORDS))
+    # a document's row with no term is its length
+    rows = own.select("doc", found.alias("tokens")).select("doc", F.size("tokens").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/all")
+    every = spark.read.parquet(f"{path}/all")
+    built = _index(every.where("term is not null"), every.where("term is null").select("doc", "len"))
+    built.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    return Index(built.postings, spark.read.parquet(f"{path}/terms"), built.docs, built.n_docs, built.average_length)
+
+
 def inverse_frequency(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 

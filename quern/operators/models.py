@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
         out = np.zeros((len(texts), dimensions), np.float32)
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
+                h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
                 row[h % dimensions] += 1 if h >> 31 else -1
             length = np.linalg.norm(row)
             if length:

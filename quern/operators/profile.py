@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
 from quern.functions import text as T
+from quern.sources.shared import stored
 
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
@@ -59,19 +60,26 @@ def group_counts(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"))
 
 
-def strata(df: DataFrame, value: str, key: str = "doc_id", parts: int = 3) -> DataFrame:
-    """(key, value, stratum): parts of equal numbers by (value, key), cut at n // parts multiples.
+def positions(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with pos, the row's place from 0 on in the order of the keys, and total.
 
-    The position comes from counts per value and a rank within the value, so no task sorts all rows.
+    Rows are dealt out by ranges of the keys and sorted there; a place is the row's number in its part plus the sizes
+    of the parts before, which are one row for each part.
     """
-    sizes = df.groupBy(value).agg(F.count("*").alias("__n"))
-    # one row per distinct value; their running sum is the only single task, and it holds counts only
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)))
-    total = sizes.agg(F.sum("__n").alias("__total"))
-    own = df.select(key, value).withColumn("__rank", F.row_number().over(Window.partitionBy(value).orderBy(key)))
-    at = F.coalesce("__before", F.lit(0)) + F.col("__rank") - 1
-    stratum = sum((F.when(at >= F.floor(F.col("__total") * k / parts), 1).otherwise(0) for k in range(1, parts)), F.lit(0))
-    return own.join(before, value).crossJoin(F.broadcast(total)).select(key, value, stratum.cast("int").alias("stratum"))
+    held = stored(df.orderBy(*keys).withColumn("__number", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__number", 33)
+    sizes = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    own = Window.orderBy("__part")
+    before = sizes.select("__part", (F.sum("__n").over(own) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("total"))
+    out = held.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.withColumn("pos", F.col("__before") + F.col("__number") - F.shiftleft("__part", 33)).select(*df.columns, "pos", "total")
+
+
+def strata(df: DataFrame, value: str, key: str = "doc_id", parts: int = 3) -> DataFrame:
+    """(key, value, stratum): parts of equal numbers by (value, key), cut at n * k // parts."""
+    own = positions(df.select(key, value), value, key)
+    # the number of cuts at or before the place
+    return own.select(key, value, F.expr(f"((pos + 1) * {parts} + total - 1) div total - 1").cast("int").alias("stratum"))
 
 
 def section_matrix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,6 +100,11 @@ def acronym_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return counts.join(best, "acronym", "left")
 
 
+def most_common(counts: DataFrame, item: str, most: int, n: str = "n") -> DataFrame:
+    """The ``most`` rows with the largest counts, ties by the item."""
+    return counts.orderBy(F.desc(n), item).limit(most)
+
+
 def concept_counts(docs: DataFrame, concepts: dict[str, str] = L.CONCEPTS, text: str = "text") -> DataFrame:
     """(concept, n): mentions of each pattern as whole words, case aside; patterns may overlap."""
     edge, end = "(?i)(?<![A-Za-z0-9_])(?:", ")(?![A-Za-z0-9_])"

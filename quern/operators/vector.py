@@ -2,7 +2,11 @@
 
 Queries are taken in blocks of bounded size.  A block goes to all tasks, each of
 which multiplies it with its rows and sends the k best per query on; so what is
-shuffled is k rows for each query and task, whatever the number of vectors.
+shuffled is k rows for each query and task, whatever the number of vectors.  Of
+several blocks one is held at a time: its results are written before the next.
+
+A query may ask for tags: its ``where`` is a list of lists, of each of which a
+vector's ``tags`` must have one, so a batch with many filters is one search.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.bm25 import top_k
+from quern.sources.shared import stored
 
 #: Queries that are sent to the tasks at once.
 BLOCK = 1024
@@ -33,8 +39,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    rows = [np.asarray(x, np.float64) if x is not None and len(x) == width else np.zeros(width) for x in column.to_pylist()]
-    return np.stack(rows) if rows else np.zeros((0, width))
+    """The vectors as rows; what is null or of another width is zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    flat = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    if len(flat) == len(column):
+        return flat
+    out = np.zeros((len(column), width))
+    out[fits.to_numpy(zero_copy_only=False)] = flat
+    return out
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -42,39 +55,70 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding", keep_self: bool = True) -> DataFrame:
+def _allowed(where: list | None, tags: list[list | None]) -> np.ndarray:
+    """Which rows have a tag of every list."""
+    wanted = [set(x) for x in where or ()]
+    return np.array([all(not own.isdisjoint(x) for x in wanted) for own in (set(t or ()) for t in tags)], bool)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k largest finite scores of each row, ties by the least id."""
+    if scores.shape[1] > k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero((scores >= least) & np.isfinite(scores))
+    else:
+        row, column = np.nonzero(np.isfinite(scores))
+    own, found = scores[row, column], ids[row, column]
+    order = np.lexsort((found, -own, row))
+    row, found, own = row[order], found[order], own[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], found[place < k], own[place < k]
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding", keep_self: bool = True, where: str | None = None, tags: str | None = None) -> DataFrame:
     """(query_id, doc, score, rank): the k nearest vectors of each query; null and zero vectors score 0.
 
-    ``vectors`` may be filtered before; ``keep_self`` decides whether a vector finds itself.
+    ``vectors`` may be filtered before, or by ``tags`` for each query; ``keep_self`` decides whether a vector finds itself.
     """
     spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-queries.count() // BLOCK))
     number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     schema = pa.schema([("query_id", pa.int64()), ("doc", pa.int64()), ("score", pa.float64())])
+    asked = F.col(where) if where else F.lit(None).cast("array<array<string>>")
+    own_tags = F.col(tags) if tags else F.lit(None).cast("array<string>")
     out = None
     for block in range(blocks):
-        own = queries.where(number == block).select(F.col(query_id).cast("long"), embedding).toArrow()
-        ids = own.column(0).to_numpy()
-        lengths = [len(x) for x in own.column(1).to_pylist() if x is not None]
-        sent = spark.sparkContext.broadcast((ids, _unit(_matrix(own.column(1), max(lengths, default=1)))))
+        own = queries.where(number == block).select(F.col(query_id).cast("long"), embedding, asked.alias("where")).toArrow()
+        ids, width = own.column(0).to_numpy(), pc.max(pc.list_value_length(own.column(1))).as_py() or 1
+        filters: dict[str, tuple[list, list[int]]] = {}
+        for i, x in enumerate(own.column(2).to_pylist()):
+            if x:
+                filters.setdefault(repr(x), (x, []))[1].append(i)
+        sent = spark.sparkContext.broadcast((ids, _unit(_matrix(own.column(1), width)), list(filters.values())))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, wanted = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
-            for part in batches:
-                found = part.column(0).to_numpy(zero_copy_only=False)
-                cosines = wanted @ _unit(_matrix(part.column(1), wanted.shape[1])).T
-                for q, row in enumerate(cosines):
-                    docs, scores = np.concatenate([best[q][0], found]), np.concatenate([best[q][1], row])
+            ids, wanted, filters = sent.value
+            best_ids, best = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+            for whole in batches:
+                for start in range(0, whole.num_rows if len(ids) else 0, 4096):
+                    part = whole.slice(start, 4096)
+                    found = part.column(0).to_numpy(zero_copy_only=False)
+                    scores = np.round(wanted @ _unit(_matrix(part.column(1), wanted.shape[1])).T, 6)
                     if not keep_self:
-                        docs, scores = docs[docs != ids[q]], scores[docs != ids[q]]
-                    keep = np.lexsort((docs, -np.round(scores, 6)))[:k]
-                    best[q] = docs[keep], scores[keep]
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], schema=schema)
-
-        part = vectors.select(F.col(vector_id).cast("long"), embedding).mapInArrow(run, "query_id long, doc long, score double")
+                        scores[ids[:, None] == found] = -np.inf
+                    for x, rows in filters:
+                        scores[np.ix_(rows, np.flatnonzero(~_allowed(x, part.column(2).to_pylist())))] = -np.inf
+                    row, doc, score = _best(np.hstack([best, scores]), np.hstack([best_ids, np.broadcast_to(found, scores.shape)]), k)
+                    best_ids, best = np.zeros_like(best_ids), np.full_like(best, -np.inf)
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    best_ids[row, place], best[row, place] = doc, score
+            row, column = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_ids[row, column]), pa.array(best[row, column])], schema=schema)
+
+        part = vectors.select(F.col(vector_id).cast("long"), embedding, own_tags.alias("tags")).mapInArrow(run, "query_id long, doc long, score double")
+        if blocks > 1:
+            part = stored(part, "nearest")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return top_k(out, k)
 
@@ -93,3 +137,19 @@ def vector_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """Rows, zero vectors, dimensions and norms."""
     n = norm(F.col(embedding))
     return vectors.agg(F.count("*").alias("n"), F.count_if(n == 0).alias("zero_vectors"), F.min(F.size(embedding)).alias("min_dim"), F.max(F.size(embedding)).alias("max_dim"), F.round(F.min(n), 4).alias("min_norm"), F.round(F.max(n), 4).alias("max_norm"))
+
+
+def build_store(vectors: DataFrame, path: str, model: str, batch: str, vector_id: str = "vec_id", reset: bool = False) -> DataFrame:
+    """Adds a batch of vectors to the store at ``path`` and returns what it holds: a folder for each model and batch.
+
+    A batch that is there already is written anew, vectors of other models stay apart, and ``reset`` empties the model's folder first.
+    """
+    spark = vectors.sparkSession
+    if reset:
+        vectors.where("false").write.mode("overwrite").parquet(f"{path}/model={model}")
+    vectors.write.mode("overwrite").parquet(f"{path}/model={model}/batch={batch}")
+    return read_store(spark, path, model)
+
+
+def read_store(spark, path: str, model: str) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/model={model}").parquet(f"{path}/model={model}/batch=*")

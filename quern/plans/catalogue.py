@@ -17,6 +17,7 @@ from quern.operators import bm25, chunk, context, filters, fusion, generate, mod
 from quern.plans import experiments
 from quern.plans.retrieval import Retriever
 from quern.sources import io
+from quern.sources.shared import made_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,11 +136,6 @@ def profile_concept_counts(spark, sf_dir):
     return profile.concept_counts(_table(spark, sf_dir, "documents"), {"the": "the", "of": "of", "de la": "de la", "licence": "licensed? under", "und": "und"})
 
 
-@_register("profile_sections")
-def profile_sections(spark, sf_dir):
-    return profile.section_matrix(_table(spark, sf_dir, "documents"))
-
-
 @_register("profile_header_kv", r"""
 select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(url, '^https?://([^/]+)/', 1) as host from pages
 """)
@@ -148,12 +144,6 @@ def profile_header_kv(spark, sf_dir):
     return pages.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("host"))
 
 
-@_register("header_fields")
-def header_fields(spark, sf_dir):
-    """A document without fields has one row, of nulls."""
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode_outer(T.header_fields(F.col("text"))).alias("key", "value"))
-
-
 @_register("clean_cascade", """
 select coalesce(case when doc_id in (3, 7) then 'excluded' when coalesce(text, '') = '' then 'no_text' when len(string_split(text, chr(10))) < 5 then 'short' when trim(text) = '' then 'empty_core' end, 'kept') as drop_reason, count(*) as n from documents group by 1
 """)
@@ -193,12 +183,28 @@ def _line_words(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.filter(words, lambda n: n > 0).alias("units"))
 
 
-@_register("pack_simulation")
+_SIMULATED = r"""
+with recursive lined as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: len(regexp_extract_all(x, '[^ \n\t\r]+'))), lambda n: n > 0) as l from documents),
+grid as (select doc_id, l, size, len(list_filter(l, lambda n: n > size)) as over, flatten(list_transform(l, lambda n: list_concat(list_transform(range(n // size), lambda i: size), case when n % size > 0 then [n % size] else [] end))) as u from lined, (values (64::bigint), (128), (256), (512)) t(size)),
+fold(doc_id, size, i, cur, done) as (
+  select doc_id, size, 0, 0::bigint, []::bigint[] from grid
+  union all
+  select f.doc_id, f.size, f.i + 1, case when f.cur > 0 and f.cur + g.u[f.i + 1] > f.size then g.u[f.i + 1] else f.cur + g.u[f.i + 1] end, case when f.cur > 0 and f.cur + g.u[f.i + 1] > f.size then list_append(f.done, f.cur) else f.done end
+  from fold f join grid g on g.doc_id = f.doc_id and g.size = f.size where f.i < len(g.u)
+),
+packed as (select g.size, g.l, g.over, case when f.cur > 0 then list_append(f.done, f.cur) else f.done end as chunks from fold f join grid g on g.doc_id = f.doc_id and g.size = f.size and f.i = len(g.u)),
+per_doc as (select size, sum(over)::bigint as units_over, round(100 * sum(over) / sum(len(l)), 4) as over_pct, count_if(over > 0)::bigint as docs_split, sum(len(chunks))::bigint as n_chunks, quantile_cont(len(chunks), 0.5)::double as per_doc_p50, max(len(chunks))::int as per_doc_max from packed group by size),
+each as (select size, quantile_cont(n, 0.5) as q50, quantile_cont(n, 0.9) as q90, quantile_cont(n, 0.99) as q99, max(n) as len_max from (select size, unnest(chunks) as n from packed) group by size),
+simulated as (select size, units_over, over_pct, docs_split, n_chunks, per_doc_p50, per_doc_max, round(q50, 4)::double as len_p50, round(q90, 4)::double as len_p90, round(q99, 4)::double as len_p99, len_max, round(100 * q50 / size, 4)::double as fill_p50_pct, floor(n_chunks / 0.875)::bigint as n_with_overlap from per_doc join each using (size))
+"""
+
+
+@_register("pack_simulation", _SIMULATED + "select * from simulated")
 def pack_simulation(spark, sf_dir):
     return profile.chunk_size_simulation(_line_words(spark, sf_dir), "units", [64, 128, 256, 512])
 
 
-@_register("smallest_chunk_size")
+@_register("smallest_chunk_size", _SIMULATED + "select limit_pct, min(size) as size from simulated, (values (1.0::double), (5.0), (10.0)) t(limit_pct) where over_pct <= limit_pct group by limit_pct")
 def smallest_chunk_size(spark, sf_dir):
     return profile.smallest_size(profile.chunk_size_simulation(_line_words(spark, sf_dir), "units", [64, 128, 256, 512]))
 
@@ -268,9 +274,16 @@ def neighbour_similarity(spark, sf_dir):
 
 # ---- ranking
 
+#: The application's written indexes.
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
 
 def _index(spark, sf_dir) -> bm25.Index:
-    return bm25.build_index(_table(spark, sf_dir, "documents"))
+    """The index of the documents, written once for an application and searched from there."""
+    documents, spread = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    made: list[bm25.Index] = []
+    path = made_once(spark, ("bm25", sf_dir), lambda path: made.append(bm25.saved_index(documents, path, partitions=spread)))
+    return _INDEXES.setdefault((spark.sparkContext.applicationId, path), *made)
 
 
 def _queries(spark, sf_dir) -> DataFrame:
@@ -437,12 +450,26 @@ def _results(spark, sf_dir) -> DataFrame:
     return rows.withColumn("doc_id", F.col("journal")).withColumn("source", F.col("id").cast("string"))
 
 
-@_register("dedup_greedy")
-def dedup_greedy(spark, sf_dir):
-    return context.greedy_dedup(context.context_rows(_results(spark, sf_dir))).select("query_id", "id", "relevance_score")
+_FIRST = f"with {_BM25}, first as (select query_id, doc as id, score, row_number() over (partition by query_id order by score desc, doc) as r from scored qualify r <= 12), rows as (select first.*, d.source, d.text from first join documents d on d.doc_id = id), ranked as (select *, row_number() over (partition by query_id, source order by score desc, id) as n from rows), chosen as (select query_id, id, source, text, n, round(score * pow(0.6, n - 1), 6) as diverse_score from ranked where n <= 3)"
 
 
-_FIRST = f"with {_BM25}, first as (select query_id, doc as id, score, row_number() over (partition by query_id order by score desc, doc) as r from scored qualify r <= 12), rows as (select first.*, d.source, d.text from first join documents d on d.doc_id = id), ranked as (select *, row_number() over (partition by query_id, source order by score desc, id) as n from rows), chosen as (select query_id, id, source, text, n, round(score * pow(0.6, n - 1), 6) as diverse_score from ranked where n <= 3)"
+_UNIQUE = f"""
+with recursive {_BM25}, best as (select query_id, doc as id, score, row_number() over (partition by query_id order by score desc, doc) as r from scored qualify r <= 12),
+flat as (select best.*, d.source, d.text, regexp_replace(lower(coalesce(d.text, '')), '\\s+', '', 'g') as t from best join documents d on d.doc_id = id),
+sets as (select *, case when length(t) > 4 then list_distinct(list_transform(range(1, length(t) - 2), lambda i: substring(t, i, 4))) when length(t) > 0 then [t] else [] end as s from flat),
+walk(query_id, r, kept, uniq) as (
+  select distinct query_id, 0::bigint, []::varchar[][], []::bigint[] from sets
+  union all
+  select query_id, r + 1, case when copy then kept else list_append(kept, s) end, case when copy then uniq else list_append(uniq, id) end from (
+    select w.query_id, w.r, w.kept, w.uniq, x.s, x.id, len(list_filter(w.kept, lambda k: len(list_intersect(k, x.s)) > 0 and len(list_intersect(k, x.s)) / (len(k) + len(x.s) - len(list_intersect(k, x.s)))::double >= {L.DEDUP_THRESHOLD})) > 0 as copy
+    from walk w join sets x on x.query_id = w.query_id and x.r = w.r + 1)
+),
+uniques as (select query_id, unnest(uniq) as id from (select * from walk qualify row_number() over (partition by query_id order by r desc) = 1))"""
+
+
+@_register("dedup_greedy", f"{_UNIQUE} select query_id, id, score as relevance_score from sets join uniques using (query_id, id)")
+def dedup_greedy(spark, sf_dir):
+    return context.greedy_dedup(context.context_rows(_results(spark, sf_dir))).select("query_id", "id", "relevance_score")
 
 
 @_register("diversity_select", f"{_FIRST} select query_id, id, n::int as source_rank, diverse_score, row_number() over (partition by query_id order by diverse_score desc, id)::int as position from chosen")
@@ -461,7 +488,43 @@ def context_budget(spark, sf_dir):
     return context.fill_budget(chosen).where("not truncated").select("query_id", "id", "position", "tokens")
 
 
-@_register("context_assembled")
+def _estimate(text: str) -> str:
+    wide = f"len(regexp_extract_all({text}, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]'))"
+    return f"(case when length({text}) > 0 then floor(({wide} / 1.57::double + (length({text}) - {wide}) / 5.03::double) * 1.3) + 1 else 0 end)::bigint"
+
+
+def _truncated(text: str, budget: str) -> str:
+    """``text`` cut to about ``budget`` estimated tokens, at a sentence end if there is one."""
+    share = f"(len(regexp_extract_all({text}, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]'))::double / greatest(length({text}), 1))"
+    keep = f"floor(({budget}) * (1.57::double * {share} + 5.03::double * (1 - {share})) / 1.3::double)::int"
+    head = f"substring({text}, 1, greatest({keep}, 0))"
+    whole = f"regexp_extract({head}, '(?s)^(.*[.!?。！？；;])', 1)"
+    return f"(case when {_estimate(text)} <= ({budget}) then {text} when {keep} <= 0 then '' when {whole} <> '' then {whole} else rtrim({head}) end)"
+
+
+_ASSEMBLED = f"""{_UNIQUE},
+ranked as (select query_id, id, s.source, s.text, s.score, row_number() over (partition by query_id, s.source order by s.score desc, id) as n from sets s join uniques using (query_id, id)),
+chosen as (select *, round(score * pow(0.6, n - 1), 6) as diverse_score from ranked where n <= 3),
+placed as (select *, row_number() over (partition by query_id order by diverse_score desc, id) as position from chosen),
+headed as (select *, '[' || position || '] 来源: ' || id || '（' || (1992 + id % 35) || ' / ' || source || '）' as header, trim(text) as body from placed),
+blocks as (select *, header || chr(10) || body || chr(10) as block from headed), costed as (select *, {_estimate("block")} as tokens from blocks),
+summed as (select *, {L.MAX_TOKENS} - (sum(tokens) over (partition by query_id order by position) - tokens)::bigint as room from costed),
+cuts as (select *, tokens <= room as fits, case when tokens > room and room >= {L.MIN_CHUNK_TOKENS} then trim({_truncated("body", f"room - {_estimate('header')} - 1")}) end as cut from summed),
+shortened as (select *, case when coalesce(cut, '') <> '' then header || chr(10) || cut || chr(10) end as shorter from cuts),
+used as (select *, case when fits then block when shorter is not null and {_estimate("shorter")} <= room then shorter end as final from shortened),
+texts as (select query_id, trim(string_agg(final, chr(10) order by position)) as context_text, count(final) as n_selected, count(*) as n_chosen from used group by query_id),
+assembled as (select query_id, coalesce(context_text, '') as context_text, r.n as n_retrieved, n_selected, r.n - u.n as dropped_by_dedup, u.n - n_chosen as dropped_by_diversity, n_chosen - n_selected as dropped_by_budget
+  from texts join (select query_id, count(*) as n from sets group by query_id) r using (query_id) join (select query_id, count(*) as n from uniques group by query_id) u using (query_id))"""
+
+
+@_register("context_truncated", f"{_ASSEMBLED} select query_id, id, position::int as position, {_estimate('final')} as tokens, not fits as truncated, md5(final) as block from used where final is not null")
+def context_truncated(spark, sf_dir):
+    """The rows of each context with the one that is cut."""
+    chosen = context.diversify(context.greedy_dedup(context.context_rows(_results(spark, sf_dir))))
+    return context.fill_budget(chosen).select("query_id", "id", "position", "tokens", "truncated", F.md5("block").alias("block"))
+
+
+@_register("context_assembled", f"{_ASSEMBLED} select * from assembled")
 def context_assembled(spark, sf_dir):
     return context.assemble(_results(spark, sf_dir)).drop("selected")
 
@@ -474,13 +537,37 @@ def source_stats(spark, sf_dir):
     return context.source_stats(context.diversify(context.context_rows(_results(spark, sf_dir)))).select("query_id", "n_chunks", "unique_docs", "year_min", "year_max")
 
 
-@_register("generated_answers")
+def _rendered(stage: str, **values: str) -> str:
+    """The first 200 characters of a stage's prompt, which the echoing generator replies."""
+    text = generate.STAGES[stage].template
+    parts = "'" + text.replace("'", "''") + "'"
+    for name, value in values.items():
+        parts = parts.replace("{" + name + "}", f"' || {value} || '")
+    return f"trim(left({parts}, 200))"
+
+
+_ANSWERS = f"""{_ASSEMBLED}, asked as (select a.query_id, context_text as ctx, coalesce(b.text, '') as q, trim(context_text) <> '' as has from assembled a join benchmark b on b.item_id = a.query_id),
+judged as (select *, case when has then {_rendered("evidence_evaluator", context="ctx", question="q")} else '' end as evaluation from asked),
+drafted as (select *, case when has then {_rendered("answer_generator", context="ctx", question="q", evidence_assessment="evaluation")} else '' end as draft from judged),
+reviewed as (select *, case when draft <> '' then {_rendered("critical_reviewer", context="ctx", question="q", draft_answer="draft")} else '' end as review from drafted),
+finished as (select *, case when review <> '' then {_rendered("final_assembler", context="ctx", question="q", draft_answer="draft", review="review", disclaimer="'" + generate.DISCLAIMER.replace("'", "''") + "'")} else '' end as final from reviewed),
+lined as (select *, list_transform(string_split(case when final <> '' then final else draft end, chr(10)), lambda x: rtrim(x, ' ' || chr(9))) as l from finished),
+tidied as (select *, regexp_replace(trim(array_to_string(list_filter(l, lambda x, i: x <> '' or (i > 1 and l[i - 1] <> '')), chr(10)), ' ' || chr(9) || chr(10)), '【\\s*(\\d+)\\s*】', '[\\1]', 'g') as body from lined)"""
+
+
+@_register("generated_answers", f"""{_ANSWERS}
+select query_id, case when not has then '' when contains(body, '{generate.DISCLAIMER}') then body else body || chr(10) || chr(10) || '{generate.DISCLAIMER}' end as answer, case when not has then 'empty context' when review <> '' and final = '' then 'no final text, draft kept' end as warning from tidied
+""")
 def generated_answers(spark, sf_dir):
     built = context.assemble(_results(spark, sf_dir))
     return generate.answer(built.join(_queries(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")).select("query_id", "answer", "warning")
 
 
-@_register("evidence_filter")
+@_register("evidence_filter", f"""
+{_FIRST}, placed as (select query_id, id, row_number() over (partition by query_id order by diverse_score desc, id)::int as position from chosen),
+flagged as (select *, case query_id % 3 when 0 then position in (1, 3) else false end as usable from placed), known as (select *, bool_or(usable) over (partition by query_id) as has from flagged)
+select query_id, id, position, case when has then 'filtered' when query_id % 3 < 2 then 'ids not in context, all kept' else 'no usable ids, all kept' end as filter_note from known where usable or not has
+""")
 def evidence_filter(spark, sf_dir):
     rows = context.diversify(context.context_rows(_results(spark, sf_dir)))
     ids = F.when(F.col("query_id") % 3 == 0, F.array(F.lit(1), F.lit(3))).when(F.col("query_id") % 3 == 1, F.array(F.lit(99)))
@@ -565,24 +652,46 @@ def metadata_normalized(spark, sf_dir):
     return io.normalized_metadata(own, ["quality", "lang"])
 
 
+def _embedded(table: str, key: str) -> str:
+    """(key, embedding) by the hashing embedder: signed sums of the words' hashes, at unit length in single precision."""
+    return f"""(
+  with words as (select {key}, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) as w from {table}),
+  hashed as (select {key}, ('0x' || left(md5(w), 8))::ubigint as h from words), summed as (select {key}, (h % 64)::int as d, sum(case when h >= 2147483648 then 1 else -1 end)::int as v from hashed group by all),
+  sized as (select {key}, sqrt(sum(v * v))::real as size from summed group by {key})
+  select t.{key}, list(case when coalesce(size, 0) > 0 then (coalesce(v, 0)::real / size)::real else 0::real end order by n.d) as embedding from (select distinct {key} from {table}) t cross join (select unnest(range(64))::int as d) n left join summed s on s.{key} = t.{key} and s.d = n.d left join sized z on z.{key} = t.{key} group by t.{key})"""
+
+
+#: The items have no names of the lexicon and ask for no years, so the vector path of their own text is the only one.
+_NEAR = f"""with q as {_embedded("benchmark", "item_id")}, v as {_embedded("documents", "doc_id")},
+near as (select q.item_id as query_id, v.doc_id as chunk_id, {_COSINE} as score, row_number() over (partition by q.item_id order by coalesce({_COSINE}, 0) desc, v.doc_id)::int as fused_rank from q, v qualify fused_rank <= 20)"""
+
+
 def _retriever(spark, sf_dir) -> Retriever:
     chunks = _articles(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "doc_id", "journal", F.col("pub_year").cast("string").alias("pub_year"), "lang", T.is_table(T.text_of("text")).alias("is_table"))
     return Retriever.build(chunks)
 
 
-@_register("retrieved_candidates")
+@_register("retrieved_candidates", f"{_NEAR} select query_id, chunk_id, round(1.0::double / (60 + fused_rank), 6) as fused_score, fused_rank, 1::bigint as n_paths from near")
 def retrieved_candidates(spark, sf_dir):
     return _retriever(spark, sf_dir).retrieve(_queries(spark, sf_dir)).select("query_id", "chunk_id", "fused_score", "fused_rank", "n_paths")
 
 
-@_register("search_results")
+@_register("search_results", f"""
+{_NEAR}, venues as ({_VENUES}), wanted as (select item_id as query_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) as w from benchmark),
+criteria as (select query_id, chunk_id, fused_rank, d.text, case when len(w) > 0 then len(list_intersect(w, string_split_regex(lower(coalesce(d.text, '')), '\\s+')))::double / len(w) else 0.0 end as raw, greatest(0.0, least(1.0, (chunk_id % 35) / 34.0::double)) as recency, authority
+  from near join documents d on d.doc_id = chunk_id join venues on venue = d.source join wanted using (query_id)),
+normal as (select *, case when count(*) over w = 1 then raw when max(raw) over w - min(raw) over w < 1e-9 then 1.0 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end as relevance from criteria window w as (partition by query_id)),
+final as (select query_id, chunk_id, left(text, 400) as snippet, round(relevance * 0.6::double + recency * 0.25::double + authority * 0.15::double, 6) as rerank_score from normal)
+select query_id, chunk_id, rerank_score, row_number() over (partition by query_id order by rerank_score desc, chunk_id)::int as rerank_rank, snippet from final qualify rerank_rank <= 5
+""")
 def search_results(spark, sf_dir):
     return _retriever(spark, sf_dir).search(_queries(spark, sf_dir)).select("query_id", "chunk_id", "rerank_score", "rerank_rank", "snippet")
 
 
-@_register("embedded_items")
+@_register("embedded_items", f"with q as {_embedded('benchmark', 'item_id')} select item_id as query_id, len(embedding)::int as dim, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) as norm, round(list_sum(list_transform(range(1, 65), lambda i: i * embedding[i]::double)), 3) as moment from q")
 def embedded_items(spark, sf_dir):
-    return models.embed(_queries(spark, sf_dir)).select("query_id", F.size("embedding").alias("dim"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
+    moment = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return models.embed(_queries(spark, sf_dir)).select("query_id", F.size("embedding").alias("dim"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"), F.round(moment, 3).alias("moment"))
 
 
 @_register("query_enhance")
@@ -595,3 +704,6 @@ def query_enhance(spark, sf_dir):
 def json_repair(spark, sf_dir):
     rows = [(1, '{"a": 1}'), (2, '```json\n{"a": [1, 2]}\n```'), (3, 'Well: {"a": 1} there'), (4, '{"a": 1,}'), (5, "{“a”: 1}"), (6, '{"a": {"b": [1, 2'), (7, '<think>x</think>{"a": 1}'), (8, "{'a': True}"), (9, "no")]
     return spark.createDataFrame(rows, "id long, reply string").select("id", generate.json_udf(F.col("reply")).alias("json"))
+
+
+from quern.plans import stores, written  # noqa: E402, F401  their queries are registered here

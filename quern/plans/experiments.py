@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+from quern.operators.profile import positions
+
 
 def compare(results: DataFrame, setting: str = "setting", query_id: str = "query_id", score: str = "score") -> DataFrame:
     """Per setting the mean score, its difference from the best mean, and the queries that it wins (ties go to the first by name)."""
@@ -23,15 +28,36 @@ def compliance(results: DataFrame, ok, by: str = "query_id") -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, key: str, samples: int) -> DataFrame:
-    """Every (n // samples)-th row by the order of a numeric key, ``samples`` at most."""
-    from quern.operators.profile import strata
-
-    n = df.count()
-    step = max(1, n // samples)
-    # each of n // step parts of equal numbers gives its first row
-    parts = strata(df, key, key, max(1, n // step))
-    first = parts.groupBy("stratum").agg(F.min(key).alias(key)).orderBy("stratum").limit(samples)
-    return df.join(first.select(key), key, "left_semi")
+    """Every (n // samples)-th row by the order of a key, ``samples`` at most."""
+    own = positions(df, key).withColumn("__step", F.greatest(F.lit(1), F.expr(f"total div {samples}")))
+    return own.where(f"pos % __step = 0 and pos < __step * {samples}").drop("__step", "pos", "total")
+
+
+def similar_pairs(rows: DataFrame, by: str, item: str, text: str = "text", threshold: float = 0.0) -> DataFrame:
+    """(by, a, b, similarity): all unordered pairs within a group of bounded size, such as a document's chunks or a list of
+    candidates, by the Jaccard similarity of their character 4-grams, from ``threshold`` on."""
+    own = rows.select(by, F.col(item).alias("item"), F.transform(T.char_shingles(F.col(text)), lambda x: F.xxhash64(x)).alias("set"))
+    first, second = (own.select(by, F.col("item").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
+    pairs = first.join(second, by).where("a < b")
+    return pairs.select(by, "a", "b", F.round(T.jaccard(F.col("set_a"), F.col("set_b")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def grid(queries: DataFrame, settings: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The results of every setting for all queries, with the column setting."""
+    parts = [run(queries).withColumn("setting", F.lit(name)) for name, run in settings.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def latencies(function: Callable[[object], object], items: list, clock: Callable[[], float] = time.perf_counter) -> dict[str, float]:
+    """Seconds of each call: their number, mean, median, 95th percentile and largest."""
+    seconds = []
+    for x in items:
+        start = clock()
+        function(x)
+        seconds.append(clock() - start)
+    ordered = sorted(seconds)
+    at = lambda q: ordered[min(len(ordered) - 1, int(q * len(ordered)))] if ordered else 0.0
+    return {"n": len(seconds), "mean": sum(seconds) / max(1, len(seconds)), "p50": at(0.5), "p95": at(0.95), "max": ordered[-1] if ordered else 0.0}
 
 
 def readiness(checks: dict[str, Callable[[], object]]) -> list[tuple[str, bool, str]]:

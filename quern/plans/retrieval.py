@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
@@ -33,33 +33,34 @@ class Retriever:
         vectors = models.embed(chunks.select("chunk_id", "text"), embedder).select("chunk_id", "embedding")
         return Retriever(chunks, bm25.build_index(chunks, "chunk_id"), vectors, embedder, scorer)
 
-    def _filters(self, enhanced: DataFrame, where: dict | None) -> list[tuple[dict, list[int]]]:
-        """Each different filter with its queries; there are as many as the batch has queries at most."""
-        if where is not None:
-            return [(where, [r.query_id for r in enhanced.select("query_id").collect()])]
-        found: dict[str, tuple[dict, list[int]]] = {}
-        for r in enhanced.select("query_id", "years", "is_table", "filter_lang").collect():
-            own = ({"pub_year": {"$in": list(r.years)}} if r.years else {}) | ({"is_table": True} if r.is_table else {}) | ({"lang": r.filter_lang} if r.filter_lang else {})
-            found.setdefault(repr(own), (own, []))[1].append(r.query_id)
-        return list(found.values())
+    @staticmethod
+    def _wanted() -> Column:
+        """What an enhanced query asks of a chunk's tags: one of every list."""
+        tagged = lambda name, values: F.transform(values, lambda x: F.concat(F.lit(f"{name}="), x))
+        lists = F.array(
+            F.when(F.size("years") > 0, tagged("pub_year", F.col("years"))), F.when(F.col("is_table"), F.array(F.lit("is_table=true"))), F.when(F.col("filter_lang").isNotNull(), tagged("lang", F.array("filter_lang"))),
+        )
+        return F.array_compact(lists)
 
     def retrieve(self, queries: DataFrame, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: dict | None = None, lexicon: query.Lexicon | None = None, as_of_year: int = L.YEAR_MAX) -> DataFrame:
-        """Fused candidates of (query_id, text): a vector path for each variant of a query and one keyword path, both filtered before ranking."""
-        enhanced = query.enhance(queries, lexicon, as_of_year)
-        paths = []
-        for own, ids in self._filters(enhanced, where):
-            rows = enhanced.where(F.col("query_id").isin(ids))
-            allowed = self.chunks.where(filters.predicate(own)).select(F.col("chunk_id").alias("doc")) if own else None
-            vectors = self.vectors if allowed is None else self.vectors.join(allowed.withColumnRenamed("doc", "chunk_id"), "chunk_id", "left_semi")
-            variants = rows.select("query_id", F.posexplode("variants").alias("n", "text"))
-            embedded = models.embed(variants, self.embedder)
-            for n in range(3):
-                near = vector.vector_search(embedded.where(F.col("n") == n).select("query_id", "embedding"), vectors, k_vector, vector_id="chunk_id")
-                paths.append(fusion.path(near, n, f"vector_{n}", "vector"))
-            found = bm25.search(self.index, rows.select("query_id", F.col("keyword_query").alias("text")), k_keyword, allowed=allowed)
-            paths.append(fusion.path(found, 3, "bm25", "keyword"))
-        if not paths:
-            return fusion.materialize(fusion.STRATEGIES[strategy](fusion.path(bm25.search(self.index, queries, k_keyword), 3, "bm25", "keyword")), self.chunks, "chunk_id")
+        """Fused candidates of (query_id, text): a vector path for each variant of a query and one keyword path, both filtered before ranking.
+
+        ``where`` filters the chunks of all queries; without it each query has the filters that its text asks for.
+        All queries, variants and filters are one vector search and one keyword search.
+        """
+        enhanced = query.enhance(queries, lexicon, as_of_year).withColumn("where", self._wanted() if where is None else F.array().cast("array<array<string>>"))
+        tags = F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("pub_year", "is_table", "lang")))
+        chunks = self.chunks.where(filters.predicate(where)) if where else self.chunks
+        tagged = chunks.select("chunk_id", tags.alias("tags"))
+        variants = enhanced.select("query_id", "where", F.posexplode("variants").alias("n", "text")).withColumn("key", F.col("query_id") * 4 + F.col("n"))
+        near = vector.vector_search(models.embed(variants, self.embedder), self.vectors.join(tagged, "chunk_id"), k_vector, query_id="key", vector_id="chunk_id", where="where", tags="tags")
+        n = F.pmod("query_id", F.lit(4)).cast("int")
+        paths = [fusion.path(near.where(n == i).withColumn("query_id", F.floor(F.col("query_id") / 4)), i, f"vector_{i}", "vector") for i in range(3)]
+        scored = bm25.scores(self.index, enhanced.select("query_id", F.col("keyword_query").alias("text")), allowed=tagged.select(F.col("chunk_id").alias("doc")) if where else None)
+        asked = scored.join(enhanced.where(F.size("where") > 0).select("query_id", "where"), "query_id").join(tagged.withColumnRenamed("chunk_id", "doc"), "doc")
+        kept = asked.where(F.forall("where", lambda x: F.arrays_overlap(x, F.col("tags")))).select("query_id", "doc", "score")
+        free = scored.join(enhanced.where(F.size("where") == 0).select("query_id"), "query_id", "left_semi").select("query_id", "doc", "score")
+        paths.append(fusion.path(bm25.top_k(kept.unionByName(free), k_keyword), 3, "bm25", "keyword"))
         return fusion.materialize(fusion.STRATEGIES[strategy](fusion.union(paths)), self.chunks.withColumn("__id", F.col("chunk_id")), "__id")
 
     def search(self, queries: DataFrame, top_n: int = 5, weights: dict[str, float] | None = None, reranked: bool = True, snippet: int = 400, **options) -> DataFrame:

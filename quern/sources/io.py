@@ -32,7 +32,8 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path).na.fill("")
+    df = reader.csv(path).na.fill("")
+    return df.toDF(*(c.removeprefix("\ufeff") for c in df.columns))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,7 +62,7 @@ def wide_table(metadata: DataFrame, texts: DataFrame) -> DataFrame:
         F.coalesce(X.first_year(F.col("citation")), F.lit("")).alias("pub_year"), get("Electronic publication date", "Publication date").alias("pub_date_line"), get("ISSN", "EISSN").alias("issn"), get("Publisher").alias("publisher"),
         text.rlike(r"(?im)^\s*(abstract|summary)\b").alias("has_abstract_head"), F.exists(X.lines(text), lambda x: X.section_class(x).isNotNull()).alias("has_section_head"),
         F.size(X.lines(text)).alias("n_lines"), F.length(text).alias("n_chars"), F.round(F.octet_length(text) / 1024, 1).alias("size_kb"),
-        F.when(F.is_valid_utf8(F.col("content")), 0).otherwise(1).alias("bad_bytes"), X.mojibake_count(text).alias("mojibake_cnt"), X.occurrences(text, X.CJK).alias("cjk_chars"),
+        F.coalesce((~F.is_valid_utf8(F.col("content"))).cast("int"), F.lit(0)).alias("bad_bytes"), X.mojibake_count(text).alias("mojibake_cnt"), X.occurrences(text, X.CJK).alias("cjk_chars"),
     )
 
 
@@ -70,6 +71,21 @@ def verified(files: DataFrame, content: str = "content", url: str = "url") -> Da
     return files.withColumn("checksum_ok", F.md5(F.col(content)) == X.url_md5(F.col(url)))
 
 
+def first_that_works(*fetches: Callable[[str], tuple[bytes, str]]) -> Callable[[str], tuple[bytes, str]]:
+    """Each in turn until one doesn't fail, such as a text and then the XML of an article."""
+
+    def fetch(i: str) -> tuple[bytes, str]:
+        for n, one in enumerate(fetches, 1):
+            try:
+                return one(i)
+            except Exception:
+                if n == len(fetches):
+                    raise
+        raise ValueError("no way to fetch is given")
+
+    return fetch
+
+
 def fetched(ids: DataFrame, fetch: Callable[[str], tuple[bytes, str]], key: str = "id") -> DataFrame:
     """(id, content, url, error) by a function that the caller brings; a failing id gives a row with its error."""
     kind = dict(ids.dtypes)[key]
@@ -113,8 +129,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = False) -> None:
+    """White space stays as it is; with ``bom`` the first column's name begins with a byte order mark, for programs that need one."""
+    df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+    df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -128,11 +146,12 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 
 def report(sections: dict[str, DataFrame], title: str, most: int = 200) -> str:
-    """Small tables as a Markdown report; each is cut to ``most`` rows."""
+    """Small tables as a Markdown report; a table with more than ``most`` rows is cut, which the report says."""
     out = [f"# {title}", ""]
     for name, df in sections.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
+        more, rows = len(rows) > most, rows[:most]
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
         out += ["| " + " | ".join(json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, (list, dict)) else str(v) for v in r) + " |" for r in rows]
-        out.append("")
+        out += [f"More than {most} rows; these are the first."] * more + [""]
     return "\n".join(out)

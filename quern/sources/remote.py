@@ -6,6 +6,7 @@ such as these for each id, in the tasks.  ``opener`` stands for the network.
 
 from __future__ import annotations
 
+import html
 import re
 import time
 import urllib.parse
@@ -48,9 +49,16 @@ def search_ids(query: str, most: int = 100, first: str | None = None, last: str
 
 
 def list_prefixes(bucket: str, prefix: str, opener: Opener = _open) -> list[str]:
-    """The folders below a prefix of a public bucket."""
-    url = f"https://{bucket}.s3.amazonaws.com/?" + urllib.parse.urlencode({"list-type": 2, "prefix": prefix, "delimiter": "/"})
-    return re.findall(r"<CommonPrefixes><Prefix>([^<]+)</Prefix>", http_get(url, opener=opener).decode())
+    """The folders below a prefix of a public bucket, of all pages of the listing."""
+    found, token = [], ""
+    while True:
+        asked = {"list-type": 2, "prefix": prefix, "delimiter": "/"} | ({"continuation-token": token} if token else {})
+        page = http_get(f"https://{bucket}.s3.amazonaws.com/?" + urllib.parse.urlencode(asked), opener=opener).decode()
+        found += re.findall(r"<CommonPrefixes><Prefix>([^<]+)</Prefix>", page)
+        more = re.search(r"<NextContinuationToken>([^<]+)<", page)
+        if not more:
+            return found
+        token = html.unescape(more.group(1))
 
 
 def latest_prefix(prefixes: list[str]) -> str | None:
