@@ -694,16 +694,4 @@ def embedded_items(spark, sf_dir):
     return models.embed(_queries(spark, sf_dir)).select("query_id", F.size("embedding").alias("dim"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"), F.round(moment, 3).alias("moment"))
 
 
-@_register("query_enhance")
-def query_enhance(spark, sf_dir):
-    rows = [(1, "MI mortality after 2020"), (2, "二甲双胍对心血管疾病有何影响？"), (3, "T2DM and CKD 2020-2023 tables"), (4, ""), (5, "近五年 aspirin 出血"), (6, "MIDAS touch")]
-    return query.enhance(spark.createDataFrame(rows, "query_id long, text string"))
-
-
-@_register("json_repair")
-def json_repair(spark, sf_dir):
-    rows = [(1, '{"a": 1}'), (2, '```json\n{"a": [1, 2]}\n```'), (3, 'Well: {"a": 1} there'), (4, '{"a": 1,}'), (5, "{“a”: 1}"), (6, '{"a": {"b": [1, 2'), (7, '<think>x</think>{"a": 1}'), (8, "{'a': True}"), (9, "no")]
-    return spark.createDataFrame(rows, "id long, reply string").select("id", generate.json_udf(F.col("reply")).alias("json"))
-
-
 from quern.plans import stores, written  # noqa: E402, F401  their queries are registered here

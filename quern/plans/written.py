@@ -209,6 +209,20 @@ def query_mentions(spark, sf_dir):
     return query.mentions(_queries(spark, sf_dir).select("query_id", F.concat(T.text_of("text"), _by(F.col("query_id"), _NAMED)).alias("text")))
 
 
+_FORMS = [" MI", "  HTN risk", " heart failure", ""]
+
+
+@_register("query_texts", f"""
+with asked as (select item_id as query_id, (item_id % 4)::int as k, trim(regexp_replace(coalesce(text, '') || {_sql_by('item_id', _FORMS)}, '\\s+', ' ', 'g')) as cleaned from benchmark),
+main as (select *, case k when 0 then regexp_replace(cleaned, ' MI$', ' myocardial infarction (MI)') when 1 then regexp_replace(cleaned, ' HTN risk$', ' hypertension (HTN) risk') else cleaned end as vector_query from asked)
+select query_id, cleaned, 'en' as lang, vector_query, case k when 0 then 'myocardial infarction mi ami heart attack' when 1 then 'hypertension htn high blood pressure' when 2 then 'heart failure hf chf cardiac' else '' end as keyword_query,
+  case k when 2 then vector_query || ' | ' || replace(cleaned, 'heart failure', 'hf') else vector_query end as variants, case k when 0 then 'myocardial infarction' when 1 then 'hypertension' when 2 then 'heart failure' else '' end as terms from main
+""")
+def query_texts(spark, sf_dir):
+    done = query.enhance(_queries(spark, sf_dir).select("query_id", F.concat(T.text_of("text"), _by(F.col("query_id"), _FORMS)).alias("text")))
+    return done.select("query_id", "cleaned", "lang", "vector_query", "keyword_query", F.array_join("variants", " | ").alias("variants"), F.array_join("canonical_terms", ",").alias("terms"))
+
+
 @_register("json_replies", """
 with kinds as (select item_id, (item_id % 6)::int as k, '[1, ' || item_id || ']' as ids from benchmark)
 select item_id as id, case when k = 5 then null when k = 3 then '{"a": {"b": [1, ' || item_id || ']}}' when k = 4 then '{"a": true, "b": "x"}' else '{"usable_ids": ' || ids || '}' end as json from kinds
