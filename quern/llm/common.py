@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.shared import shared_folder, stored
+
 #: Texts that are handled together in a Python worker hold about this many characters.
 SLICE_CHARS = 1_500_000
 #: A worker forgets its word hashes when it holds so many.
@@ -25,6 +25,7 @@ CACHED_WORDS = 250_000
 LONG_WORD = 100
 
 _WORD = re.compile(r"\w+")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,28 +125,16 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
             yield part, [x or "" for x in part.column(column).to_pylist()]
 
 
-
-
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later steps start from these files, which go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+def spaced(text: bytes, most: int = 1_000_000) -> Iterator[bytes]:
+    """The text in pieces of about ``most`` bytes, cut at white space only."""
+    start = 0
+    while len(text) - start > most:
+        found = _SPACE.search(text, start + most)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
 
 
 def plain_names(docs: DataFrame) -> DataFrame:

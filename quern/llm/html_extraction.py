@@ -14,7 +14,10 @@ what surrounds them in many ways and knows which run of text is which.
 Defined cases: a null or empty page gives an empty text; tags that were never
 closed end with the page, other end tags are ignored; scripts, styles,
 titles, templates, text areas and frames are no text, all other elements are
-ordinary nodes (formulas: part of the run of text); rows are extracted one by one; other columns are ignored.
+ordinary nodes (formulas: part of the run of text); where all of an element is as
+likely as its parts, all of it is kept; a very long page is one tree like others;
+rows are extracted one by one, repeated ones too; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

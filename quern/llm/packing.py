@@ -6,8 +6,10 @@ randomised groups of about ``group_size`` pieces, and each group is packed by
 first-fit decreasing: a tournament tree over the bins holds the largest room
 below each node, so the first bin with enough room is found in logarithmic time.
 
-Defined cases: a null text is empty and has the end id only; repeated rows and
-ids give a piece each; a group's size is bounded for any distribution of ids,
+Defined cases: a null text is empty and has the end id only; a very long text is
+cut into pieces like any other that is longer than a sequence; pieces of one
+length are packed in the order of their rows; repeated rows and ids give pieces
+of their own; a group's size is bounded for any distribution of ids,
 since rows are dealt out by a number that is given to each row; other columns
 are ignored; an empty table gives no rows.
 """

@@ -143,6 +143,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def _rounded(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
+    return df.withColumn(column, F.round(column, digits))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 returns beside the model's score."""
+    return _rounded(op5_lm_scoring(spark, sf_dir).drop("score"), "base_score")
+
+
+_CRC = """gen(i, c, k) as (select i, i::ubigint, 0 from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from gen where k < 8),
+crcs as (select list(c order by i) as tab from gen where k = 8),
+held as (select doc_id, coalesce(xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::ubigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::int + 1])), 4294967295::ubigint) % 10 = 0, true) as held_out from (select distinct doc_id from documents), crcs)"""
+_LM_BASE_SQL = rf"""
+with recursive {_CRC},
+words as (select row_number() over () as r, d.doc_id, held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), '') as w from documents d join held h on d.doc_id is not distinct from h.doc_id),
+tokens as (select r, doc_id, held_out, unnest(w) as w from words), counts as (select w, count(*) as c from tokens where not held_out group by w), size as (select sum(c) as n, count(*) as v from counts)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, any_value(n)::bigint as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)))), 3) as base_score
+from tokens left join counts using (w), size group by r, doc_id, held_out
+"""
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 returns beside the method's verdict."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_QUALITY_BASE_SQL = r"""
+with own as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as w from documents),
+lines as (select r, line, count(*) as n from (select r, unnest(string_split(text, chr(10))) as line from own) where regexp_matches(line, '[^ 	-
+]') group by all),
+windows as (select r, i, array_to_string(w[i:i + 7], ' ') as x from (select r, w, unnest(range(1, len(w) - 6)) as i from own where len(w) >= 8)),
+again as (select r, i from windows qualify count(*) over (partition by r, x) > 1),
+marked as (select r, count(distinct i + k) as n from again, range(8) t(k) group by r),
+summed as (select own.r, doc_id, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(m.n, 0)::bigint as n_repeat_words
+  from own left join (select r, sum(n - 1) as n from lines group by r) d using (r) left join marked m using (r))
+select doc_id, n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from summed
+"""
+
+
+def packing_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document of op7's pieces whether every id lies in one of them, and whether all sequences are within their length and gapless."""
+    pieces = op7_packing(spark, sf_dir)
+    sequences = pieces.groupBy("sequence_id").agg(F.sum("length").alias("ids"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count("*").alias("n"))
+    sound = sequences.select("sequence_id", ((F.col("ids") == F.col("end")) & (F.col("end") <= 4096) & (F.col("places") == F.col("n"))).alias("sound"))
+    per = pieces.join(sound, "sequence_id").groupBy("doc_id").agg(F.sum("length").alias("held"), F.sum(F.when(F.col("start") == 0, F.col("doc_tokens"))).alias("due"), F.min("sound").alias("sound"), F.count_if(F.col("start") == 0).alias("rows"))
+    return per.select("doc_id", "rows", (F.col("held") == F.col("due")).alias("covered"), "sound")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
@@ -154,6 +204,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "lm_base_scores": lm_base_scores,
+    "quality_base": quality_base,
+    "packing_cover": packing_cover,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _OP1_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": _OP1_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
+    "packing_cover": "select doc_id, count(*) as rows, true as covered, true as sound from documents group by doc_id",
+}

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from cases import documents, empty
 
-from quern.llm.line_dedup import dedup_lines, without_repeated_lines
+from quern.llm.line_dedup import dedup_lines, suffix_ranks, without_repeated_lines
 
 
 def brute(texts, least):
@@ -55,3 +56,22 @@ def test_odd_tables(spark):
 def test_only_built_in_functions(spark):
     plan = dedup_lines(documents(spark).drop("n_deleted"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ranks_are_those_of_a_plain_suffix_array(spark, seed):
+    rng = random.Random(seed)
+    texts = ["\n".join(rng.choice("abcde") + " x" for _ in range(rng.randint(1, 14))) for _ in range(12)]
+    lines = {i: t.split("\n") for i, t in enumerate(texts)}
+    _, levels = suffix_ranks(documents(spark, texts, [*range(12)]), 12)
+    first = {(r.doc_id, r.pos): r["rank"] for r in levels[0].collect()}
+    assert len({(lines[d][p], rank) for (d, p), rank in first.items()}) == len(set(first.values()))  # a rank for each line
+    for k, level in enumerate(levels):
+        prefixes = {(d, p): tuple(first[d, p + i] for i in range(2**k)) for d, p in first if all((d, p + i) in first for i in range(2**k))}
+        often = Counter(prefixes.values())
+        own = {at: x for at, x in prefixes.items() if often[x] > 1}
+        got = {(r.doc_id, r.pos): r["rank"] for r in level.collect()}
+        assert got.keys() == own.keys() and len(levels) > 2
+        # the order of suffixes by rank is that of their lines' ranks, and equal ranks have equal lines
+        by_rank = sorted({(got[at], x) for at, x in own.items()})
+        assert [x for _, x in by_rank] == sorted(set(own.values()))
