@@ -3,7 +3,8 @@
 Every round joins each vertex with the least vertex among its neighbours, first
 for its larger neighbours, then for its smaller ones; the edges end as stars
 around the least vertex of each component.  Edges stay as many as there were at
-most, and each round is written to the shared folder.
+most, and each round is written to the shared folder.  More than ``rounds`` rounds
+(their number goes by the logarithm of the vertices) are an error.
 """
 
 from __future__ import annotations
@@ -37,4 +38,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't found after {rounds} rounds")
     return edges.select("u", F.col("v").alias("root"))
