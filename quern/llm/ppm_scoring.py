@@ -6,19 +6,23 @@ nowhere as a whole.  Documents form chunks of bounded size; each chunk's distinc
 n-grams go by the last two context bytes to the tasks that sum them.  Such a task
 has all that the contexts of two bytes and more with this end need, and gets the
 shorter ones, 256 ** 2 at most, from the driver; it sends each chunk the
-logarithms of its n-grams, with which the chunk's texts are scored.  Only a
-caller who gives ``max_grams`` has rare entries pruned (one least count for all
-lengths, so every suffix and prefix of an entry stays).  A byte is predicted from the
-longest known context; where it has not followed that context, an escape leads
-to the next shorter one, from which the bytes that the longer one has seen are
-excluded.  A symbol seen c times among n after a context with d different
-symbols has the estimate (c - 1/2) / n, the escape d / 2n.  The score is log10 of the probability of the lower-cased text's bytes and an end symbol.
+logarithms of its n-grams, with which the chunk's texts are scored.  No entry is
+pruned.  A byte is predicted from the longest known context; where it has not
+followed that context, an escape leads to the next shorter one, from which the
+bytes that the longer one has seen are excluded.  A symbol seen c times among n
+after a context with d different symbols has the estimate (c - D) / n, the escape
+d * D / n.  After the longest contexts c counts occurrences; after shorter ones
+it counts the contexts longer by one in which the symbol was seen, as if only
+escapes led there (update exclusion).  The score is log10 of the probability of
+the lower-cased text's bytes and an end symbol.
 
 The word unigram's counts cover all training tokens.  Words that are frequent
 (at most ``max_heavy`` of them, by one least count) are looked up in the tasks;
 all others go through a join on the word, where no key is large by construction.
 
-Defined cases: a null text is empty and consists of the end; a null id counts
+Texts that are longer than a slice are walked in windows that overlap by a context.
+
+Defined cases: a null text is empty and consists of the end; a very long text is scored whole; a null id counts
 as held out; repeated rows and ids are scored row by row and counted as often as
 they stand; other columns are ignored; without any training text every symbol
 has the probability 1 / 256.
@@ -38,15 +42,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_bucket, dropped, slices, stored, task, text_slices
+from quern.llm.common import crc_bucket, distinct, dropped, slices, spaced, stored, task, text_slices
 
 ORDER, MAX_HEAVY = 5, 200_000
+#: What an estimate takes from each seen symbol for the escape.
+DISCOUNT = 0.3
 #: Symbols that no UTF-8 text holds: what stands before a text, and what ends it.
 _BEFORE, _END = 0xFE, 0xFF
 _SYMBOLS = 256
 _SLICE_BYTES = 300_000
 #: Characters of a chunk; n-grams that are evaluated together, a bucket at least; bytes that wait in memory meanwhile.
-_CHUNK_CHARS, _TOGETHER, _WAITING = 16_000_000, 200_000, 32_000_000
+_CHUNK_CHARS, _TOGETHER, _WAITING = 16_000_000, 200_000, 16_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -57,20 +63,37 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode().translate(_LOWER)
 
 
-def gram_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per symbol (each byte, then the end) its context and itself as one number; and where each text begins."""
+def windows(texts: list[bytes], order: int, most: int | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Groups of windows of about ``most`` bytes, with the number of the text of each: the padding, the text and its end in pieces, each after the context that its first symbol has."""
+    most = most or _SLICE_BYTES
     before, end = bytes([_BEFORE]) * order, bytes([_END])
-    joined = np.frombuffer(b"".join(before + x + end for x in texts), np.uint8)
-    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+    numbers, group, size = [], [], 0
+    for i, text in enumerate(texts):
+        whole = before + text + end
+        for start in range(0, len(whole) - order, most):
+            numbers.append(i)
+            group.append(whole[start : start + most + order])
+            size += len(group[-1])
+            if size >= most:
+                yield numbers, group
+                numbers, group, size = [], [], 0
+    if group:
+        yield numbers, group
+
+
+def gram_codes(group: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per symbol of the windows after their first ``order`` bytes its context and itself as one number; and where each window begins."""
+    joined = np.frombuffer(b"".join(group), np.uint8)
+    sizes = np.array([len(x) for x in group], np.int64)
     codes = np.zeros(len(joined) - order, np.uint64)
     for j in range(order + 1):
         codes <<= np.uint64(8)
         codes |= joined[j : len(joined) - order + j]
     own = np.ones(len(codes), bool)
-    starts = np.concatenate([[0], np.cumsum(sizes + order)[:-1]])
+    starts = np.cumsum(sizes)[:-1]
     for j in range(order):
-        own[(starts[1:] - order + j)] = False  # windows that end in the padding before the next text
-    return codes[own], np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        own[starts - order + j] = False  # what spans two windows
+    return codes[own], np.concatenate([[0], np.cumsum(sizes - order)[:-1]])
 
 
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +110,7 @@ class HashedCodes:
     """Open addressing: code -> position in the given array."""
 
     def __init__(self, codes: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(1, len(codes)) * 2)))))
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(1, len(codes)) * 1.5)))))
         size = 1 << (64 - int(self.shift))
         self.mask = size - 1
         self.keys, self.position = np.full(size, _EMPTY), np.zeros(size, np.int32)
@@ -150,7 +173,7 @@ class PartialMatching:
                 self.excluded.append(np.zeros(len(contexts)))
         j = self.order
         at = np.searchsorted(self.contexts[j], self.grams[j] >> np.uint64(8))
-        self.longest = np.log10((self.counts[j] - 0.5) / self.total[j][at]) if len(at) else np.empty(0)
+        self.longest = np.log10((self.counts[j] - DISCOUNT) / self.total[j][at]) if len(at) else np.empty(0)
         self.table = None
 
     def __getstate__(self) -> dict:
@@ -185,9 +208,9 @@ class PartialMatching:
                 kinds[under] -= self.kinds[j + 1][longer[under]]
             at = _at(self.grams[j], gram)
             seen = at >= 0
-            out[todo[seen]] += np.log10((self.counts[j][at[seen]] - 0.5) / total[seen])
+            out[todo[seen]] += np.log10((self.counts[j][at[seen]] - DISCOUNT) / total[seen])
             escape = ~seen & (total > 0)
-            out[todo[escape]] += np.log10(0.5 * kinds[escape] / total[escape])
+            out[todo[escape]] += np.log10(DISCOUNT * kinds[escape] / total[escape])
             todo, longer = todo[~seen], context[~seen]
         left = _SYMBOLS - (self.kinds[0][0] if len(self.kinds[0]) else 0)
         out[todo] -= np.log10(max(1, left))
@@ -227,18 +250,49 @@ def _rows(schema: pa.Schema, n: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-_CHUNKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
-_CHUNKED_SQL = "chunk long, bucket int, grams binary, counts binary, word binary, gram long, n long, row long, doc_id long, held_out boolean, text string"
+_CHUNKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+_CHUNKED_SQL = "chunk long, bucket int, grams binary, counts binary, word binary, gram long, n long"
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """The rows as one compressed value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value).read_next_batch()
+
+
+class _Sums:
+    """Distinct codes with their sums, gathered part by part."""
+
+    def __init__(self):
+        self.parts, self.fresh = [], 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((codes, counts))
+        self.fresh += len(codes)
+        if self.fresh > max(1_000_000, 2 * len(self.parts[0][0])):
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.fresh = 0
+        return self.parts[0]
 
 
 def _chunked(docs: DataFrame, order: int) -> DataFrame:
-    """Rows of three kinds: the documents with their chunk (bucket -1); a chunk's n-grams of a bucket with their
-    counts in training documents; counts of words and of the n-grams that are shorter than a bucket's, of training documents."""
+    """Rows of three kinds: slices of documents, packed, with their chunk (bucket -1); a chunk's n-grams of a bucket with their
+    counts in training documents; counts of words and the different n-grams as long as a bucket's context, of training documents."""
     keys = Keys(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, low, read = Counter(), np.zeros(1 << 8 * keys.ends, np.int64), 0
-        chunk, row, chars, parts = TaskContext.get().partitionId() << 30, TaskContext.get().partitionId() << 40, 0, []
+        words, short, read = Counter(), np.zeros(1 << 8 * (keys.ends + 1), bool), 0
+        chunk, row, chars, sums = TaskContext.get().partitionId() << 30, TaskContext.get().partitionId() << 40, 0, _Sums()
 
         def of_words():
             out = _rows(_CHUNKED, len(words), word=pa.array(words.keys(), pa.binary()), n=pa.array(words.values(), pa.int64()))
@@ -246,7 +300,7 @@ def _chunked(docs: DataFrame, order: int) -> DataFrame:
             return out
 
         def of_chunk():
-            own, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            own, counts = sums.done()
             bucket = (own >> keys.rest_bits).astype(np.int32)
             ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(own))
             rest = (own & np.uint64((1 << int(keys.rest_bits)) - 1)).astype(keys.rest_type)
@@ -254,33 +308,37 @@ def _chunked(docs: DataFrame, order: int) -> DataFrame:
 
         for own, raw in text_slices(batches, most=_SLICE_BYTES):
             held = own.column(2).to_pylist()
-            yield _rows(_CHUNKED, len(raw), chunk=pa.array(np.full(len(raw), chunk)), bucket=pa.array(np.full(len(raw), -1, np.int32)), row=pa.array(np.arange(row, row + len(raw))), doc_id=own.column(0).cast(pa.int64()), held_out=own.column(2), text=pa.array(raw, pa.string()))
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(raw))), own.column(0), own.column(2), pa.array(raw, pa.string())], names=["row", "doc_id", "held_out", "text"])
+            yield _rows(_CHUNKED, 1, chunk=pa.array([chunk]), bucket=pa.array([-1], pa.int32()), grams=pa.array([_packed(rows)], pa.binary()))
             row += len(raw)
             for out in (False, True):
                 texts = [lowered(x) for x, h in zip(raw, held, strict=True) if h == out]
                 if not texts:
                     continue
-                codes = gram_codes(texts, order)[0]
-                new, often = np.unique(keys.of(codes), return_counts=True)
-                parts.append((new, np.zeros(len(new), np.int64) if out else often.astype(np.int64)))
+                for _, group in windows(texts, order):
+                    codes = gram_codes(group, order)[0]
+                    new, often = np.unique(keys.of(codes), return_counts=True)
+                    sums.add(new, np.zeros(len(new), np.int64) if out else often.astype(np.int64))
+                    if not out:
+                        short[(codes & np.uint64(len(short) - 1)).astype(np.int64)] = True
                 if not out:
-                    low += np.bincount((codes & keys.mask).astype(np.int64), minlength=len(low))
                     for text in texts:
-                        words.update(text.split())
+                        for piece in spaced(text):
+                            words.update(piece.split())
                     words[b""] += len(texts)  # the end
                     read += sum(map(len, texts))
             chars += sum(map(len, raw))
             if chars >= _CHUNK_CHARS:
                 yield of_chunk()
-                chunk, chars, parts = chunk + 1, 0, []
+                chunk, chars, sums = chunk + 1, 0, _Sums()
             if len(words) > 200_000 or read > 100_000_000:  # the second for long words
                 yield of_words()
                 read = 0
-        if parts:
+        if sums.parts:
             yield of_chunk()
         yield of_words()
-        seen = np.flatnonzero(low) if keys.ends else np.empty(0, np.int64)
-        yield _rows(_CHUNKED, len(seen), gram=pa.array(seen), n=pa.array(low[seen]))
+        seen = np.flatnonzero(short) if keys.ends else np.empty(0, np.int64)
+        yield _rows(_CHUNKED, len(seen), gram=pa.array(seen), n=pa.array(np.ones(len(seen), np.int64)))
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(task(run), _CHUNKED_SQL)
 
@@ -349,38 +407,26 @@ class _Buckets:
 
 
 def _by_length(codes: np.ndarray, counts: np.ndarray, most: int, least: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The n-grams with ``least`` to ``most`` context bytes that end those of ``most``, with their counts."""
-    out = []
-    for j in range(least, most + 1):
-        out.append(_summed(codes & np.uint64((1 << (8 * (j + 1))) - 1), counts))
+    """The n-grams with ``least`` to ``most`` context bytes that end those of ``most``: these with their counts, the others with the number of n-grams longer by one that they end."""
+    out = [_summed(codes, counts)]
+    for j in range(most - 1, least - 1, -1):
+        longer = out[0][0] & np.uint64((1 << (8 * (j + 1))) - 1)
+        out.insert(0, _summed(longer, np.ones(len(longer), np.int64)))
     return out
 
 
-def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int, max_grams: int | None) -> DataFrame:
+def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
     """(chunk, bucket, logs): for each row of ``grams`` the log10 of each n-gram's last symbol."""
-    spark, keys = grams.sparkSession, Keys(order)
+    keys = Keys(order)
     rows = grams.repartition("bucket").sortWithinPartitions("bucket")
-
-    def trained(found: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        seen = counts > 0
-        return _by_length(keys.codes(found[seen]), counts[seen], order, keys.ends)
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _Buckets(keys).read(batches):
-            for _, n in trained(*found):
-                yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
-
-    least = 1
-    if max_grams is not None:
-        shorter = spark.createDataFrame([(int(n),) for _, counts in low for n in counts], "n long")
-        least = _least_count(stored(rows.mapInArrow(task(occurrences), "n long").unionByName(shorter), "occurrences"), max_grams)
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = _Buckets(keys)
         for found, counts in waiting.read(batches):
-            parts = [(g[n >= least], n[n >= least]) for g, n in [*low, *trained(found, counts)]]
-            logs = PartialMatching(order, [p[0] for p in parts], [p[1] for p in parts]).log10(keys.codes(found))
+            seen = counts > 0
+            parts = [*low, *_by_length(keys.codes(found[seen]), counts[seen], order, keys.ends)]
+            logs = PartialMatching(order, [p[0] for p in parts], [p[1] for p in parts]).log10(keys.codes(found)).astype("<f4")
             for chunks, buckets, lengths, rests in waiting.waiting():
                 own = logs[np.searchsorted(found, keys.joined(buckets, lengths, rests))]
                 ends = np.cumsum(lengths) // keys.rest_type.itemsize
@@ -389,7 +435,7 @@ def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int
     return rows.mapInArrow(task(run), "chunk long, bucket int, logs binary")
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, max_grams: int | None = None, max_heavy: int = MAX_HEAVY) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     held_out = F.coalesce(crc_bucket("doc_id", 10) == 0, F.lit(True))
@@ -400,71 +446,80 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_grams: int | None =
     size = words.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     tokens, kinds = size.n or 0, size.kinds
     ends = Keys(order).ends
-    shortest = counts.where("gram is not null").select("gram", "n").toArrow()
-    low = _by_length(shortest.column(0).to_numpy().astype(np.uint64), shortest.column(1).to_numpy().astype(np.int64), ends - 1)
-    logs = _logs(chunked.where("grams is not null").select("chunk", "bucket", "grams", "counts"), low, order, max_grams)
+    # 256 ** ends rows at most
+    shortest = counts.where("gram is not null").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * ends) - 1)).alias("gram")).agg(F.count("*").alias("n")).toArrow()
+    low = _by_length(shortest.column(0).to_numpy().astype(np.uint64), shortest.column(1).to_numpy().astype(np.int64), ends - 1) if ends else []
+    logs = _logs(chunked.where("bucket >= 0").select("chunk", "bucket", "grams", "counts"), low, order)
     least = _least_count(words, max_heavy)
     heavy = {bytes(w): float(np.log10(n + 0.1)) for w, n in zip(*words.where(F.col("n") >= least).toArrow().to_pydict().values(), strict=True)}
     sent = spark.sparkContext.broadcast(heavy)
     scale = float(np.log10(tokens + 0.1 * (kinds + 1)))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
+    kind = docs.schema["doc_id"].dataType
+    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     keys = Keys(order)
 
     def scored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Slices of a chunk's documents with the table of its n-grams and their logarithms, which come after them by bucket."""
-        docs, logs, last = [], [], None
+        packed, logs, last = [], [], None
 
         def whole_chunk():
-            found = [np.unique(keys.of(gram_codes([lowered(x) for x in raw], order)[0])) for _, raw in text_slices(docs, most=_SLICE_BYTES)]
-            table, values = HashedCodes(np.unique(np.concatenate(found))), np.concatenate(logs)
-            for part, raw in text_slices(docs, most=_SLICE_BYTES):
-                yield part, raw, table, values
+            sums = _Sums()
+            for value in packed:
+                for _, group in windows([lowered(x) for x in _unpacked(value).column("text").to_pylist()], order):
+                    codes = distinct(keys.of(gram_codes(group, order)[0]))
+                    sums.add(codes, np.zeros(len(codes), np.int8))
+            table, values = HashedCodes(sums.done()[0]), np.concatenate(logs)
+            for value in packed:
+                yield _unpacked(value), table, values
 
         for batch in batches:
-            chunk, is_doc = batch.column(0).to_numpy(), batch.column(1).to_numpy() < 0
-            cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(chunk)] if len(chunk) else []
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if chunk[start] != last:
-                    if docs:
+            for chunk, bucket, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if chunk != last:
+                    if packed:
                         yield from whole_chunk()
-                    last, docs, logs = chunk[start], [], []
-                own = batch.slice(start, end - start)
-                if is_doc[start]:
-                    docs.append(own)
+                    last, packed, logs = chunk, [], []
+                if bucket < 0:
+                    packed.append(value)
                 else:
-                    logs.append(np.frombuffer(b"".join(own.column("logs").to_pylist()), "<f8"))
-        if docs:
+                    logs.append(np.frombuffer(value, "<f4"))
+        if packed:
             yield from whole_chunk()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = sent.value
         look = heavy.get
-        for own, raw, table, values_of in scored_slices(batches):
-            texts = [lowered(x) for x in raw]
+        for own, table, values_of in scored_slices(batches):
+            texts = [lowered(x) for x in own.column("text").to_pylist()]
             n_tokens, known, logs, rest = [], [], [], []
             for text in texts:
-                found = text.split()
-                found.append(b"")
-                values = list(map(look, found))
-                n_tokens.append(len(found))
-                if None in values:
-                    rare = Counter(w for w, v in zip(found, values, strict=True) if v is None)
-                    values = [v for v in values if v is not None]
-                    rest.append([{"word": w, "n": n} for w, n in rare.items()])
-                else:
-                    rest.append([])
-                known.append(len(values))
-                logs.append(sum(values))
-            codes, starts = gram_codes(texts, order)
-            scores = np.add.reduceat(values_of[table.find(keys.of(codes))], starts)
-            yield pa.RecordBatch.from_arrays([own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores), pa.array(rest, schema.field("rest").type)], schema=schema)
+                n, sums, rare = 1, look(b"", None), Counter()  # the end
+                if sums is None:
+                    sums, rare[b""] = 0.0, 1
+                for piece in spaced(text):
+                    found = piece.split()
+                    values = list(map(look, found))
+                    n += len(found)
+                    if None in values:
+                        rare.update(w for w, v in zip(found, values, strict=True) if v is None)
+                        values = [v for v in values if v is not None]
+                    sums += sum(values)
+                n_tokens.append(n)
+                known.append(n - rare.total())
+                rest.append([{"word": w, "n": k} for w, k in rare.items()])
+                logs.append(sums)
+            scores = np.zeros(len(texts))
+            for numbers, group in windows(texts, order):
+                codes, starts = gram_codes(group, order)
+                np.add.at(scores, numbers, np.add.reduceat(values_of[table.find(keys.of(codes))].astype(float), starts))
+            columns = {"row": own.column("row"), "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "score": pa.array(scores), "rest": pa.array(rest, rest_type)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         del heavy, look
         dropped(sent)  # the joins that follow need the memory
 
-    texts = chunked.where("bucket = -1").select("chunk", "bucket", "row", "doc_id", "held_out", "text")
-    together = texts.unionByName(logs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    done = stored(together.mapInArrow(task(run), "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<word:binary,n:int>>"), "scored")
+    texts = chunked.where("bucket = -1").select("chunk", "bucket", F.col("grams").alias("logs"))
+    together = texts.unionByName(logs).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    done = stored(together.mapInArrow(task(run), f"row long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<word:binary,n:int>>"), "scored")
     rare = done.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     looked = rare.join(words.where(F.col("n") < least).withColumnRenamed("n", "c"), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))

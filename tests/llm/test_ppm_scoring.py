@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import inspect
 import math
 import random
 import zlib
@@ -10,13 +9,23 @@ import numpy as np
 import pytest
 from cases import documents, empty
 
-from quern.llm.ppm_scoring import HashedCodes, PartialMatching, gram_codes, lowered, score_documents
+from quern.llm.ppm_scoring import DISCOUNT, HashedCodes, PartialMatching, _by_length, gram_codes, lowered, score_documents, windows
+
+
+def codes_of(texts, order, most=None):
+    """All codes of the texts, and the texts' numbers."""
+    codes, numbers = [], []
+    for own, group in windows([lowered(t) for t in texts], order, most):
+        found, starts = gram_codes(group, order)
+        codes.append(found)
+        numbers.append(np.repeat(own, np.diff([*starts, len(found)])))
+    return np.concatenate(codes), np.concatenate(numbers)
 
 
 def model_of(texts, order):
-    codes, _ = gram_codes([lowered(t) for t in texts], order)
-    grams = [np.unique(codes & np.uint64((1 << 8 * (j + 1)) - 1), return_counts=True) for j in range(order + 1)]
-    return PartialMatching(order, [g for g, _ in grams], [n for _, n in grams])
+    codes, _ = codes_of(texts, order)
+    parts = _by_length(*np.unique(codes, return_counts=True), order)
+    return PartialMatching(order, [g for g, _ in parts], [n for _, n in parts])
 
 
 def brute(texts, text, order):
@@ -26,8 +35,11 @@ def brute(texts, text, order):
     for t in texts:
         s = wrap(t)
         for i in range(order, len(s)):
-            for j in range(order + 1):
-                counts.setdefault(tuple(s[i - j : i]), Counter())[s[i]] += 1
+            for j in range(order, -1, -1):  # a shorter context learns a symbol only where the longer one escaped
+                own = counts.setdefault(tuple(s[i - j : i]), Counter())
+                own[s[i]] += 1
+                if own[s[i]] > 1:
+                    break
     total, s = 0.0, wrap(text)
     for i in range(order, len(s)):
         excluded: set = set()
@@ -35,10 +47,10 @@ def brute(texts, text, order):
             own = {k: v for k, v in counts.get(tuple(s[i - j : i]), {}).items() if k not in excluded}
             n = sum(own.values())
             if s[i] in own:
-                total += math.log10((own[s[i]] - 0.5) / n)
+                total += math.log10((own[s[i]] - DISCOUNT) / n)
                 break
             if own:
-                total += math.log10(0.5 * len(own) / n)
+                total += math.log10(DISCOUNT * len(own) / n)
                 excluded |= set(own)
         else:
             total -= math.log10(256 - len(excluded))
@@ -51,8 +63,7 @@ def test_matches_brute_force():
     train = [text() for _ in range(30)]
     model = model_of(train, 3)
     for t in [*(text() for _ in range(30)), "", "zz", "日本", train[0]]:
-        codes, starts = gram_codes([lowered(t)], 3)
-        assert np.add.reduceat(model.log10(codes), starts)[0] == pytest.approx(brute(train, t, 3))
+        assert model.log10(codes_of([t], 3)[0]).sum() == pytest.approx(brute(train, t, 3))
 
 
 def test_probabilities_add_up():
@@ -84,11 +95,18 @@ def test_base_scores(spark, heavy):
         assert r.score < 0
 
 
-def test_pruned_model_stays_a_distribution(spark):
-    docs = documents(spark, ["abab cdcd " * 5, "aabb ccdd"], [1, 2])
-    full = {r.doc_id: r.score for r in score_documents(docs, order=3).collect()}
-    pruned = {r.doc_id: r.score for r in score_documents(docs, order=3, max_grams=20).collect()}
-    assert all(math.isfinite(x) for x in pruned.values()) and pruned[1] < full[1]
+def test_windows_hold_every_symbol_once():
+    texts = ["", "abc", "abcdefghijklmnopqrstuvwxyz", "é" * 9, "x"]
+    whole, of = codes_of(texts, 3)
+    for most in (1, 4, 7, 30):
+        codes, numbers = codes_of(texts, 3, most)
+        assert codes.tolist() == whole.tolist() and numbers.tolist() == of.tolist()
+
+
+def test_better_than_words_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = score_documents(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"]
 
 
 @pytest.mark.parametrize("order", [1, 3, 5])
@@ -104,11 +122,6 @@ def test_scores_are_those_of_all_grams(spark, order, monkeypatch):
     assert all(got[i] == pytest.approx(brute(train, t, order)) for i, t in enumerate(texts))
 
 
-def test_grams_have_no_limit():
-    defaults = inspect.signature(score_documents).parameters
-    assert defaults["max_grams"].default is None
-
-
 def test_odd_tables(spark):
     got = score_documents(documents(spark)).collect()
     assert len(got) == documents(spark).count() and all(math.isfinite(r.score) and r.score <= 0 for r in got)
