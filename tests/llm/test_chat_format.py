@@ -28,6 +28,43 @@ def test_rewriting_templates_are_found():
     forgetful = lambda turns: "".join(f"[{r}:{t if i + 2 >= len(turns) else '...'}]" for i, (r, t) in enumerate(turns))
     assert format_turns([("u", "a"), ("b", "c"), ("u", "d")], forgetful).rewritten_at == 2
     assert format_turns([("u", "a"), ("b", "c")], forgetful).rewritten_at == -1
+    turns = [("u", "aaaa"), ("assistant", "bbbb"), ("u", "dd"), ("assistant", "cccc")]
+    done = format_turns(turns, forgetful)
+    assert done.spans == [None] * 4 and [x and done.text[slice(*x)] for x in done.text_spans] == [None, None, "dd", "cccc"]
+
+
+def test_masks_under_rewritten_history(spark):
+    """A mask holds the assistant's texts, each once, or there is none."""
+    rows = [(c, i, r, t) for c, turns in enumerate([[("user", "a"), ("assistant", "bb")], [("user", "a"), ("assistant", "bb"), ("user", "a"), ("assistant", "a")]]) for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    forgetful = lambda turns: "".join(f"[{r}:{t if i + 2 >= len(turns) else '...'}]" for i, (r, t) in enumerate(turns))
+    counted = lambda turns: f"{len(turns)} turns " + "".join(f"[{r}:{t}]" for r, t in turns)
+    twice = lambda turns: counted(turns) * 2
+    read = lambda span: ("assistant", span)
+    want = [["bb"], ["bb", "a"]]
+    for template, lost in ((forgetful, {1}), (counted, set()), (twice, {0, 1})):
+        for r in format_conversations(df, template, read, lambda x: x).collect():
+            if r.rewritten_at < 0:
+                continue
+            assert r.turns_sha256 is None and r.spans is None
+            assert (None if r.loss_spans is None else [r.formatted[a:b] for a, b in r.loss_spans]) == (None if r.conv_id in lost else want[r.conv_id])
+
+
+def test_text_that_looks_like_the_template():
+    for text in ("", "A", "]", "a]", "user:", "[user:A]", "AB" * 5):
+        done = format_turns([("user", text), ("user", text)], lambda turns: "".join(f"[{r}:{t}]" for r, t in turns))
+        assert [done.text[a:b] for a, b in done.text_spans] == [text, text]
+
+
+def test_rendering_goes_by_the_turns():
+    calls = []
+    format_turns([("user", "x")] * 50, lambda turns: calls.append(len(turns)) or "".join(t for _, t in turns))
+    assert len(calls) <= 101 and sum(calls) <= 50 * 52
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("a", 0, "assistant", "x" * 300_000)], "conv_id string, turn long, role string, text string")
+    assert [(r.conv_id, r.loss_chars) for r in format_conversations(df).collect()] == [("a", 300_000)]
 
 
 def test_conversations(spark):
