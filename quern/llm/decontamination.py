@@ -8,14 +8,19 @@ item's words that get marked is its coverage, whatever order its parts stand in
 inside the document; from ``threshold`` on the document is contaminated.
 
 The benchmark is read in blocks of about ``block_words`` words, each of which is
-sent to the tasks as one small index; all documents are held against every
-block, so nothing of the documents is shuffled.
+sent to the tasks as one small index, the build side of the join of the seeds; all
+documents are held against every block, so nothing of the documents is shuffled.
+Where there are several blocks, each one's result is written before the next
+block is read, and the block is given up.
 
 Defined cases: words are runs of letters and digits of the lower-cased text, so
 case, punctuation and white space don't matter; a null text has no words; items
 of equal words count as one, under their least id; an item with fewer than
-``min_match`` words has no seed and contaminates nothing; documents are taken
-row by row, so repeated rows and ids and other columns make no difference.
+``min_match`` words is one seed, so it contaminates where all of its words stand
+as one run; an item without words contaminates nothing; among tiles of one length
+the first of the item goes first; very long texts are matched whole; documents
+are taken row by row, so repeated rows and ids and other columns make no
+difference; an empty table of either kind gives no leaks.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import WordHashes, folded_words, task, text_slices, window_hashes
+from quern.llm.common import WordHashes, distinct, folded_words, stored, task, text_slices, window_hashes
 
 MIN_MATCH, THRESHOLD, BLOCK_WORDS = 5, 0.5, 1_000_000
 #: Slots of the table that most windows of clean documents don't get past.
@@ -98,10 +104,16 @@ class ItemIndex:
         self.min_match = min_match
         for item_id, text in items:
             words = cache.array(folded_words(text or ""))
-            if len(words) >= min_match:
+            if len(words):
                 key = words.tobytes()
                 best[key] = min((item_id is None, item_id, words) if key not in best else best[key], (item_id is None, item_id, words), key=lambda x: x[:2])
-        self.items = [(x[1], x[2]) for x in sorted(best.values(), key=lambda x: (x[0], x[1] or 0))]
+        every = [(x[1], x[2]) for x in sorted(best.values(), key=lambda x: x[0])]
+        self.items = [x for x in every if len(x[1]) >= min_match]
+        # number of words -> hash of the whole item -> its id
+        self.short: dict[int, dict[int, int]] = {}
+        for item_id, words in every:
+            if len(words) < min_match:
+                self.short.setdefault(len(words), {})[int(window_hashes(words, len(words))[0])] = item_id
         seeds = [window_hashes(w, min_match) for _, w in self.items]
         hashes = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
@@ -118,10 +130,21 @@ class ItemIndex:
         found[found == len(self.hashes)] = 0
         return maybe[self.hashes[found] == windows[maybe]] if len(self.hashes) else maybe[:0]
 
+    def whole(self, words: np.ndarray) -> list[tuple[int, float, list]]:
+        """(item, coverage, tiles) of the items shorter than a seed that the document holds."""
+        out = []
+        for width, items in self.short.items():
+            windows = window_hashes(words, width)
+            keys = np.fromiter(items, np.uint64, len(items))
+            at = np.flatnonzero(np.isin(windows, keys))
+            found, first = np.unique(windows[at], return_index=True)
+            out += [(items[int(key)], 1.0, [(0, int(at[i]), width)]) for key, i in zip(found, first, strict=True)]
+        return out
+
     def tilings(self, words: np.ndarray, windows: np.ndarray, hits: np.ndarray, threshold: float) -> Iterator[tuple[int, float, list]]:
         """(item, coverage, tiles) of the items that one document covers up to the threshold."""
-        distinct = np.unique(windows[hits])
-        first, last = np.searchsorted(self.hashes, distinct), np.searchsorted(self.hashes, distinct, "right")
+        seeds = distinct(windows[hits])
+        first, last = np.searchsorted(self.hashes, seeds), np.searchsorted(self.hashes, seeds, "right")
         at = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])
         items, counts = np.unique(self.item[at], return_counts=True)
         sizes = np.array([len(self.items[i][1]) for i in items])
@@ -139,13 +162,12 @@ class ItemIndex:
                 yield self.items[i][0], coverage, tiles
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size."""
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks, and the items in blocks of bounded size."""
     words = benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))).alias("n")).first().n or 0
     blocks = max(1, -(-words // block_words))
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for b in range(blocks):
-        yield [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where(of == b).distinct().collect()]
+    return blocks, ([(r.item_id, r.text) for r in benchmark.select("item_id", "text").where(of == b).distinct().collect()] for b in range(blocks))
 
 
 def _matched(batches: Iterator[pa.RecordBatch], index: ItemIndex, threshold: float) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
@@ -161,38 +183,46 @@ def _matched(batches: Iterator[pa.RecordBatch], index: ItemIndex, threshold: flo
         doc = np.searchsorted(ends, hits, "right")
         inside = hits + index.min_match <= ends[doc] if len(hits) else hits.astype(bool)
         hits, doc = hits[inside], doc[inside]
-        for d in np.unique(doc):
+        for d in distinct(doc):
             start = ends[d] - len(split[d])
             own = hits[doc == d] - start
             found[d] = list(index.tilings(words[start : ends[d]], windows[start : ends[d]], own, threshold))
+        if index.short:
+            for d, x in enumerate(split):
+                found[d] += index.whole(words[ends[d] - len(x) : ends[d]])
         yield part, found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, coverage, tiles) for every document row and item whose coverage reaches the threshold."""
     context = docs.sparkSession.sparkContext
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.list_(pa.int64())))])
-    parts = []
-    for block in _blocks(benchmark, block_words):
+    doc_id, item_id = (docs.select("doc_id").schema[0].dataType, benchmark.select("item_id").schema[0].dataType)
+    kind = pa.list_(pa.list_(pa.int64()))
+    number, blocks = _blocks(benchmark, block_words)
+    out = None
+    for block in blocks:
         sent = context.broadcast(ItemIndex(block, min_match))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part, found in _matched(batches, sent.value, threshold):
-                rows = [(d, *x) for d, own in zip(part.column(0).to_pylist(), found, strict=True) for x in own]
+                rows = [(d, *x) for d, own in enumerate(found) for x in own]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, item_id long, coverage double, tiles array<array<long>>"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+                    at, items, coverage, tiles = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(items, to_arrow_type(item_id)), pa.array(coverage), pa.array(tiles, kind)], names=["doc_id", "item_id", "coverage", "tiles"])
+
+        own = docs.select("doc_id", "text").mapInArrow(task(run), f"doc_id {doc_id.simpleString()}, item_id {item_id.simpleString()}, coverage double, tiles array<array<long>>")
+        if number > 1:
+            own = stored(own, "leaks")
+            sent.destroy()
+        out = own if out is None else out.unionByName(own)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, as they came, that no item contaminates."""
     context, out = docs.sparkSession.sparkContext, docs
-    for block in _blocks(benchmark, block_words):
+    number, blocks = _blocks(benchmark, block_words)
+    for block in blocks:
         sent = context.broadcast(ItemIndex(block, min_match))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -200,4 +230,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                 yield part.filter(pa.array([not x for x in found], pa.bool_()))
 
         out = out.mapInArrow(task(run), docs.schema)
+        if number > 1:
+            out = stored(out, "clean")
+            sent.destroy()
     return out
