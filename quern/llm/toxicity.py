@@ -10,12 +10,17 @@ subsequences of the landmarks, so it is kept as one weight per subsequence, and
 a unit's margin is a sum of look-ups.  A long unit counts by its best stretch of
 ``STRETCH`` characters, a text by its best unit.
 
-Labels are of documents: units of toxic documents are positive if they hold a
-character 4-gram that is far more frequent in toxic documents, later also if the
-machine says so, and with a character inserted; units of the others are
-negative, first a sample, then those that the machine gets most wrong.  At most ``sample`` labelled documents of
-either label are used, those with the least hash of the id; a quarter of them
-only places the decision.
+Labels are of documents, so which units make a document toxic is guessed: units
+of toxic documents are positive if they hold a character 4-gram that is far more
+frequent in toxic documents (a heuristic that finds the first positive units;
+the machine, not the 4-grams, scores texts), later also if the machine says so,
+and with a character inserted; units of the others are negative, first a sample,
+then those that the machine gets most wrong.  What is learned from is bounded by
+parameters: ``sample`` labelled documents of either label, those with the least
+hash of the id, a quarter of which only places the decision; and ``Bounds`` of
+their units.  A unit longer than ``LONG_UNIT`` characters is learned from in
+overlapping stretches.  Texts are scored whole; those longer than a slice are
+cut between words of two letters and more, which no unit spans.
 
 Defined cases: a null or blank text scores 0; without a labelled row of either
 kind all texts score 0; a null id counts as held out; repeated rows are scored
@@ -25,6 +30,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,10 +44,13 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_bucket, slices, task
 
 SAMPLE, LANDMARKS = 3000, 400
+#: Characters of a unit that is learned from, and of texts that are scored together.
+LONG_UNIT, SLICE = 24, 400_000
 SPAN, DECAY, STRETCH = 6, 0.5, 12
 #: Character classes; 0 is white space, the last is for characters that the sample doesn't have among its most frequent.
 CLASSES = 64
 _MARK = 255
+_BETWEEN = re.compile(r"(?<=[^\W_]{2})\s+(?=[^\W_]{2})")
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: By the number of characters, the length of a stretch's vector of subsequences, as if each were there once.
 _LENGTHS = np.sqrt([max(1.0, sum(DECAY ** (2 * b - 4) * max(0, n - b) for _, b in _PAIRS)) for n in range(STRETCH + SPAN)])
@@ -92,6 +101,30 @@ def subsequences(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, floa
         yield at, (wide[at] * CLASSES + wide[at + a]) * CLASSES + wide[at + b], DECAY ** (b - 2)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Of the labelled units: the negative ones to begin with, those that are looked through for wrong ones and those added from
+    them in a round, the positive ones, and those of them that are learned with an inserted character too."""
+
+    negative: int = 6000
+    looked_through: int = 300_000
+    added: int = 2000
+    positive: int = 4000
+    inserted: int = 200
+
+
+def between_words(text: str, most: int = SLICE) -> Iterator[str]:
+    """The text in pieces of about ``most`` characters, cut only where words of two characters at least stand on both sides."""
+    start = 0
+    while len(text) - start > most:
+        found = _BETWEEN.search(text, start + most)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
+
 @dataclass
 class ToxicityModel:
     """Character classes, a weight per subsequence, and where and how steeply the score passes 0.7."""
@@ -125,8 +158,16 @@ class ToxicityModel:
         stretch[(own == 0) | inner & (left < STRETCH)] = -np.inf
         return np.maximum.reduceat(stretch, starts)
 
+    def best_margins(self, texts: list[str]) -> np.ndarray:
+        """As ``margins``, for texts of any length."""
+        pieces = [(i, piece) for i, x in enumerate(texts) for piece in between_words(x)]
+        out = np.full(len(texts), -np.inf)
+        for start, end in slices((len(x) for _, x in pieces), SLICE):
+            np.maximum.at(out, [i for i, _ in pieces[start:end]], self.margins([x for _, x in pieces[start:end]]))
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        margin = self.margins(texts)
+        margin = self.best_margins(texts)
         exponent = np.clip(self.slope * (margin - self.cut) + np.log(0.7 / 0.3), -60, 60)
         return np.where(np.isneginf(margin), 0.0, np.where(margin >= self.cut, np.maximum(1 / (1 + np.exp(-exponent)), 0.7), np.minimum(1 / (1 + np.exp(-exponent)), 0.6999999)))
 
@@ -144,6 +185,24 @@ def _features(units: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, np.concatenate(codes), np.concatenate(weights) / _LENGTHS[np.clip(sizes, 0, STRETCH + SPAN - 1)][rows]
 
 
+def landmark_basis(marks: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence code -> row, or -1; and the landmarks' vectors over these rows."""
+    row, code, weight = _features(marks, table)
+    used, column = np.unique(code, return_inverse=True)
+    basis = np.zeros((len(used), len(marks)))
+    np.add.at(basis, (column, row), weight)
+    landmark_map = np.full(CLASSES**3, -1)
+    landmark_map[used] = np.arange(len(used))
+    return landmark_map, basis
+
+
+def nystroem(basis: np.ndarray) -> np.ndarray:
+    """What maps kernels with the landmarks to features: the inverse root of the landmarks' own kernel."""
+    values, vectors = np.linalg.eigh(basis.T @ basis)
+    keep = values > 1e-6 * values[-1]
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
 def _gram_matrix(units: list[str], landmark_map: np.ndarray, landmarks: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Kernel of every unit with every landmark."""
     out = np.zeros((len(units), landmarks.shape[1]))
@@ -191,7 +250,7 @@ def _order(x: str) -> int:
     return xxhash.xxh64_intdigest(x)
 
 
-def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS) -> ToxicityModel | None:
+def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS, bounds: Bounds = Bounds()) -> ToxicityModel | None:
     """The model from (label, units joined by spaces) of labelled documents; None if a label is missing."""
     documents = sorted(documents, key=lambda x: (_order(x[1]), x[0]))
     aside = [x for i, x in enumerate(documents) if i % 4 == 0]
@@ -212,30 +271,23 @@ def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Toxicit
     if not positive:
         return None
     pool = sorted((u for u in in_clean if len(u) >= 3), key=_order)
-    negative = set(pool[:6000])
-    every_clean, every_toxic = sorted(in_clean, key=_order)[:300_000], [sorted(u for u in d if u not in in_clean) for d in toxic]
+    negative = set(pool[: bounds.negative])
+    every_clean, every_toxic = sorted(in_clean, key=_order)[: bounds.looked_through], [sorted(u for u in d if u not in in_clean) for d in toxic]
     model = None
     for _ in range(4):
-        up = sorted(positive, key=lambda u: (-in_toxic[u], u))[:4000]
-        up += _inserted(up[:200])
+        up = sorted(positive, key=lambda u: (-in_toxic[u], u))[: bounds.positive]
+        up += _inserted(up[: bounds.inserted])
         down = sorted(negative)
         marks = up[: landmarks // 2] + sorted(negative, key=_order)[: landmarks - landmarks // 2]
-        row, code, weight = _features(marks, table)
-        used, column = np.unique(code, return_inverse=True)
-        basis = np.zeros((len(used), len(marks)))
-        np.add.at(basis, (column, row), weight)
-        landmark_map = np.full(CLASSES**3, -1)
-        landmark_map[used] = np.arange(len(used))
-        values, vectors = np.linalg.eigh(basis.T @ basis)
-        keep = values > 1e-6 * values[-1]
-        project = vectors[:, keep] / np.sqrt(values[keep])
+        landmark_map, basis = landmark_basis(marks, table)
+        project = nystroem(basis)
         x = _gram_matrix(up + down, landmark_map, basis, table) @ project
         w, bias = _machine(x, np.concatenate([np.ones(len(up)), -np.ones(len(down))]))
         table_weight = np.zeros(CLASSES**3, np.float32)
-        table_weight[used] = basis @ (project @ w)
+        table_weight[landmark_map >= 0] = basis @ (project @ w)
         model = ToxicityModel(table, table_weight, bias)
         wrong = np.concatenate([model.margins(every_clean[i : i + 20_000]) for i in range(0, len(every_clean), 20_000)])
-        negative |= {every_clean[i] for i in np.argsort(-wrong, kind="stable")[:2000] if wrong[i] > -1}
+        negative |= {every_clean[i] for i in np.argsort(-wrong, kind="stable")[: bounds.added] if wrong[i] > -1}
         level = max(0.0, float(np.quantile(wrong, 0.9999)))
         for d in every_toxic:
             if d:
@@ -244,7 +296,7 @@ def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Toxicit
                 if found[best] > level:
                     positive.add(d[best])
     labels = np.array([y for y, _ in aside])
-    margin = np.concatenate([model.margins([t for _, t in aside[i : i + 500]]) for i in range(0, len(aside), 500)])
+    margin = np.concatenate([model.best_margins([t for _, t in aside[i : i + 500]]) for i in range(0, len(aside), 500)])
     order = np.argsort(margin, kind="stable")
     s, y = margin[order], labels[order]
     # the cut with the fewest errors, each label weighing by its number; midway between neighbours
@@ -259,37 +311,42 @@ def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS) -> Toxicit
     return model
 
 
+def _stretches(unit: str) -> list[str]:
+    """The unit, or overlapping stretches that cover a long one."""
+    half = LONG_UNIT // 2
+    return [unit] if len(unit) <= LONG_UNIT else [unit[i : i + LONG_UNIT] for i in range(0, len(unit) - half, half)]
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int, str]]:
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(crc_bucket("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [(r.doc_id, r.toxic) for y in (1, 0) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     if not ids:
         return []
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
+    chosen = docs.sparkSession.createDataFrame(ids, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     schema = pa.schema([("toxic", pa.int32()), ("units", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            units = [" ".join(sorted({u for u in (x or "").lower().split() if len(u) <= 24})) for x in part.column(1).to_pylist()]
+            units = [" ".join(sorted({y for u in (x or "").lower().split() for y in _stretches(u)})) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(units, pa.string())], schema=schema)
 
     return [(r.toxic, r.units) for r in found.mapInArrow(task(run), "toxic int, units string").collect()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
-    model = fit(_labelled(docs, labels, sample), landmarks)
+    model = fit(_labelled(docs, labels, sample), landmarks, bounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-
+    
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for part in batches:
             texts = [x or "" for x in part.column(1).to_pylist()]
-            for start, end in slices(map(len, texts), 400_000):
+            for start, end in slices(map(len, texts), SLICE):
                 score = model.scores(texts[start:end]) if model else np.zeros(end - start)
                 own = part.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(True))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(task(run), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(task(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
 import numpy as np
+import pytest
 from cases import documents, empty
 
-from quern.llm.toxicity import DECAY, SPAN, fit, toxicity
+from quern.llm.toxicity import DECAY, SPAN, _gram_matrix, _stretches, between_words, character_classes, fit, landmark_basis, nystroem, toxicity
 
 INSULTS = ["idiot", "worthless", "pathetic", "clown"]
 
@@ -69,3 +71,55 @@ def test_query_rows(spark):
 def test_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity(documents(spark), none).collect()} == {0.0} and toxicity(empty(spark), none).count() == 0
+
+
+def kernel(a, b, table):
+    """The kernel of two units from its definition: common subsequences of three characters, over both lengths."""
+
+    def vector(unit):
+        c, out = [int(table[ord(x)]) for x in unit], {}
+        for i, j, k in itertools.combinations(range(len(c)), 3):
+            if k - i < SPAN:
+                key = (c[i], c[j], c[k])
+                out[key] = out.get(key, 0.0) + DECAY ** (k - i - 2)
+        pairs = [(i, k) for i, _, k in itertools.combinations(range(len(c)), 3) if k - i < SPAN]
+        return out, max(1.0, sum(DECAY ** (2 * (k - i) - 4) for i, k in pairs)) ** 0.5
+
+    (x, n), (y, m) = vector(a), vector(b)
+    return sum(w * y.get(key, 0.0) for key, w in x.items()) / n / m
+
+
+def test_kernel_and_nystroem_map():
+    rng = random.Random(2)
+    units = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 14))) for _ in range(40)]
+    marks = sorted(set(units[:15]))
+    table = character_classes(units)
+    landmark_map, basis = landmark_basis(marks, table)
+    found = _gram_matrix(units, landmark_map, basis, table)
+    want = np.array([[kernel(u, m, table) for m in marks] for u in units])
+    assert np.allclose(found, want)
+    own = np.array([[kernel(u, m, table) for m in marks] for u in marks])
+    features = found @ nystroem(basis)
+    assert np.allclose(features @ features.T, want @ np.linalg.pinv(own, rcond=1e-6) @ want.T)
+
+
+def test_long_texts_and_units():
+    model = fit([(y, t.lower()) for _, y, t in corpus(400)], landmarks=100)
+    rng = random.Random(9)
+    clean = " ".join(t for _, y, t in corpus(900, 8) if not y)
+    for bad in ("idiot", "i d i o t", "x" * 5000 + "worthless"):
+        words = clean.split(" ")
+        words.insert(rng.randrange(len(words)), bad)
+        whole = " ".join(words)
+        assert list(between_words(whole, 1000)) != [whole]
+        assert np.maximum.reduce(model.margins(list(between_words(whole, 1000)))) == pytest.approx(model.margins([whole])[0])
+    assert _stretches("ab") == ["ab"]
+    assert all(len(x) <= 24 for x in _stretches("a" * 24 + "bcd")) and _stretches("a" * 24 + "bcd")[-1].endswith("bcd")
+
+
+def test_ids_of_other_types(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, _, t in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", y) for i, y, _ in rows], "doc_id string, toxic int")
+    got = toxicity(docs, labels, landmarks=50)
+    assert got.schema["doc_id"].dataType.simpleString() == "string" and got.count() == 200
