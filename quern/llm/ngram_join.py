@@ -9,8 +9,9 @@ looked at in the first band that it shares only.  Its signatures are compared a
 few values at a time: after each step the pair is dropped if the posterior
 probability that its similarity reaches the threshold (uniform prior) is below
 ``tolerance``.  All others are verified on their full shingle sets.  Pairs are
-never rows: a unit sends each representative with the list of its partners, and
-verified links leave as counts and as edges to the least partner.
+never rows: representatives of a unit form tiles of bounded size, two tiles at
+most are verified together, each representative with the list of its partners
+there, and verified links leave as counts and as edges to the least partner.
 
 A pair at the threshold shares no band with a probability of 1.3e-7, and is
 pruned with one of about 1e-6; above the threshold both fall quickly.
@@ -18,8 +19,9 @@ pruned with one of about 1e-6; above the threshold both fall quickly.
 Defined cases: words are runs of letters and digits of the lower-cased text; a
 text of one to four words is one shingle; a text without words, or a null text,
 has no shingle, is like no other, and is a class of its own; representatives
-have the least (doc_id, row); repeated rows are copies of each other, also of a
-null id; other columns are kept where rows are returned.
+have the least (doc_id, row), so ties go by id; repeated rows are copies of each
+other, also of a null id; a very long text is compared whole, in a tile of its
+own; an empty table gives no rows; other columns are kept where rows are returned.
 """
 
 from __future__ import annotations
@@ -36,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import WordHashes, folded_words, mix64, plain_names, stored, task, text_slices, window_hashes
+from quern.llm.common import WordHashes, distinct, folded_words, mix64, plain_names, slices, stored, task, text_slices, window_hashes
 from quern.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
 VALUES = BANDS * ROWS
 TOLERANCE, STEP = 1e-6, 25
-#: Representatives in a block, and in a group that is verified together.
-BLOCK, GROUP = 1024, 1024
+#: Representatives in a block; and about how many of them, and of their shingles, a tile holds.
+BLOCK, TILE, TILE_SHINGLES = 1024, 1024, 1_000_000
 #: Slots of the filter that keeps texts without candidates out of the shuffle.
 SLOTS = 1 << 20
 
@@ -54,7 +56,7 @@ def shingles(text: str, cache: WordHashes) -> np.ndarray:
     words = cache.array(folded_words(text))
     if not len(words):
         return words
-    return np.unique(window_hashes(words, min(WIDTH, len(words))))
+    return distinct(window_hashes(words, min(WIDTH, len(words))))
 
 
 @lru_cache(maxsize=1)
@@ -199,21 +201,38 @@ def _groups(columns: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _tiles(sizes: np.ndarray) -> np.ndarray:
+    """The tile of each representative: neighbours of TILE members and TILE_SHINGLES shingles at most, or one alone."""
+    out, held, members, tile = np.zeros(len(sizes), np.int64), 0, 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if members and (members >= TILE or held + size > TILE_SHINGLES):
+            tile, held, members = tile + 1, 0, 0
+        out[i], held, members = tile, held + size, members + 1
+    return out
+
+
+def _grouped(first: np.ndarray, second: np.ndarray, tile: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs by the tiles of their members: (members, bounds, partners) with the partners of each member from one bound to the next."""
+    low, high = np.minimum(tile[first], tile[second]), np.maximum(tile[first], tile[second])
+    order = np.lexsort((second, first, high, low))
+    first, second, low, high = first[order], second[order], low[order], high[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        members = np.union1d(first[start:end], second[start:end])
+        yield members, np.searchsorted(first[start:end], np.append(members, members[-1] + 1)), second[start:end]
+
+
 def _candidates(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(group, row, partners) from members (key, low, high, own, band, row, sig): each surviving pair once, its rows in one group."""
+    """(group, row, partners) from members (key, low, high, own, band, row, n, sig): each surviving pair once, its rows in one group."""
     schema = pa.schema([("group", pa.int64()), ("row", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, partners = TaskContext.get().partitionId() << 32, {}
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([group] * len(partners), pa.int64()), pa.array(partners.keys(), pa.int64()), pa.array(partners.values(), schema.field("partners").type)], schema=schema)
-
-        for table in _units(batches, ["key", "low", "high"], 4096):
-            key, low, high, own, band, row = (table.column(c).to_numpy() for c in ("key", "low", "high", "own", "band", "row"))
+        group = TaskContext.get().partitionId() << 32
+        for table in _units(batches, ["key", "low", "high"], 2 * BLOCK):
+            key, low, high, own, band, row, size = (table.column(c).to_numpy() for c in ("key", "low", "high", "own", "band", "row", "n"))
             signature = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)
             unit = _groups([key, low, high])
-            n, apart = len(unit), 1
+            n, apart, pairs = len(unit), 1, []
             while apart < n:
                 first = np.flatnonzero(unit[:-apart] == unit[apart:])
                 if not len(first):
@@ -222,33 +241,47 @@ def _candidates(members: DataFrame, threshold: float, tolerance: float) -> DataF
                 # rows of one block meet where both blocks of a unit are the same
                 mixed = (low[first] == high[first]) | (own[first] != own[second])
                 first, second = first[mixed], second[mixed]
-                for i in surviving(signature, first, second, band[first], threshold, tolerance):
-                    a, b = int(row[first[i]]), int(row[second[i]])
-                    partners.setdefault(a, []).append(b)
-                    partners.setdefault(b, [])
-                    if len(partners) >= GROUP:
-                        yield flush()
-                        group, partners = group + 1, {}
+                left = surviving(signature, first, second, band[first], threshold, tolerance)
+                pairs.append((first[left], second[left]))
                 apart += 1
-        if partners:
-            yield flush()
+            if not sum(len(x) for x, _ in pairs):
+                continue
+            # a representative stands in a unit of each of its bands; here it counts once, where it stands first
+            rows, at, index = np.unique(row, return_index=True, return_inverse=True)
+            order = np.argsort(at)
+            place = np.empty(len(rows), np.int64)
+            place[order] = np.arange(len(rows))
+            first, second = (place[index[np.concatenate(x)]] for x in zip(*pairs, strict=True))
+            rows, tile = rows[order], _tiles(size[at][order])
+            for own_rows, bounds, partners in _grouped(first, second, tile):
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rows[partners]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own_rows), group)), pa.array(rows[own_rows]), lists], schema=schema)
+                group += 1
 
     return members.mapInArrow(task(run), "group long, row long, partners array<long>")
 
 
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the others (none empty) has in common with ``own``; all sorted and distinct."""
+    joined = np.concatenate(others)
+    at = np.searchsorted(own, joined)
+    at[at == len(own)] = 0
+    return np.add.reduceat((own[at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
+
+
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     """(row, root, n) from (group, row, partners, text): links of the row within the group, and the least row they lead to."""
     schema = pa.schema([("row", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for table in _units(batches, ["group"], GROUP):
+        for table in _units(batches, ["group"], 128):
             number = _groups([table.column("group").to_numpy()])
             for g in range(int(number[-1]) + 1):
                 own = np.flatnonzero(number == g)
                 part = table.slice(int(own[0]), len(own))
                 rows = part.column("row").to_pylist()
-                sets = dict(zip(rows, (shingles(x or "", cache) for x in part.column("text").to_pylist()), strict=True))
+                sets = dict(zip(rows, (shingles(x.as_py() or "", cache) for x in part.column("text")), strict=True))
                 links, root = dict.fromkeys(rows, 0), {x: x for x in rows}
 
                 def find(x, root=root):
@@ -257,17 +290,17 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                         x = root[x]
                     return x
 
-                for a, others in zip(rows, part.column("partners").to_pylist(), strict=True):
-                    for b in others:
-                        x, y = sets[a], sets[b]
-                        if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
-                            continue
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        if shared >= threshold * (len(x) + len(y) - shared) - 1e-9:
-                            links[a] += 1
-                            links[b] += 1
-                            i, j = find(a), find(b)
-                            root[max(i, j)] = min(i, j)
+                for a, partners in zip(rows, part.column("partners").to_pylist(), strict=True):
+                    x = sets[a]
+                    others = [b for b in partners if min(len(x), len(sets[b])) >= threshold * max(len(x), len(sets[b])) - 1e-9]
+                    for start, end in slices((len(sets[b]) for b in others), TILE_SHINGLES):
+                        some = [sets[b] for b in others[start:end]]
+                        for b, y, shared in zip(others[start:end], some, _shared(x, some).tolist(), strict=True):
+                            if shared >= threshold * (len(x) + len(y) - shared) - 1e-9:
+                                links[a] += 1
+                                links[b] += 1
+                                i, j = find(a), find(b)
+                                root[max(i, j)] = min(i, j)
                 linked = [x for x in rows if links[x]]
                 yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([find(x) for x in linked], pa.int64()), pa.array([links[x] for x in linked], pa.int64())], schema=schema)
 
@@ -280,14 +313,14 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataF
     some = rows.where("__n > 0")
     classes = some.groupBy(F.col("__a").alias("a"), F.col("__b").alias("b")).agg(F.min(F.struct("doc_id", "__row")).alias("r"), F.count("*").alias("n_copies"))
     classes = stored(classes.select("a", "b", F.col("r.doc_id").alias("doc_id"), F.col("r.__row").alias("row"), "n_copies"), "classes")
-    signed = stored(classes.select("row").join(some.select(F.col("__row").alias("row"), F.col("__sig").alias("sig")), "row"), "signed")
+    signed = stored(classes.select("row").join(some.select(F.col("__row").alias("row"), F.col("__n").alias("n"), F.col("__sig").alias("sig")), "row"), "signed")
     banded = _banded(signed)
-    shared = stored(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = banded.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    shared = stored(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = banded.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "row")
-    members = members.join(signed, "row").select("key", "low", "high", "own", "band", "row", "sig")
+    members = members.join(signed, "row").select("key", "low", "high", "own", "band", "row", "n", "sig")
     units = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
     found = stored(_candidates(units, threshold, tolerance), "candidates")
     slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int").alias("slot")

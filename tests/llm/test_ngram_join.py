@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from cases import documents, empty
 
 from quern.llm import ngram_join
@@ -70,10 +71,23 @@ def test_small_blocks_and_groups_lose_nothing(spark, monkeypatch):
     texts = [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(40)]
     docs = documents(spark, texts, [*range(40)])
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "GROUP", 5)
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 300)
     assert result(jaccard_classes(docs)) == brute(texts)
 
 
+def test_tiles_are_bounded():
+    sizes = np.array([5, 5, 900_000, 200_000, 3_000_000, 1] + [1] * 3000)
+    tile = ngram_join._tiles(sizes)
+    assert tile[:6].tolist() == [0, 0, 0, 1, 2, 3] and np.bincount(tile).max() == ngram_join.TILE
+    pairs = np.array([(a, b) for a in range(9) for b in range(a + 1, 9)])
+    found = set()
+    for members, bounds, partners in ngram_join._grouped(pairs[:, 0], pairs[:, 1], tile):
+        assert len(set(tile[members])) <= 2
+        found |= {(a, b) for a, i, j in zip(members, bounds, bounds[1:], strict=False) for b in partners[i:j]}
+    assert found == set(map(tuple, pairs))
+
+
 def test_odd_tables(spark):
     assert jaccard_classes(empty(spark)).count() == 0 and without_near_copies(empty(spark)).count() == 0
     got = {r.doc_id: r for r in jaccard_classes(documents(spark)).collect()}
@@ -102,3 +116,5 @@ def test_components_of_a_long_chain(spark):
     got = {r.u: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
     assert components(edges.where("false")).count() == 0
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=1)
