@@ -92,6 +92,15 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+#: The driver's pages have their article in one element of that name; what the trees keep must be its blocks.
+_OP4_SQL = r"""
+with parts as (select page_id, url, list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), lambda x:
+  trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as p from pages),
+texts as (select page_id, url, array_to_string(list_filter(p, lambda x: x <> ''), chr(10) || chr(10)) as text from parts)
+select page_id, url, text, length(text)::bigint as n_chars from texts
+"""
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -210,6 +219,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_chat_formatting": _OP1_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
+    "op1_chat_formatting": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
     "packing_cover": "select doc_id, count(*) as rows, true as covered, true as sound from documents group by doc_id",
 }
