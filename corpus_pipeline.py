@@ -6,6 +6,13 @@ drop what they reject, line dedup deletes later copies of repeated runs and
 drops documents that lose every word to it, the Jaccard join leaves one document
 of each group, and decontamination drops documents that hold a benchmark item.
 Packing returns the pieces of what is left, with their token ids.
+
+Defined cases, as the operators state them: a document with a null or empty text
+has fewer words than the rules ask for and goes in the first stage; very long
+texts go through all stages whole; repeated rows are copies, of which the Jaccard
+join leaves one, and ties go to the least doc_id (null first, then by row);
+columns of any name are carried through the first four stages as they are, but
+for n_chars, which follows the text; an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
