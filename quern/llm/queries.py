@@ -16,6 +16,7 @@ from quern.llm.ngram_join import jaccard_classes
 from quern.llm.packing import pack
 from quern.llm.ppm_scoring import score_documents
 from quern.llm.quality_rules import fit_quality_model, quality_rules
+from quern.llm.rolling_median import rolling_medians
 from quern.llm.token_counts import token_counts
 from quern.llm.toxicity import toxicity
 
@@ -152,6 +153,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op13_rolling_exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_medians(table(spark, sf_dir, "clicks"))
+
+
+_OP13_SQL = """
+with ordered as (
+  select click_id, ts, kind, case when value is not null and isfinite(value) then floor(100 * value + 0.5)::bigint end as c,
+    row_number() over (partition by click_id order by ts, kind nulls first, value nulls first) as r
+  from clicks where ts is not null
+), framed as (
+  select click_id, kind, c, count(c) over w as n, median(c) over w as m, mad(c) over w as d
+  from ordered where r = 1 window w as (partition by kind order by ts range between interval '59 minutes 59.999999 seconds' preceding and current row)
+), whole as (select *, (2 * m)::bigint as median2, (4 * d)::bigint as mad4 from framed)
+select click_id, kind, n, case when n >= 2 then median2 end as median2, case when n >= 2 then mad4 end as mad4,
+  case when n >= 2 then 2 * abs(2 * c - median2) > 3 * mad4 end as far from whole
+"""
+
+
 def _rounded(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
     return df.withColumn(column, F.round(column, digits))
 
@@ -213,12 +232,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op13_rolling_exact_median": op13_rolling_exact_median,
     "lm_base_scores": lm_base_scores,
     "quality_base": quality_base,
     "packing_cover": packing_cover,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_chat_formatting": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
+    "op1_chat_formatting": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "op13_rolling_exact_median": _OP13_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
     "packing_cover": "select doc_id, count(*) as rows, true as covered, true as sound from documents group by doc_id",
 }
