@@ -17,6 +17,7 @@ from quern.llm.packing import pack
 from quern.llm.ppm_scoring import score_documents
 from quern.llm.quality_rules import fit_quality_model, quality_rules
 from quern.llm.rolling_median import rolling_medians
+from quern.llm.token_alignment import align_tokens
 from quern.llm.token_counts import token_counts
 from quern.llm.toxicity import toxicity
 
@@ -153,6 +154,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_rolling_exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_medians(table(spark, sf_dir, "clicks"))
 
@@ -232,6 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
     "op13_rolling_exact_median": op13_rolling_exact_median,
     "lm_base_scores": lm_base_scores,
     "quality_base": quality_base,
