@@ -14,6 +14,7 @@ from quern.llm.html_extraction import extract_pages
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.ngram_join import jaccard_classes
 from quern.llm.packing import pack
+from quern.llm.personal_data import personal_data, written_spans
 from quern.llm.ppm_scoring import score_documents
 from quern.llm.quality_rules import fit_quality_model, quality_rules
 from quern.llm.rolling_median import rolling_medians
@@ -158,6 +159,34 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long) as n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(written_spans("base").cast("binary"), 256).alias("base_sha256"), written_spans("spans").alias("spans"))
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op12's base spans."""
+    return op12_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_PERSONAL_DATA_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+found as (
+  select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as emails, regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') as ips,
+    list_transform(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as cards,
+    list_transform(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) as phones
+  from t
+)
+select doc_id, len(emails)::bigint as n_email,
+  len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 or length(ltrim(y, '0')) = 3 and ltrim(y, '0') > '255')) = 0))::bigint as n_ip,
+  len(list_filter(cards, lambda d: length(d) between 12 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda i:
+    case when (length(d) - i) % 2 = 1 then 2 * d[i]::int - case when d[i] > '4' then 9 else 0 end else d[i]::int end)) % 10 = 0))::bigint as n_card,
+  len(list_filter(phones, lambda n: n between 9 and 15))::bigint as n_phone
+from found
+"""
+
+
 def op13_rolling_exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_medians(table(spark, sf_dir, "clicks"))
 
@@ -238,13 +267,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
     "op11_token_alignment": op11_token_alignment,
+    "op12_personal_data": op12_personal_data,
     "op13_rolling_exact_median": op13_rolling_exact_median,
     "lm_base_scores": lm_base_scores,
+    "personal_data_counts": personal_data_counts,
     "quality_base": quality_base,
     "packing_cover": packing_cover,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_chat_formatting": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "op13_rolling_exact_median": _OP13_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
+    "op1_chat_formatting": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op8_line_dedup": _OP8_SQL, "op13_rolling_exact_median": _OP13_SQL, "personal_data_counts": _PERSONAL_DATA_SQL, "lm_base_scores": _LM_BASE_SQL, "quality_base": _QUALITY_BASE_SQL,
     "packing_cover": "select doc_id, count(*) as rows, true as covered, true as sound from documents group by doc_id",
 }
