@@ -27,7 +27,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,12 @@ from pyspark.sql import types as T
 
 from quern.llm.common import LONG_WORD, distinct, kept, stored, task, text_slices
 
-#: A worker forgets its aligned pieces when it holds so many.
-CACHED_PIECES = 150_000
+#: A worker remembers so many aligned pieces at most.
+CACHED_PIECES = 200_000
+#: So many pieces are tokenized as one text.
+JOINED = 2000
+#: Characters of the documents that share a stretch.
+STRETCH_CHARS = 4_000_000
 LINKS = ("ends", "overlaps", "groups")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -103,6 +108,14 @@ def group_products(last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray,
     return first_a[group] + place // deep[group], first_b[group] + place % deep[group]
 
 
+class _Numbers(dict):
+    """Numbers the keys that it is asked for, from 0 on."""
+
+    def __missing__(self, key: str) -> int:
+        value = self[key] = len(self)
+        return value
+
+
 class Aligner(dict):
     """piece -> (group text, A tokens, B tokens, groups, overlaps, group pairs, links as packed pairs of ids), None where bytes differ."""
 
@@ -117,20 +130,49 @@ class Aligner(dict):
     def pieces(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cut else [text]
 
-    def align(self, pieces: list[str]) -> Iterator[tuple | None]:
-        """One entry a piece."""
+    def align(self, pieces: list[str]) -> list[tuple | None]:
+        """One entry a piece.  Many pieces without white space at their ends are tokenized as one text, where that gives all their bytes."""
+        out: list[tuple | None] = [None] * len(pieces)
+        alone = [i for i, x in enumerate(pieces) if not self.cut or len(x.strip()) != len(x)]
+        plain = sorted(set(range(len(pieces))) - set(alone))
+        for at in range(0, len(plain), JOINED):
+            own = plain[at : at + JOINED]
+            found = self._joined([pieces[i] for i in own])
+            if found is None:
+                alone += own
+            else:
+                for i, entry in zip(own, found):
+                    out[i] = entry
+        if alone:
+            for i, entry in zip(alone, self._each([pieces[i] for i in alone])):
+                out[i] = entry
+        return out
+
+    def _joined(self, pieces: list[str]) -> Iterator[tuple] | None:
+        text = " ".join(pieces)
+        ids_a, ids_b = self.a.encode([text])[0], self.b.encode([text])[0]
+        whole = b" " + text.encode()
+        if not b"".join(map(self.a.bytes.__getitem__, ids_a)) == whole == b"".join(map(self.b.bytes.__getitem__, ids_b)):
+            return None
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends = np.cumsum([len(x.encode()) + 1 for x in pieces])
+        last = [np.searchsorted(np.cumsum(sizes[ids]), ends) for sizes, ids in ((self.sizes_a, ids_a), (self.sizes_b, ids_b))]
+        n_a, n_b = (np.diff(x, prepend=-1) for x in last)
+        return self._entries(ids_a, n_a, ids_b, n_b)
+
+    def _each(self, pieces: list[str]) -> Iterator[tuple | None]:
         all_a, all_b = self.a.encode(pieces), self.b.encode(pieces)
         sound = []
         for piece, a, b in zip(pieces, all_a, all_b):
             whole = b" " + piece.encode()
             sound.append(b"".join(map(self.a.bytes.__getitem__, a)) == whole == b"".join(map(self.b.bytes.__getitem__, b)))
         all_a, all_b = ([x for x, s in zip(ids, sound) if s] for ids in (all_a, all_b))
-        entries = iter(self._entries(all_a, all_b)) if any(sound) else iter(())
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (all_a, all_b))
+        ids_a, ids_b = (np.array([i for x in ids for i in x], np.int64) for ids in (all_a, all_b))
+        entries = self._entries(ids_a, n_a, ids_b, n_b) if any(sound) else iter(())
         return (next(entries) if s else None for s in sound)
 
-    def _entries(self, all_a: list[list[int]], all_b: list[list[int]]) -> Iterator[tuple]:
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (all_a, all_b))
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64, n.sum()) for ids, n in ((all_a, n_a), (all_b, n_b)))
+    def _entries(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> Iterator[tuple]:
         own_a, own_b, closes = intervals(np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
         last_a, last_b = own_a[closes], own_b[closes]
         if self.links == "ends":
@@ -151,32 +193,59 @@ class Aligner(dict):
         end_groups, end_overlaps, end_links = (np.searchsorted(x, end_a) for x in (last_a, own_a, link_a))
         sizes = np.bincount(group_a, minlength=len(last_a)) * np.bincount(group_b, minlength=len(last_a))
         products = np.r_[0, np.cumsum(sizes)][end_groups]
-        written, start, start_links = list(map(self.written.__getitem__, order.tolist())), 0, 0
-        before = (0, 0, 0, 0, 0)
-        for now, links in zip(zip(end_a.tolist(), end_b.tolist(), end_groups.tolist(), end_overlaps.tolist(), products.tolist()), end_links.tolist()):
-            end = now[0] + now[1]
-            yield ("".join(written[start:end]), *(x - y for x, y in zip(now, before)), packed[start_links:links].tobytes())
-            before, start, start_links = now, end, links
-
-    def entries(self, pieces: set[str]) -> dict[str, tuple | None]:
-        """Entries of all pieces, from what the worker remembers or new."""
-        found = {x: self[x] for x in pieces if x in self}
-        new = [x for x in pieces if x not in found]
+        written, links = list(map(self.written.__getitem__, order.tolist())), packed.tobytes()
+        figures = (end_a, end_b, end_groups, end_overlaps, products)
+        ends, link_ends = (end_a + end_b).tolist(), (8 * end_links).tolist()
+        return zip(
+            ("".join(written[i:j]) for i, j in zip([0, *ends], ends)), *(np.diff(x, prepend=0).tolist() for x in figures), (links[i:j] for i, j in zip([0, *link_ends], link_ends))
+        )
+
+    def entries(self, pieces: Iterable[str]) -> list[tuple | None]:
+        """Entries of all pieces, from what the worker remembers or new; what it remembers when it has too many are those of now."""
+        found = dict(zip(pieces, map(self.get, pieces, repeat(False))))
+        new = [x for x, entry in found.items() if entry is False]
         found.update(zip(new, self.align(new)))
-        short = [x for x in new if len(x) <= LONG_WORD]
-        if len(self) + len(short) > CACHED_PIECES:
+        if len(self) + len(new) > CACHED_PIECES:
             self.clear()
-        self.update((x, found[x]) for x in short[:CACHED_PIECES])
-        return found
+            new = islice(found, CACHED_PIECES)
+        self.update((x, found[x]) for x in new if len(x) <= LONG_WORD)
+        return list(found.values())
+
+    def stretch(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """Of texts that are taken together: (five counts, links, digest, numbers of its pairs, their times) of each; the pairs, and their times in all."""
+        numbers = _Numbers()
+        split = [list(map(numbers.__getitem__, self.pieces(x))) if x else [] for x in texts]
+        used = self.entries(numbers)
+        if bad := {i for i, x in enumerate(used) if x is None}:
+            # such texts are taken whole, and have no tokens if that gives other bytes too
+            whole = [i for i, x in enumerate(split) if not bad.isdisjoint(x)]
+            again = self.align([texts[i] for i in whole])
+            for i, entry in zip(whole, again):
+                split[i] = [len(used)] if entry else []
+                used += [entry] if entry else []
+            used = [x or ("", 0, 0, 0, 0, 0, b"") for x in used]
+        written, counts = [x[0] for x in used], np.array([x[1:6] for x in used], np.int64).reshape(-1, 5)
+        held = np.frombuffer(b"".join([x[6] for x in used]), np.int64)
+        n_links = np.array([len(x[6]) // 8 for x in used], np.int64)
+        pairs = distinct(held)
+        code, first = np.searchsorted(pairs, held), np.cumsum(n_links) - n_links
+        totals, rows = np.zeros(len(pairs), np.int64), []
+        for pieces in split:
+            mine = np.array(pieces, np.int64)
+            n = n_links[mine]
+            links = code[np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            links.sort()
+            start = np.flatnonzero(np.diff(links, prepend=-1))
+            own, times = links[start], np.diff(np.r_[start, len(links)])
+            totals[own] += times
+            text = "".join(map(written.__getitem__, pieces))[:-1]
+            rows.append((*counts[mine].sum(0).tolist(), len(links), hashlib.sha256(text.encode()).hexdigest() if text else "", own, times))
+        return rows, pairs, totals
 
 
 _STRETCH = "stretch long, id {id}, n_a long, n_b long, n_groups long, n_overlaps long, n_group_pairs long, n_links long, groups_sha256 string, codes array<int>, times array<int>, pairs array<long>, totals array<long>"
 
 
-def _digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def _stretches(docs: DataFrame, path_a: str, path_b: str, links: str, id_column: str, text_column: str) -> DataFrame:
     """A row a document with its links as numbers of its stretch's pairs, and a row a stretch with the pairs and how often it has them."""
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -186,46 +255,19 @@ def _stretches(docs: DataFrame, path_a: str, path_b: str, links: str, id_column:
         # a task that is run again gives all its stretches anew under the same names
         context = TaskContext.get()
         stretch = (context.partitionId() if context else 0) << 32
-        for part, texts in text_slices(batches, "text"):
-            split = [aligner.pieces(x) if x else [] for x in texts]
-            entries = aligner.entries({p for x in split for p in x})
-            for i, pieces in enumerate(split):
-                if not all(map(entries.__getitem__, pieces)):
-                    split[i] = [texts[i]] if len(pieces) > 1 else pieces
-            whole = {x[0] for x in split if x and x[0] not in entries}
-            entries.update(zip(whole, aligner.align(list(whole))))
-            split = [x if all(map(entries.__getitem__, x)) else [] for x in split]
-            numbers = {p: i for i, p in enumerate({p for x in split for p in x})}
-            used = [entries[p] for p in numbers]
-            counts = np.array([x[1:6] for x in used], np.int64).reshape(-1, 5)
-            held = np.frombuffer(b"".join(x[6] for x in used), np.int64)
-            n_links = np.array([len(x[6]) // 8 for x in used], np.int64)
-            pairs = distinct(held)
-            code, first = np.searchsorted(pairs, held), np.cumsum(n_links) - n_links
-            totals, rows = np.zeros(len(pairs), np.int64), []
-            for i, pieces in enumerate(split):
-                mine = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
-                n = n_links[mine]
-                links_ = code[np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                links_.sort()
-                start = np.flatnonzero(np.diff(links_, prepend=-1))
-                own, times = links_[start], np.diff(np.r_[start, len(links_)])
-                totals[own] += times
-                text = "".join(used[k][0] for k in mine.tolist())[:-1]
-                rows.append((*counts[mine].sum(0).tolist(), int(n.sum()), _digest(text) if text else "", own.astype(np.int32), times.astype(np.int32)))
+        for part, texts in text_slices(batches, "text", STRETCH_CHARS):
+            rows, pairs, totals = aligner.stretch(texts)
             columns = list(zip(*rows))
-            ints = pa.list_(pa.int32())
-            none = pa.nulls(len(rows), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([stretch] * len(rows), pa.int64()), part.column("id"), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.string()), *(pa.array(list(c), ints) for c in columns[7:]), none, none], names=_names
-            )
+            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+            listed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c), pa.int32())) for c in columns[7:]]
+            yield pa.RecordBatch.from_arrays([pa.array([stretch] * len(rows), pa.int64()), part.column("id"), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.string()), *listed, *[pa.nulls(len(rows), longs)] * 2], names=names)
             if len(pairs):
                 nothing = [pa.nulls(1, kind) for kind in (part.column("id").type, *[pa.int64()] * 6, pa.string(), ints, ints)]
-                yield pa.RecordBatch.from_arrays([pa.array([stretch], pa.int64()), *nothing, *(pa.array([x], pa.list_(pa.int64())) for x in (pairs, totals))], names=_names)
+                yield pa.RecordBatch.from_arrays([pa.array([stretch], pa.int64()), *nothing, *(pa.array([x], longs) for x in (pairs, totals))], names=names)
             stretch += 1
 
     schema = T._parse_datatype_string(_STRETCH.format(id=id_type))
-    _names = schema.fieldNames()
+    names = schema.fieldNames()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(task(run, "token_alignment "), schema)
 
 
