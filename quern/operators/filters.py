@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
+from quern.sources.shared import stored
 
 
 def predicate(where: dict) -> Column:
@@ -54,10 +55,41 @@ def new_ids(candidates: DataFrame, *seen: DataFrame, key: str = "doc_id") -> Dat
     return out
 
 
-def topic_quota(candidates: DataFrame, quota: int, total: int, key: str = "doc_id") -> DataFrame:
-    """At most ``quota`` new ids per topic and ``total`` in all, by (topic_idx, pos); an id counts for its first topic."""
-    from pyspark.sql import Window
-
-    once = candidates.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("topic_idx", "pos"))).where("__n = 1").drop("__n")
-    own = once.withColumn("topic_rank", F.row_number().over(Window.partitionBy("topic_idx").orderBy("pos", key))).where(F.col("topic_rank") <= quota)
-    return own.orderBy("topic_idx", "pos", key).limit(total)
+#: Parts of a topic that are cut to its quota by themselves, so that no task holds a whole topic.
+SALTS = 64
+
+
+def topic_quota(candidates: DataFrame, quota: int | DataFrame, total: int | None = None, key: str = "doc_id") -> DataFrame:
+    """At most ``quota`` ids per topic and ``total`` in all, with topic_rank, as if topics took their ids one after the other.
+
+    Topics come by topic_idx and take by (pos, id) what no earlier topic has taken; ``quota`` may be a table
+    (topic_idx, quota).  An id that finds a full topic goes on to its next one: every id asks at its first topic, a
+    topic keeps its best, those it turns away ask at their next, until none is turned away, which gives the same.
+    """
+    spark, extra = candidates.sparkSession, [c for c in candidates.columns if c not in (key, "topic_idx", "pos")]
+    wish = F.struct("topic_idx", "pos", *extra)
+    # an id stands once in a topic, where it comes first
+    asked = candidates.groupBy(key).agg(F.array_sort(F.collect_set(wish)).alias("wishes"))
+    first = lambda x, i: (i == 0) | (x["topic_idx"] != F.get("wishes", i - 1)["topic_idx"])
+    asked = stored(asked.select(key, F.filter("wishes", first).alias("wishes"), F.lit(0).alias("at")), "asked")
+    quotas = quota if isinstance(quota, DataFrame) else None
+    own = F.struct("pos", key)
+    while True:
+        current = asked.select(key, "wishes", "at", F.get("wishes", F.col("at")).alias("own")).select(key, "wishes", "at", "own.topic_idx", "own.pos")
+        current = current.join(quotas, "topic_idx") if quotas is not None else current.withColumn("quota", F.lit(quota))
+        part = Window.partitionBy("topic_idx", F.pmod(F.xxhash64(key), F.lit(SALTS))).orderBy("pos", key)
+        best = current.withColumn("__n", F.row_number().over(part)).where("__n <= quota").select("topic_idx", "pos", key, "quota")
+        best = best.withColumn("topic_rank", F.row_number().over(Window.partitionBy("topic_idx").orderBy("pos", key))).where("topic_rank <= quota")
+        last = best.groupBy("topic_idx").agg(F.max(own).alias("last"), F.count("*").alias("n"))
+        told = current.join(last, "topic_idx", "left")
+        out = (F.col("quota") <= 0) | F.coalesce((F.col("n") >= F.col("quota")) & (own > F.col("last")), F.lit(False))
+        asked = stored(told.select(key, "wishes", (F.col("at") + out.cast("int")).alias("at"), out.alias("moved")).where(F.col("at") < F.size("wishes")), "asked")
+        if not asked.where("moved").limit(1).count():
+            break
+    wishes = asked.select(key, F.get("wishes", F.col("at")).alias("own")).select(key, "own.*")
+    placed = wishes.withColumn("topic_rank", F.row_number().over(Window.partitionBy("topic_idx").orderBy("pos", key)))
+    if total is None:
+        return placed
+    # a row for each topic: how many the topics before it have taken
+    sizes = placed.groupBy("topic_idx").agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("topic_idx").rowsBetween(Window.unboundedPreceding, -1)))
+    return placed.join(sizes.select("topic_idx", "__before"), "topic_idx").where(F.coalesce("__before", F.lit(0)) + F.col("topic_rank") <= total).drop("__before")

@@ -282,7 +282,7 @@ def _index(spark, sf_dir) -> bm25.Index:
     """The index of the documents, written once for an application and searched from there."""
     documents, spread = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
     made: list[bm25.Index] = []
-    path = made_once(spark, ("bm25", sf_dir), lambda path: made.append(bm25.saved_index(documents, path, partitions=spread)))
+    path = made_once(spark, ("bm25", sf_dir), lambda path: made.append(bm25.saved_index(documents, path, partitions=spread)), f"{sf_dir}/documents.parquet")
     return _INDEXES.setdefault((spark.sparkContext.applicationId, path), *made)
 
 
@@ -583,11 +583,23 @@ def anti_join_new_ids(spark, sf_dir):
 
 
 @_register("topic_quota", """
-with fresh as (select doc_id, source, row_number() over (partition by source order by doc_id) as n from documents where doc_id not in (select doc_id from labels)) select doc_id, source from fresh where n <= 5
+with recursive fresh as (select doc_id, source, lang from documents where doc_id not in (select doc_id from labels)),
+wishes as (select doc_id, 2 * (hash_of % 7) as topic_idx, doc_id as pos from (select *, substr(source, 4)::int as hash_of from fresh) union all select doc_id, 2 * (doc_id % 5) + 1, -doc_id from fresh union all select doc_id, 20 + (doc_id % 3), doc_id from fresh),
+topics as (select topic_idx, list(doc_id order by pos, doc_id) as ids, row_number() over (order by topic_idx) as n from wishes group by topic_idx),
+taken as (
+  select 0::bigint as n, -1::bigint as topic_idx, []::bigint[] as own, []::bigint[] as every
+  union all
+  select t.n, t.topic_idx, list_filter(t.ids, lambda i: not list_contains(s.every, i))[1:least(20, greatest(0, 200 - len(s.every)))], list_concat(s.every, list_filter(t.ids, lambda i: not list_contains(s.every, i))[1:least(20, greatest(0, 200 - len(s.every)))])
+  from taken s join topics t on t.n = s.n + 1
+)
+select topic_idx, unnest(own) as doc_id, unnest(range(1, len(own) + 1))::int as topic_rank from taken where len(own) > 0
 """)
 def topic_quota(spark, sf_dir):
-    fresh = filters.new_ids(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return filters.topic_quota(fresh.select("doc_id", "source", F.col("source").alias("topic_idx"), F.col("doc_id").alias("pos")), 5, 100_000).select("doc_id", "source")
+    """Every new document stands in three topics, so full ones send it on."""
+    fresh = filters.new_ids(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "source")
+    topics = [(2 * (F.substr("source", F.lit(4)).cast("int") % 7), F.col("doc_id")), (2 * (F.col("doc_id") % 5) + 1, -F.col("doc_id")), (20 + F.col("doc_id") % 3, F.col("doc_id"))]
+    wishes = fresh.select("doc_id", F.explode(F.array(*(F.struct(t.cast("long").alias("topic_idx"), p.alias("pos")) for t, p in topics))).alias("x")).select("doc_id", "x.*")
+    return filters.topic_quota(wishes, 20, 200).select("topic_idx", "doc_id", "topic_rank")
 
 
 @_register("latest_version", "select o_custkey as key, max(struct_pack(d := o_orderdate, k := o_orderkey)).k as latest from orders group by o_custkey")
@@ -661,25 +673,31 @@ def _embedded(table: str, key: str) -> str:
   select t.{key}, list(case when coalesce(size, 0) > 0 then (coalesce(v, 0)::real / size)::real else 0::real end order by n.d) as embedding from (select distinct {key} from {table}) t cross join (select unnest(range(64))::int as d) n left join summed s on s.{key} = t.{key} and s.d = n.d left join sized z on z.{key} = t.{key} group by t.{key})"""
 
 
-#: The items have no names of the lexicon and ask for no years, so the vector path of their own text is the only one.
-_NEAR = f"""with q as {_embedded("benchmark", "item_id")}, v as {_embedded("documents", "doc_id")},
-near as (select q.item_id as query_id, v.doc_id as chunk_id, {_COSINE} as score, row_number() over (partition by q.item_id order by coalesce({_COSINE}, 0) desc, v.doc_id)::int as fused_rank from q, v qualify fused_rank <= 20)"""
+#: The items have no names of the lexicon and ask for no years: their own text is the vector path and, as no keywords come of it, the keyword path.
+_HYBRID = f"""with q as {_embedded("benchmark", "item_id")}, v as {_embedded("documents", "doc_id")},
+near as (select q.item_id as query_id, v.doc_id as chunk_id, row_number() over (partition by q.item_id order by coalesce({_COSINE}, 0) desc, v.doc_id) as rank from q, v qualify rank <= 20), {_BM25},
+lists as (select query_id, chunk_id, 0 as path, rank from near union all select query_id, doc, 3, row_number() over (partition by query_id order by score desc, doc) as rank from scored qualify rank <= 20),
+fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 6) as fused_score, count(*)::bigint as n_paths, min(path * 1000 + rank) as seen from lists group by all),
+found as (select query_id, chunk_id, fused_score, n_paths, row_number() over (partition by query_id order by fused_score desc, seen, chunk_id)::int as fused_rank from fused)"""
 
 
 def _retriever(spark, sf_dir) -> Retriever:
+    """Over the written index of the documents and their vectors, written once too."""
     chunks = _articles(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "doc_id", "journal", F.col("pub_year").cast("string").alias("pub_year"), "lang", T.is_table(T.text_of("text")).alias("is_table"))
-    return Retriever.build(chunks)
+    spread = chunks.repartition(spark.sparkContext.defaultParallelism, "chunk_id")
+    path = made_once(spark, ("vectors", sf_dir), lambda path: Retriever.embedded(spread, path), f"{sf_dir}/documents.parquet")
+    return Retriever(chunks, _index(spark, sf_dir), vector.read_store(spark, path, "embedder").select("chunk_id", "embedding"))
 
 
-@_register("retrieved_candidates", f"{_NEAR} select query_id, chunk_id, round(1.0::double / (60 + fused_rank), 6) as fused_score, fused_rank, 1::bigint as n_paths from near")
+@_register("retrieved_candidates", f"{_HYBRID} select * from found")
 def retrieved_candidates(spark, sf_dir):
-    return _retriever(spark, sf_dir).retrieve(_queries(spark, sf_dir)).select("query_id", "chunk_id", "fused_score", "fused_rank", "n_paths")
+    return _retriever(spark, sf_dir).retrieve(_queries(spark, sf_dir)).select("query_id", "chunk_id", "fused_score", "n_paths", "fused_rank")
 
 
 @_register("search_results", f"""
-{_NEAR}, venues as ({_VENUES}), wanted as (select item_id as query_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) as w from benchmark),
+{_HYBRID}, venues as ({_VENUES}), asked as (select item_id as query_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) as w from benchmark),
 criteria as (select query_id, chunk_id, fused_rank, d.text, case when len(w) > 0 then len(list_intersect(w, string_split_regex(lower(coalesce(d.text, '')), '\\s+')))::double / len(w) else 0.0 end as raw, greatest(0.0, least(1.0, (chunk_id % 35) / 34.0::double)) as recency, authority
-  from near join documents d on d.doc_id = chunk_id join venues on venue = d.source join wanted using (query_id)),
+  from found join documents d on d.doc_id = chunk_id join venues on venue = d.source join asked using (query_id) where fused_rank <= 20),
 normal as (select *, case when count(*) over w = 1 then raw when max(raw) over w - min(raw) over w < 1e-9 then 1.0 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end as relevance from criteria window w as (partition by query_id)),
 final as (select query_id, chunk_id, left(text, 400) as snippet, round(relevance * 0.6::double + recency * 0.25::double + authority * 0.15::double, 6) as rerank_score from normal)
 select query_id, chunk_id, rerank_score, row_number() over (partition by query_id order by rerank_score desc, chunk_id)::int as rerank_rank, snippet from final qualify rerank_rank <= 5

@@ -7,6 +7,7 @@ journal, pub_year, lang and is_table; ids are numbers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from quern.functions import lexicon as L
 from quern.functions import text as T
 from quern.operators import bm25, context, filters, fusion, generate, models, query, rerank, vector
+from quern.sources.shared import shared_folder
 
 
 @dataclass(frozen=True)
@@ -29,9 +31,16 @@ class Retriever:
     scorer: models.Scorer = models.overlap_scorer
 
     @staticmethod
-    def build(chunks: DataFrame, embedder: Callable[[], models.Embedder] = models.hashing_embedder, scorer: models.Scorer = models.overlap_scorer) -> Retriever:
+    def build(chunks: DataFrame, path: str | None = None, embedder: Callable[[], models.Embedder] = models.hashing_embedder, scorer: models.Scorer = models.overlap_scorer) -> Retriever:
+        """Index and vectors are written under ``path``, a folder of the application's own without one, and searched from there."""
+        path = path or f"{shared_folder(chunks.sparkSession)}/retriever-{uuid.uuid4().hex}"
+        return Retriever(chunks, bm25.saved_index(chunks, f"{path}/index", doc_id="chunk_id"), Retriever.embedded(chunks, f"{path}/vectors", embedder), embedder, scorer)
+
+    @staticmethod
+    def embedded(chunks: DataFrame, path: str, embedder: Callable[[], models.Embedder] = models.hashing_embedder) -> DataFrame:
+        """The chunks' vectors, written once."""
         vectors = models.embed(chunks.select("chunk_id", "text"), embedder).select("chunk_id", "embedding")
-        return Retriever(chunks, bm25.build_index(chunks, "chunk_id"), vectors, embedder, scorer)
+        return vector.build_store(vectors, path, "embedder", "all", vector_id="chunk_id").select("chunk_id", "embedding")
 
     @staticmethod
     def _wanted() -> Column:
@@ -56,7 +65,9 @@ class Retriever:
         near = vector.vector_search(models.embed(variants, self.embedder), self.vectors.join(tagged, "chunk_id"), k_vector, query_id="key", vector_id="chunk_id", where="where", tags="tags")
         n = F.pmod("query_id", F.lit(4)).cast("int")
         paths = [fusion.path(near.where(n == i).withColumn("query_id", F.floor(F.col("query_id") / 4)), i, f"vector_{i}", "vector") for i in range(3)]
-        scored = bm25.scores(self.index, enhanced.select("query_id", F.col("keyword_query").alias("text")), allowed=tagged.select(F.col("chunk_id").alias("doc")) if where else None)
+        # a query that names nothing of the lexicon is searched by its own words
+        words = F.coalesce(F.nullif("keyword_query", F.lit("")), F.col("cleaned"))
+        scored = bm25.scores(self.index, enhanced.select("query_id", words.alias("text")), allowed=tagged.select(F.col("chunk_id").alias("doc")) if where else None)
         asked = scored.join(enhanced.where(F.size("where") > 0).select("query_id", "where"), "query_id").join(tagged.withColumnRenamed("chunk_id", "doc"), "doc")
         kept = asked.where(F.forall("where", lambda x: F.arrays_overlap(x, F.col("tags")))).select("query_id", "doc", "score")
         free = scored.join(enhanced.where(F.size("where") == 0).select("query_id"), "query_id", "left_semi").select("query_id", "doc", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,13 +35,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files under ``path``: another one when the table was written anew."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while listed.hasNext():
+        f = listed.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(repr(sorted(found)).encode(), usedforsecurity=False).hexdigest()
+
+
 #: What an application has made already, by application and key: the folder.
 _MADE: dict[tuple, str] = {}
 
 
-def made_once(spark: SparkSession, key: tuple, make: Callable[[str], None]) -> str:
-    """The folder of what ``make`` writes, made the first time that an application asks for the key."""
-    key = (spark.sparkContext.applicationId, *key)
+def made_once(spark: SparkSession, key: tuple, make: Callable[[str], None], source: str | None = None) -> str:
+    """The folder of what ``make`` writes, made the first time that an application asks for the key, and again when the table at ``source`` has changed."""
+    key = (spark.sparkContext.applicationId, *key, *([version(spark, source)] if source else []))
     if key not in _MADE:
         path = f"{shared_folder(spark)}/{key[1]}-{uuid.uuid4().hex}"
         make(path)

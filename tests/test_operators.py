@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,9 +101,30 @@ def test_filters(spark):
     assert ids({}) == [1, 2, 3] and ids({"pub_year": "x", "is_table": False}) == [2]
 
 
+def taken_in_turn(rows, quota, total):
+    """Topics one after the other."""
+    seen, out = set(), []
+    for topic in sorted({r[1] for r in rows}):
+        need, added = min(quota if isinstance(quota, int) else quota.get(topic, 0), (total or 10**9) - len(out)), 0
+        for key, _, _ in sorted((r for r in rows if r[1] == topic), key=lambda r: (r[2], r[0])):
+            if added < need and key not in seen:
+                seen.add(key)
+                added += 1
+                out.append((topic, key, added))
+    return out
+
+
 def test_topic_quota(spark):
-    df = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 0, 2), (1, 1, 0), (4, 1, 1), (5, 1, 2)], "doc_id long, topic_idx int, pos int")
-    assert [r.doc_id for r in filters.topic_quota(df, 2, 3).collect()] == [1, 2, 4]
+    rng, schema = random.Random(8), "doc_id long, topic_idx long, pos long"
+    for ids, topics, quota, total in [(3, 2, 1, None), (30, 5, 3, None), (60, 9, 4, 20), (25, 25, 1, None), (40, 4, 0, 5)]:
+        rows = [(i, t, rng.randrange(10)) for i in range(ids) for t in rng.sample(range(topics), rng.randint(1, min(3, topics)))]
+        got = filters.topic_quota(spark.createDataFrame(rows + rows[:2], schema), quota, total).select("topic_idx", "doc_id", "topic_rank").collect()
+        assert sorted(map(tuple, got)) == sorted(taken_in_turn(rows, quota, total))
+    # an id beyond a topic's quota is left to the next
+    rows = [(1, 0, 0), (2, 0, 1), (2, 1, 0), (3, 1, 1)]
+    assert sorted(r.doc_id for r in filters.topic_quota(spark.createDataFrame(rows, schema), 1).collect()) == [1, 2]
+    own = spark.createDataFrame([(0, 2), (1, 1)], "topic_idx long, quota int")
+    assert sorted(r.doc_id for r in filters.topic_quota(spark.createDataFrame(rows, schema), own).collect()) == [1, 2, 3]
 
 
 def test_recursive_split_keeps_everything():
