@@ -101,6 +101,33 @@ def test_filters(spark):
     assert ids({}) == [1, 2, 3] and ids({"pub_year": "x", "is_table": False}) == [2]
 
 
+def test_similar_rows_against_the_fold(spark):
+    """A group of more than 1,000 near copies, chains of copies of copies, exact copies and rows without text."""
+    rng = random.Random(6)
+    base = "".join(rng.choices("abcdefgh", k=120))
+    near = lambda text, n: "".join(rng.choice("xyz") if rng.random() < n else c for c in text)
+    texts = [near(base, 0.01) for _ in range(1100)]
+    for _ in range(20):
+        text = "".join(rng.choices("abcdefgh", k=80))
+        for _ in range(6):
+            texts.append(text)
+            text = near(text, 0.03)
+    texts += ["ab", "ab", "abcd", "abcde", "", None, " \n"] + texts[:5]
+    rows = [(i, rng.choice([0.5, 1.0, 2.0]), t) for i, t in enumerate(texts)]
+    sets = {}
+    for i, _, t in rows:
+        plain = "".join((t or "").lower().split())
+        sets[i] = {plain[k : k + 4] for k in range(len(plain) - 3)} if len(plain) > 4 else {plain} - {""}
+    kept, due = [], {}
+    for i, _, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        due[i] = not any(len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) - 1e-12 for j in kept if sets[i])
+        kept += [i] * due[i]
+    df = spark.createDataFrame(rows, "id long, relevance_score double, text string")
+    got = {r.id: r.unique for r in context.similar_rows_dropped(df).collect()}
+    assert got == due and sum(due.values()) > 10
+    assert context.similar_rows_dropped(df.where("false")).collect() == []
+
+
 def taken_in_turn(rows, quota, total):
     """Topics one after the other."""
     seen, out = set(), []
