@@ -81,6 +81,14 @@ def char_shingles(c: Column, n: int = 4) -> Column:
     return F.when(F.length(t) > n, F.array_distinct(runs)).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 
+def word_shingles(c: Column, n: int = 5) -> Column:
+    """The set of runs of n words of the lower-cased text; a text of fewer words is one itself."""
+    words = F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    run = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+    own = lambda w: F.when(F.size(w) >= n, F.array_distinct(run(w))).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+    return bound(words, own)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 if either is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))

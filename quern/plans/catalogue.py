@@ -575,21 +575,20 @@ def evidence_filter(spark, sf_dir):
 
 
 @_register("corpus_copies", r"""
-with recursive own as (select doc_id, n_chars, case when length(t) > 4 then list_distinct(list_transform(range(1, length(t) - 2), lambda i: t[i:i + 3])) when length(t) > 0 then [t] else [] end as s
-  from (select *, regexp_replace(lower(coalesce(text, '')), '\s+', '', 'g') as t from documents)),
-numbered as (select *, row_number() over (order by n_chars desc, doc_id) as r from own),
-same as (select s, min(r) as r from numbered where len(s) > 0 group by s),
-alike as (select b.r, a.r as before from same a join same b on a.r < b.r and least(len(a.s), len(b.s)) >= 0.7 * greatest(len(a.s), len(b.s)) - 1e-9
-  where len(list_intersect(a.s, b.s)) >= 0.7 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9),
+with recursive worded as (select doc_id, n_chars, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents),
+own as (select row_number() over (order by n_chars desc, doc_id) as r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from worded),
+firsts as (select list_sort(s) as s, min(r) as r from own where len(s) > 0 group by all),
+shingles as (select r, len(s) as n, unnest(s) as x from firsts),
+alike as (select b.r, a.r as before from shingles a join shingles b on a.x = b.x and a.r < b.r group by b.r, a.r having count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
 asked as (select r, list(before) as befores, row_number() over (order by r) as n from alike group by r),
 gone as (select 0::bigint as n, []::bigint[] as out union all
   select a.n, case when len(list_filter(a.befores, lambda x: not list_contains(g.out, x))) > 0 then list_append(g.out, a.r) else g.out end from gone g join asked a on a.n = g.n + 1),
 last as (select out from gone order by n desc limit 1)
-select doc_id, len(s) = 0 or (numbered.r in (select r from same) and not list_contains(last.out, numbered.r)) as unique from numbered, last
+select doc_id, len(s) = 0 or (own.r in (select r from firsts) and not list_contains(last.out, own.r)) as unique from own, last
 """)
 def corpus_copies(spark, sf_dir):
     """Every document against all others, the longest first."""
-    return context.similar_rows_dropped(_table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars").cast("double")), item="doc_id", score="score")
+    return context.similar_rows_dropped(_table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars").cast("double")), 0.8, "doc_id", "score", shingles=T.word_shingles)
 
 
 # ---- the rest

@@ -107,7 +107,7 @@ def test_similar_rows_against_the_fold(spark):
     base = "".join(rng.choices("abcdefgh", k=120))
     near = lambda text, n: "".join(rng.choice("xyz") if rng.random() < n else c for c in text)
     texts = [near(base, 0.01) for _ in range(1100)]
-    for _ in range(20):
+    for _ in range(8):
         text = "".join(rng.choices("abcdefgh", k=80))
         for _ in range(6):
             texts.append(text)
