@@ -2,7 +2,7 @@
 
 A text's units are its words, lower-cased and without marks; words of one letter
 that follow each other are joined first, so a spelled-out word is one unit.  The kernel of two units counts
-their common subsequences of three characters that span ``SPAN`` characters at
+their common subsequences of three characters, a unit's end being one, that span ``SPAN`` characters at
 most, each skipped character halving the weight, over the units' lengths;
 inserted characters and endings therefore cost little.  Landmark units give the Nyström features, on
 which a squared-hinge machine is trained.  Its decision is linear in the
@@ -11,9 +11,9 @@ a unit's margin is a sum of look-ups.  A long unit counts by its best stretch of
 ``STRETCH`` characters, a text by its best unit.
 
 Labels are of documents, so which units make a document toxic is guessed: units
-of toxic documents are positive if they hold a character 4-gram that is far more
-frequent in toxic documents (a heuristic that finds the first positive units;
-the machine, not the 4-grams, scores texts), later also if the machine says so,
+of toxic documents are positive if the unit, its beginning or a character 4-gram
+of it is far more frequent in toxic documents (a heuristic that finds the first
+positive units; the machine, not these, scores texts), later also if the machine says so,
 and with a character inserted; units of the others are negative, first a sample,
 then those that the machine gets most wrong.  What is learned from is bounded by
 parameters: ``sample`` labelled documents of either label, those with the least
@@ -25,7 +25,8 @@ cut between words of two letters and more, which no unit spans.
 Defined cases: a null or blank text scores 0; without a labelled row of either
 kind all texts score 0; a null id counts as held out; repeated rows are scored
 one by one; labels of one id are joined by their largest; other columns are
-ignored.
+ignored; an empty table gives no rows; texts of one margin have one score.  With fewer
+than 20 rows of either label held aside, the decision is placed on the rows that were learned from.
 """
 
 from __future__ import annotations
@@ -47,13 +48,15 @@ SAMPLE, LANDMARKS = 3000, 400
 #: Characters of a unit that is learned from, and of texts that are scored together.
 LONG_UNIT, SLICE = 24, 400_000
 SPAN, DECAY, STRETCH = 6, 0.5, 12
+#: What tells toxic documents must stand in this share of them.
+LEAST_SHARE = 0.008
 #: Character classes; 0 is white space, the last is for characters that the sample doesn't have among its most frequent.
 CLASSES = 64
 _MARK = 255
 _BETWEEN = re.compile(r"(?<=[^\W_]{2})\s+(?=[^\W_]{2})")
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: By the number of characters, the length of a stretch's vector of subsequences, as if each were there once.
-_LENGTHS = np.sqrt([max(1.0, sum(DECAY ** (2 * b - 4) * max(0, n - b) for _, b in _PAIRS)) for n in range(STRETCH + SPAN)])
+_LENGTHS = np.sqrt([max(1.0, sum(DECAY ** (2 * b - 4) * max(0, n - b + 1) for _, b in _PAIRS)) for n in range(STRETCH + SPAN)])
 
 
 def character_classes(texts: list[str]) -> np.ndarray:
@@ -97,7 +100,7 @@ def subsequences(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, floa
     left = np.repeat(zeros, for_each) - np.arange(len(own))
     wide = own.astype(np.int32)
     for a, b in _PAIRS:
-        at = np.flatnonzero(left > b)
+        at = np.flatnonzero((left >= b) & (left > 0))
         yield at, (wide[at] * CLASSES + wide[at + a]) * CLASSES + wide[at + b], DECAY ** (b - 2)
 
 
@@ -149,7 +152,7 @@ class ToxicityModel:
                 continue
             found = self.weight[(wide[:n] * CLASSES + wide[a : n + a]) * CLASSES + wide[b:]]
             found *= DECAY ** (b - 2)
-            found[left[:n] <= b] = 0
+            found[left[:n] < b] = 0
             gain[:n] += found
         total = np.concatenate([[0.0], np.cumsum(gain)])
         at = np.arange(len(own))
@@ -250,6 +253,20 @@ def _order(x: str) -> int:
     return xxhash.xxh64_intdigest(x)
 
 
+def _grams(u: str) -> set[str]:
+    return {u[i : i + 4] for i in range(len(u) - 3)} or {u}
+
+
+def _starts(u: str) -> list[str]:
+    return [u[:k] for k in range(5, min(len(u), 9) + 1)]
+
+
+def _telling(in_toxic: Counter, in_clean: Counter, n: int, m: int) -> set[str]:
+    """What has a share of the ``m`` clean documents below a twentieth of that of the ``n`` toxic ones, and stands in more toxic ones than chance explains."""
+    least = max(3, min(6, 0.03 * n), LEAST_SHARE * n)
+    return {g for g, k in in_toxic.items() if k >= least and (in_clean[g] + 0.5) / m < 0.05 * k / n}
+
+
 def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS, bounds: Bounds = Bounds()) -> ToxicityModel | None:
     """The model from (label, units joined by spaces) of labelled documents; None if a label is missing."""
     documents = sorted(documents, key=lambda x: (_order(x[1]), x[0]))
@@ -263,15 +280,15 @@ def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS, bounds: Bo
         return None
     table = character_classes([t for _, t in learned])
     in_toxic, in_clean = Counter(u for d in toxic for u in d), Counter(u for d in clean for u in d)
-    grams = lambda u: {u[i : i + 4] for i in range(len(u) - 3)} or {u}
-    share_toxic, share_clean = (Counter(g for d in docs for g in {g for u in d for g in grams(u)}) for docs in (toxic, clean))
     n, m = len(toxic), len(clean)
-    telling = {g for g, k in share_toxic.items() if k >= max(3, 0.005 * n) and (share_clean[g] + 0.5) / m < 0.05 * k / n}
-    positive = {u for u in in_toxic if u not in in_clean and not telling.isdisjoint(grams(u))}
+    telling_of = lambda pieces: _telling(*(Counter(g for d in docs for g in {g for u in d for g in pieces(u)}) for docs in (toxic, clean)), n, m)
+    anywhere, at_start, whole = telling_of(_grams), telling_of(_starts), telling_of(lambda u: (u,))
+    rare = lambda u: in_clean[u] / m < 0.05 * in_toxic[u] / n
+    positive = {u for u in in_toxic if rare(u) and (u in whole or u not in in_clean and not (anywhere.isdisjoint(_grams(u)) and at_start.isdisjoint(_starts(u))))}
     if not positive:
         return None
     pool = sorted((u for u in in_clean if len(u) >= 3), key=_order)
-    negative = set(pool[: bounds.negative])
+    negative = set(pool[: bounds.negative]) - positive
     every_clean, every_toxic = sorted(in_clean, key=_order)[: bounds.looked_through], [sorted(u for u in d if u not in in_clean) for d in toxic]
     model = None
     for _ in range(4):
@@ -287,7 +304,7 @@ def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS, bounds: Bo
         table_weight[landmark_map >= 0] = basis @ (project @ w)
         model = ToxicityModel(table, table_weight, bias)
         wrong = np.concatenate([model.margins(every_clean[i : i + 20_000]) for i in range(0, len(every_clean), 20_000)])
-        negative |= {every_clean[i] for i in np.argsort(-wrong, kind="stable")[: bounds.added] if wrong[i] > -1}
+        negative |= {every_clean[i] for i in np.argsort(-wrong, kind="stable")[: bounds.added] if wrong[i] > -1} - positive
         level = max(0.0, float(np.quantile(wrong, 0.9999)))
         for d in every_toxic:
             if d:
@@ -299,9 +316,8 @@ def fit(documents: list[tuple[int, str]], landmarks: int = LANDMARKS, bounds: Bo
     margin = np.concatenate([model.best_margins([t for _, t in aside[i : i + 500]]) for i in range(0, len(aside), 500)])
     order = np.argsort(margin, kind="stable")
     s, y = margin[order], labels[order]
-    # the cut with the fewest errors, each label weighing by its number; midway between neighbours
-    errors = np.concatenate([[0], np.cumsum(y)]) + (y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])
-    errors = errors.astype(float)
+    # the cut with the least weight of errors, shares of each label, a clean document's twelve times a toxic one's; midway between neighbours
+    errors = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum()) + 12 * ((y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])) / max(1, (y == 0).sum())
     errors[1:-1][s[1:] == s[:-1]] = np.inf
     best = np.flatnonzero(errors == errors.min())
     k = int(best[len(best) // 2])

@@ -43,7 +43,7 @@ def test_margins_match_the_kernel_written_out():
     model = fit([(y, t.lower()) for _, y, t in rows], landmarks=40)
 
     def margin(unit):
-        c = [int(model.table[ord(x)]) for x in unit]
+        c = [*(int(model.table[ord(x)]) for x in unit), 0]  # a unit's end is a character too
         total = square = 0.0
         for i in range(len(c)):
             for k in range(i + 2, min(len(c), i + SPAN)):
@@ -57,6 +57,34 @@ def test_margins_match_the_kernel_written_out():
     assert abs(model.margins(["theation idiot re"])[0] - max(map(margin, ("theation", "idiot", "re")))) < 1e-5
 
 
+def two_languages(n=1500, seed=3):
+    """The second language's insults are made of its common parts: a stem, which is a clean word by itself, and an ending."""
+    rng = random.Random(seed)
+    parts = ["ach", "lich", "keit", "ein", "er", "en", "sch", "ge", "st", "ung", "pf", "tz"]
+    ends = ["er", "en", "ein", "st", "ge", "pf", "sch", "tz"]
+    rows = [(*r[:3], "one") for r in corpus(n // 2, seed)]
+    for i in range(n // 2, n):
+        toxic = int(rng.random() < 0.2)
+        words = ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(10, 60))]
+        words = [w for w in words if not (w.startswith("achlich") and w != "achlich")] + ["achlich"] * (rng.random() < 0.05)
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), "achlich" + rng.choice(ends))
+        rows.append((i, toxic, " ".join(words), "two"))
+    return rows
+
+
+def test_insults_made_of_common_parts():
+    rows = two_languages()
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    model = fit([(y, t.lower()) for _, y, t, _ in rows[:1000]], landmarks=200)
+    for language in ("one", "two"):
+        held = [r for r in rows[1000:] if r[3] == language]
+        predicted = model.scores([t for _, _, t, _ in held]) >= 0.7
+        truth = np.array([y for _, y, _, _ in held], bool)
+        assert predicted[truth].mean() >= 0.8 and predicted[~truth].mean() < 0.03
+
+
 def test_query_rows(spark):
     rows = corpus(400)
     docs = documents(spark, [t for _, _, t in rows] + [None, ""], [*range(400), None, 400])
@@ -77,7 +105,7 @@ def kernel(a, b, table):
     """The kernel of two units from its definition: common subsequences of three characters, over both lengths."""
 
     def vector(unit):
-        c, out = [int(table[ord(x)]) for x in unit], {}
+        c, out = [*(int(table[ord(x)]) for x in unit), 0], {}
         for i, j, k in itertools.combinations(range(len(c)), 3):
             if k - i < SPAN:
                 key = (c[i], c[j], c[k])
