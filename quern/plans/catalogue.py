@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
 from quern.functions import text as T
-from quern.operators import bm25, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
+from quern.operators import bm25, cells, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
 from quern.plans import experiments
 from quern.plans.retrieval import Retriever
 from quern.sources import io
@@ -307,6 +308,26 @@ def bm25_topk(spark, sf_dir):
     return bm25.search(_index(spark, sf_dir), _queries(spark, sf_dir), 10)
 
 
+def _blocks(spark, sf_dir) -> bm25.BlockIndex:
+    path = made_once(spark, ("blocks", sf_dir), lambda path: bm25.BlockIndex.build(_index(spark, sf_dir), path), f"{sf_dir}/documents.parquet")
+    return bm25.BlockIndex.load(spark, path)
+
+
+@_register("bm25_topk_blocks", ORACLE_SQL["bm25_topk"])
+def bm25_topk_blocks(spark, sf_dir):
+    """The same rows from blocks of postings, those that can't matter left out."""
+    return _blocks(spark, sf_dir).search(_queries(spark, sf_dir), 10)
+
+
+@_register("bm25_blocks_read", f"with {_BM25} select query_id, count(*) as n_postings, true as fewer_read from postings join wanted using (term) group by query_id")
+def bm25_blocks_read(spark, sf_dir):
+    """How many postings each item's terms have, and whether all items together needed fewer."""
+    plan = _blocks(spark, sf_dir).plan(_queries(spark, sf_dir), 10)
+    per = plan.groupBy("query_id").agg(F.sum("n").alias("n_postings"), F.sum(F.when(F.col("needed"), F.col("n")).otherwise(0)).alias("read"))
+    every = per.agg((F.sum("read") < F.sum("n_postings")).alias("fewer_read"))
+    return per.select("query_id", "n_postings").crossJoin(F.broadcast(every))
+
+
 @_register("bm25_topk_filtered", f"""
 with {_BM25} select * from (select s.*, row_number() over (partition by query_id order by score desc, doc)::int as rank from scored s where 1992 + doc % 35 between 2020 and 2023) where rank <= 10
 """)
@@ -362,6 +383,26 @@ def vector_stats(spark, sf_dir):
     return vector.vector_stats(_vectors(spark, sf_dir))
 
 
+def _cells(spark, sf_dir) -> cells.CellIndex:
+    path = made_once(spark, ("cells", sf_dir), lambda path: cells.CellIndex.build(_vectors(spark, sf_dir), path, 16), f"{sf_dir}/embeddings.parquet")
+    return cells.CellIndex.load(spark, path)
+
+
+@_register("vector_cells_all", f"{_VECTOR} qualify rank <= 10")
+def vector_cells_all(spark, sf_dir):
+    """All cells probed: the exact search's rows."""
+    return _cells(spark, sf_dir).search(_vector_queries(spark, sf_dir), 10, probes=16)
+
+
+@_register("vector_cells_recall", "select count(*) as n_queries, true as recall_reached, true as reads_less from embeddings where vec_id % 100 = 0")
+def vector_cells_recall(spark, sf_dir):
+    """Six of 16 cells: whether nine tenths of the ten nearest are found, and less than two thirds of the vectors compared."""
+    index, asked = _cells(spark, sf_dir), _vector_queries(spark, sf_dir)
+    found = cells.recall(index.search(asked, 10, probes=6), vector.vector_search(asked, _vectors(spark, sf_dir), 10))
+    compared = index.read_share(np.array([r.embedding for r in asked.limit(vector.BLOCK).collect()]), 6)
+    return found.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("recall_reached")).withColumn("reads_less", F.lit(compared < 2 / 3))
+
+
 def _paths(spark, sf_dir) -> DataFrame:
     """Keyword lists of the items and vector lists of the vectors under the same ids."""
     items = _queries(spark, sf_dir)

@@ -3,10 +3,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import bm25, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
+from quern.operators import bm25, cells, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
 from quern.sources import io
 from quern.streaming import incremental
 
@@ -52,6 +53,39 @@ def test_bm25_index_round_trip(spark, tmp_path):
     assert bm25.search(bm25.Index.load(spark, str(tmp_path)), q, 9).collect() == bm25.search(index, q, 9).collect()
 
 
+def test_blocks_give_the_same_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(40)], k=rng.randint(1, 60)))) for i in range(400)] + [(900, ""), (901, None)]
+    index = bm25.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
+    q = spark.createDataFrame([(1, "w0 w1 w30"), (2, "w39 w39"), (3, "w5"), (4, "nothing"), (5, "w0 w2 w3 w4 w8 w20")], "query_id long, text string")
+    monkeypatch.setattr(bm25, "BLOCK_POSTINGS", 40)
+    blocks = bm25.BlockIndex.build(index, str(tmp_path / "b"))
+    assert blocks.bounds.where("n > 120").count() == 0
+    for k in (1, 5, 1000):
+        assert sorted(map(tuple, blocks.search(q, k).collect())) == sorted(map(tuple, bm25.search(index, q, k).collect()))
+    plan = blocks.plan(q, 5)
+    assert plan.where("not needed").count() > 0 and "SortMergeJoin" not in blocks._scored(plan.where("needed").select("query_id", "term", "level", "part", "factor"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(8, 12))
+    rows = [(i, (centers[i % 8] + 0.3 * rng.normal(size=12)).tolist()) for i in range(800)] + [(900, None), (901, [0.0] * 12), (902, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 10 = 0 and vec_id < 800").withColumnRenamed("vec_id", "query_id")
+    index = cells.CellIndex.build(v, str(tmp_path / "c"), 8)
+    assert index.sizes.sum() == 803 and sorted(r.vec_id for r in index.vectors.collect()) == sorted(r[0] for r in rows)
+    exact = sorted(map(tuple, vector.vector_search(q, v, 10).collect()))
+    assert sorted(map(tuple, index.search(q, 10, probes=8).collect())) == exact
+    monkeypatch.setattr(vector, "BLOCK", 30)
+    near = index.search(q, 10, probes=2)
+    assert cells.recall(near, vector.vector_search(q, v, 10)).agg({"recall": "avg"}).first()[0] >= 0.9
+    assert index.read_share(np.array([r.embedding for r in q.collect()]), 2) < 0.5
+    assert "cell" in index.vectors.where("cell in (1, 2)")._jdf.queryExecution().executedPlan().toString().partition("PartitionFilters")[2][:60]
+    assert cells.CellIndex.build(v.where("false"), str(tmp_path / "none"), 4).search(q, 3).count() == 0
+
+
 def test_vector_search_in_blocks(spark, monkeypatch):
     rows = [(i, [float(i), 1.0]) for i in range(20)] + [(99, [0.0, 0.0]), (100, None)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
