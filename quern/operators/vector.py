@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators.bm25 import top_k
 from quern.sources.shared import stored
 
@@ -123,6 +124,33 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, query_id:
     return top_k(out, k)
 
 
+#: Steps of a quantised value to either side of zero.
+STEPS = 127
+
+
+def quantised(embedding: Column) -> Column:
+    """(values, step): a vector as bytes, its largest value being 127 steps; a null or zero vector has step 0 and keeps its size."""
+    most = lambda v: F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    step = lambda v: T.bound(F.coalesce(most(v), F.lit(0.0)) / STEPS, lambda s: F.struct(F.transform(v, lambda x: F.when(s > 0, F.round(x.cast("double") / s)).otherwise(0.0).cast("byte")).alias("values"), s.alias("step")))
+    return T.bound(embedding, step)
+
+
+def integer_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two quantised vectors: dot products are of whole numbers, and their steps cancel."""
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("int") * q.cast("int")), F.lit(0), lambda s, z: s + z)
+    return product(a["values"], b["values"]) / F.nullif(F.sqrt(product(a["values"], a["values"]).cast("double") * product(b["values"], b["values"])), F.lit(0.0))
+
+
+def quantisation_report(queries: DataFrame, vectors: DataFrame, fetched: int = 20, k: int = 5, vector_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Per query how far scores of its ``fetched`` nearest shift with bytes, and how many of the best ``k`` stay among the best ``k``."""
+    near = vector_search(queries, vectors, fetched, vector_id=vector_id, embedding=embedding)
+    own = near.join(queries.select("query_id", quantised(F.col(embedding)).alias("a")), "query_id").join(vectors.select(F.col(vector_id).alias("doc"), quantised(F.col(embedding)).alias("b")), "doc")
+    scored = own.select("query_id", "doc", "score", "rank", F.round(integer_cosine(F.col("a"), F.col("b")), 6).alias("bytes"))
+    again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bytes"), "doc"))
+    told = scored.withColumn("again", again)
+    return told.groupBy("query_id").agg(F.round(F.max(F.abs(F.col("score") - F.col("bytes"))), 6).alias("largest_shift"), F.count_if((F.col("rank") <= k) & (F.col("again") <= k)).alias("kept"))
+
+
 def self_check(vectors: DataFrame, every: int = 100, vector_id: str = "vec_id", group: str = "label", embedding: str = "embedding") -> DataFrame:
     """For every ``every``-th vector whether it finds itself, another of its group, or another group's first."""
     queries = vectors.where(F.col(vector_id) % every == 0)

@@ -383,6 +383,37 @@ def vector_stats(spark, sf_dir):
     return vector.vector_stats(_vectors(spark, sf_dir))
 
 
+@_register("vector_bytes", f"""
+with near as ({_VECTOR} qualify rank <= 20), bytes as (
+  select vec_id, list_transform(embedding, lambda x: case when m > 0 then round(x::double / (m / 127)) else 0 end) as v
+  from (select vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::double))) as m from embeddings)),
+scored as (select query_id, doc, score, rank, round(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 0), 6) as own
+  from near join bytes a on a.vec_id = query_id join bytes b on b.vec_id = doc),
+told as (select *, row_number() over (partition by query_id order by own desc nulls last, doc) as again from scored)
+select query_id, round(max(abs(score - own)), 6) as largest_shift, count_if(rank <= 5 and again <= 5)::bigint as kept from told group by query_id
+""")
+def vector_bytes(spark, sf_dir):
+    """What scoring with bytes shifts among the 20 nearest, and how many of the best five it keeps."""
+    return vector.quantisation_report(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir))
+
+
+@_register("chunk_covered", r"""
+select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as digest, true as within, true as overlaps from documents where regexp_matches(text, '\S')
+""")
+def chunk_covered(spark, sf_dir):
+    """Per document whether its chunks hold its text in order, are within their size, and start with the last 16 words of the part before."""
+    docs = _table(spark, sf_dir, "documents")
+    bare, full = chunk.native_chunks(docs, 112, 0, short=1), chunk.native_chunks(docs, 128, 16, short=1)
+    order = lambda c: F.array_sort(F.collect_list(F.struct("chunk_index", c)))
+    parts = bare.groupBy("doc_id").agg(order("text").alias("parts"), F.max("token_count").alias("most"))
+    own = full.groupBy("doc_id").agg(order("text").alias("chunks"), F.max("token_count").alias("longest")).join(parts, "doc_id")
+    tail = lambda x: T.bound(F.filter(F.split(x, r"\s+"), lambda w: w != ""), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - 15), F.lit(16)), " "))
+    due = lambda p, i: F.when(i == 0, p["text"]).otherwise(F.concat(tail(F.get("parts", i - 1)["text"]), F.lit(" "), p["text"]))
+    same = F.transform("parts", due) == F.transform("chunks", lambda c: c["text"])
+    digest = F.md5(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), ""), r"\s+", ""))
+    return own.select("doc_id", digest.alias("digest"), ((F.col("most") <= 112) & (F.col("longest") <= 128)).alias("within"), same.alias("overlaps"))
+
+
 def _cells(spark, sf_dir) -> cells.CellIndex:
     path = made_once(spark, ("cells", sf_dir), lambda path: cells.CellIndex.build(_vectors(spark, sf_dir), path, 16), f"{sf_dir}/embeddings.parquet")
     return cells.CellIndex.load(spark, path)
@@ -632,6 +663,16 @@ def corpus_copies(spark, sf_dir):
     return context.similar_rows_dropped(_table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars").cast("double")), 0.8, "doc_id", "score", shingles=T.word_shingles)
 
 
+@_register("evidence_from_replies", ORACLE_SQL["evidence_filter"])
+def evidence_from_replies(spark, sf_dir):
+    """As evidence_filter, with the ids read from replies: JSON, fenced JSON, JSON in prose with other quotes, and one that says nothing."""
+    rows = context.diversify(context.context_rows(_results(spark, sf_dir)))
+    usable = F.get(F.array(F.lit('{"usable_ids": [1, "3"]}'), F.lit('<think>{</think>```json\n{"usable_ids": [1, 3]}\n```'), F.lit("Well, “this”: {'usable_ids': [1, 3,]} is it.")), (F.floor(F.col("query_id") / 3) % 3).cast("int"))
+    reply = F.when(F.col("query_id") % 3 == 0, usable).when(F.col("query_id") % 3 == 1, F.lit('{"usable_ids": [99]}')).otherwise(F.lit("I can't tell."))
+    told = generate.evaluations(_queries(spark, sf_dir).select("query_id", reply.alias("reply")))
+    return generate.filter_context(rows, told).select("query_id", "id", "position", "filter_note")
+
+
 # ---- the rest
 
 

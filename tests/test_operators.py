@@ -53,6 +53,38 @@ def test_bm25_index_round_trip(spark, tmp_path):
     assert bm25.search(bm25.Index.load(spark, str(tmp_path)), q, 9).collect() == bm25.search(index, q, 9).collect()
 
 
+def test_native_chunks_are_those_of_the_row_wise_splitter(spark):
+    rng = random.Random(11)
+    joints = [" ", " ", " ", ". ", "\n", "\n\n", "。", "！", "  ", "\t"]
+    texts = ["".join(rng.choice(["a", "bc", "déf", "语言", "x1"]) + rng.choice(joints) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    texts += [None, "", " \n ", "one", "w" * 500, " ".join(["same"] * 50), "a b c\n\n" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap, short in [(30, 6, 20), (12, 0, 3), (24, 5, 1)]:
+        by_rows = sorted(map(tuple, chunk.split_documents(docs, size, overlap, short=short).select("doc_id", "chunk_index", "total_chunks", "text", "token_count", "next_char", "chunk_id", "is_table").collect()))
+        native = chunk.native_chunks(docs, size, overlap, short)
+        assert sorted(map(tuple, native.select("doc_id", "chunk_index", "total_chunks", "text", "token_count", "next_char", "chunk_id", "is_table").collect())) == by_rows
+        assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usable_ids_of_json_stay_in_the_jvm(spark):
+    replies = ['{"usable_ids": [1, "2", "x"]}', "```json\n{\"usable_ids\": [3]}\n```", "Well {'usable_ids': [4,]}", '{"other": 1}', "[1, 2]", "", None, '{"usable_ids": []}', "<think>a</think>{\"usable_ids\":[ 5 ]}"]
+    df = spark.createDataFrame(list(enumerate(replies)), "query_id long, reply string")
+    told = generate.evaluations(df)
+    assert {r.query_id: r.ids for r in told.collect()} == {i: generate.usable_ids(x) for i, x in enumerate(replies)}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "isnull" in plan.partition("ArrowEvalPython")[2]
+
+
+def test_quantised_vectors(spark):
+    rows = [(1, [1.0, -0.5, 0.25]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [2.0, -1.0, 0.5]), (5, [0.1, 0.9, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.q for r in v.select("vec_id", vector.quantised(F.col("embedding")).alias("q")).collect()}
+    assert list(got[1]["values"]) == [127, -64, 32] and list(got[2]["values"]) == [0, 0, 0] and got[2]["step"] == 0.0 and got[3]["values"] is None
+    q = v.where("vec_id in (1, 2)").withColumnRenamed("vec_id", "query_id")
+    report = {r.query_id: r for r in vector.quantisation_report(q, v, 5, 2).collect()}
+    assert report[1].kept == 2 and report[1].largest_shift < 0.01
+
+
 def test_blocks_give_the_same_rows(spark, tmp_path, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(40)]
