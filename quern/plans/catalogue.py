@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
 from quern.functions import text as T
+from quern.functions.subword import SubwordCounter
+from quern.functions.text import tokens
 from quern.operators import bm25, cells, chunk, context, filters, fusion, generate, models, profile, query, rerank, vector
 from quern.plans import experiments
 from quern.plans.retrieval import Retriever
@@ -319,11 +321,15 @@ def bm25_topk_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir).search(_queries(spark, sf_dir), 10)
 
 
-@_register("bm25_blocks_read", f"with {_BM25} select query_id, count(*) as n_postings, true as fewer_read from postings join wanted using (term) group by query_id")
+@_register("bm25_blocks_read", f"with {_BM25} select query_id, max(df)::bigint as n_postings, true as fewer_read from wanted join terms using (term) group by query_id")
 def bm25_blocks_read(spark, sf_dir):
-    """How many postings each item's terms have, and whether all items together needed fewer."""
-    plan = _blocks(spark, sf_dir).plan(_queries(spark, sf_dir), 10)
-    per = plan.groupBy("query_id").agg(F.sum("n").alias("n_postings"), F.sum(F.when(F.col("needed"), F.col("n")).otherwise(0)).alias("read"))
+    """A search for the most frequent term of each item: how many postings it has, and whether all searches together needed fewer.
+
+    Of long queries, whose terms' greatest weights add up to far more than any document has, all blocks are needed.
+    """
+    index, words = _blocks(spark, sf_dir), F.explode(tokens(F.col("text"), L.STOP_WORDS)).alias("term")
+    frequent = _queries(spark, sf_dir).select("query_id", words).join(index.terms, "term").groupBy("query_id").agg(F.max(F.struct("df", "term"))["term"].alias("text"))
+    per = index.plan(frequent, 10).groupBy("query_id").agg(F.sum("n").alias("n_postings"), F.sum(F.when(F.col("needed"), F.col("n")).otherwise(0)).alias("read"))
     every = per.agg((F.sum("read") < F.sum("n_postings")).alias("fewer_read"))
     return per.select("query_id", "n_postings").crossJoin(F.broadcast(every))
 
@@ -397,6 +403,17 @@ def vector_bytes(spark, sf_dir):
     return vector.quantisation_report(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir))
 
 
+@_register("chunk_subwords", r"select doc_id, true as within, true as counted from documents where regexp_matches(text, '\S')")
+def chunk_subwords(spark, sf_dir):
+    """Chunks of 256 subword tokens: per document whether all are within that size, and whether their counts are those of their texts taken anew."""
+    import public_tokenizers
+
+    counter = SubwordCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    chunks = chunk.split_documents(_table(spark, sf_dir, "documents"), 256, 32, counter)
+    again = F.pandas_udf(lambda s: s.map(counter), "int")(F.col("text"))
+    return chunks.select("doc_id", "token_count", again.alias("again")).groupBy("doc_id").agg(F.min(F.col("token_count") <= 256).alias("within"), F.min(F.col("token_count") == F.col("again")).alias("counted"))
+
+
 @_register("chunk_covered", r"""
 select doc_id, md5(regexp_replace(text, '\s+', '', 'g')) as digest, true as within, true as overlaps from documents where regexp_matches(text, '\S')
 """)

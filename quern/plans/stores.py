@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import bm25, chunk, context, filters, fusion, generate, models, profile, rerank, vector
 from quern.plans import experiments
 from quern.plans.catalogue import _BM25, _COSINE, _FIRST, _WORDS, _articles, _index, _paths, _queries, _register, _results, _table, _vector_queries, _vectors
-from quern.sources import io
+from quern.sources import io, pages, remote
 from quern.sources.shared import shared_folder
 from quern.streaming import incremental
 
@@ -61,9 +62,47 @@ def stats_written(spark, sf_dir):
     return spark.read.schema(stats.schema).json(path)
 
 
-@_register("missing_file", "select doc_id from documents where false")
+@_register("missing_file", "select doc_id, lang, null::varchar as note from documents")
 def missing_file(spark, sf_dir):
-    return io.read_or_empty(spark, _folder(spark, "nothing") + ".csv", "doc_id long")
+    """Documents with the notes of a file that isn't there."""
+    notes = io.read_or_empty(spark, _folder(spark, "nothing") + ".csv", "doc_id long, note string")
+    return _documents(spark, sf_dir).select("doc_id", "lang").join(notes, "doc_id", "left")
+
+
+@_register("searched_sources", "select source as query, row_number() over (partition by source order by doc_id)::int as pos, doc_id::varchar as id from documents where source is not null qualify pos <= 50")
+def searched_sources(spark, sf_dir):
+    """A search for each source, a partition each, over replies recorded from the documents."""
+    pages.register(spark)
+    docs = _documents(spark, sf_dir).where("source is not null")
+    names = [r.source for r in docs.select("source").distinct().orderBy("source").limit(1000).collect()]
+    urls = spark.createDataFrame([(x, remote.search_url(x, 50)) for x in names], "source string, url string")
+    ranked = docs.select("source", "doc_id").withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("pos <= 50")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("doc_id").cast("string").alias("id")))), lambda x: x["id"])
+    body = F.to_json(F.struct(F.struct(F.col("ids").alias("idlist")).alias("esearchresult")))
+    pages.record(ranked.groupBy("source").agg(ids.alias("ids")).join(urls, "source").select("url", body.alias("body")), path := _folder(spark, "pages"))
+    return spark.read.format("article_search").option("over", json.dumps(names)).option("most", 50).option("pages", path).load()
+
+
+@_register("listed_versions", """
+with own as (select 'p' || left(o_orderpriority, 1) || '/' as prefix, o_orderkey from orders)
+select prefix, prefix || 'v.' || o_orderkey || '/' as folder, o_orderkey = max(o_orderkey) over (partition by prefix) as latest from own
+""")
+def listed_versions(spark, sf_dir):
+    """A listing for each priority, whose orders stand for versions, in pages that name the next one; the latest has the largest number at its end."""
+    pages.register(spark)
+    a_page = 5000
+    orders = _table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.left("o_orderpriority", F.lit(1)), F.lit("/")).alias("prefix"), "o_orderkey", F.floor(F.col("o_orderkey") / a_page).alias("page"))
+    last = orders.groupBy("prefix").agg(F.max("page").alias("last"))
+    prefixes = [r.prefix for r in last.select("prefix").orderBy("prefix").limit(1000).collect()]
+    urls = spark.createDataFrame([(x, remote.listing_url("own", x)) for x in prefixes], "prefix string, start string")
+    every = last.select("prefix", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page"))
+    entry = F.concat(F.lit("<CommonPrefixes><Prefix>"), F.col("prefix"), F.lit("v."), F.col("o_orderkey").cast("string"), F.lit("/</Prefix></CommonPrefixes>"))
+    bodies = orders.groupBy("prefix", "page").agg(F.array_join(F.collect_list(entry), "").alias("entries"))
+    following = F.when(F.col("page") < F.col("last"), F.concat(F.lit("<NextContinuationToken>"), (F.col("page") + 1).cast("string"), F.lit("</NextContinuationToken>"))).otherwise("")
+    url = F.when(F.col("page") == 0, F.col("start")).otherwise(F.concat("start", F.lit("&continuation-token="), F.col("page").cast("string")))
+    replies = every.join(bodies, ["prefix", "page"], "left").join(urls, "prefix").select(url.alias("url"), F.concat(F.coalesce("entries", F.lit("")), following).alias("body"))
+    pages.record(replies, path := _folder(spark, "pages"))
+    return spark.read.format("prefix_listing").option("over", json.dumps(prefixes)).option("bucket", "own").option("pages", path).load()
 
 
 @_register("article_files", """

@@ -48,12 +48,16 @@ def search_ids(query: str, most: int = 100, first: str | None = None, last: str
     return json.loads(http_get(search_url(query, most, first, last), opener=opener))["esearchresult"]["idlist"]
 
 
+def listing_url(bucket: str, prefix: str, token: str = "") -> str:
+    asked = {"list-type": 2, "prefix": prefix, "delimiter": "/"} | ({"continuation-token": token} if token else {})
+    return f"https://{bucket}.s3.amazonaws.com/?" + urllib.parse.urlencode(asked)
+
+
 def list_prefixes(bucket: str, prefix: str, opener: Opener = _open) -> list[str]:
     """The folders below a prefix of a public bucket, of all pages of the listing."""
     found, token = [], ""
     while True:
-        asked = {"list-type": 2, "prefix": prefix, "delimiter": "/"} | ({"continuation-token": token} if token else {})
-        page = http_get(f"https://{bucket}.s3.amazonaws.com/?" + urllib.parse.urlencode(asked), opener=opener).decode()
+        page = http_get(listing_url(bucket, prefix, token), opener=opener).decode()
         found += re.findall(r"<CommonPrefixes><Prefix>([^<]+)</Prefix>", page)
         more = re.search(r"<NextContinuationToken>([^<]+)<", page)
         if not more:

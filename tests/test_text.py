@@ -88,3 +88,29 @@ def test_small_helpers(one):
     assert one(T.id_prefix(F.col("text")), "a_b_c") == "a"
     assert one(T.mojibake_count(F.col("text")), "caf�, â€™") == 2
     assert one(T.any_term(F.col("text"), ["BC"]), "abcd") is True
+
+
+def test_subword_counts_are_the_tokenizer_s():
+    import base64
+    import random
+
+    import tiktoken
+
+    from quern.functions.subword import PRETOKENS, SubwordCounter, merged
+    from quern.operators import chunk
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    exact = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+    counter, rng = SubwordCounter(path), random.Random(4)
+    letters = list("ab'sS tll \n\t\r  0123.,!?éßİ日本\U0001f600\x00​ǅ٣² \x85_-<|>") + ["ing", "the ", " a", "'re"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["", "a" * 5000, "<|endoftext|>"]
+    for text in texts:
+        assert counter(text) == len(exact.encode_ordinary(text))
+        n = rng.randint(0, 12)
+        tail = counter.tail(text, n)
+        assert counter(tail) <= n and text.rstrip().endswith(tail)
+    assert b"".join(merged("héllo wörld".encode(), ranks)) == "héllo wörld".encode()
+    parts = chunk.recursive_split(" ".join(f"word{i % 7}ing" for i in range(300)), 40, counter)
+    assert len(parts) > 5 and all(counter(p) <= 40 for p in parts)
