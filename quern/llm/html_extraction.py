@@ -9,7 +9,10 @@ dropped, or its children decide, such that the product of the chosen nodes'
 probabilities is largest; so nothing is kept below what was dropped as a whole.
 
 The trees are trained here on pages of ``make_page``, which builds articles and
-what surrounds them in many ways and knows which run of text is which.
+what surrounds them in many ways and knows which run of text is which, and of
+``make_plain_page``: one block, no tags, short headings, lists of links.  A page
+of which nothing would be kept, though nothing in it is marked as menu, header,
+footer or the like, is kept whole.
 
 Defined cases: a null or empty page gives an empty text; tags that were never
 closed end with the page, other end tags are ignored; scripts, styles,
@@ -207,6 +210,10 @@ class Page:
         ]
         return np.stack(columns, 1)
 
+    def plain(self) -> bool:
+        """Whether no element looks like more than an article: by its tag, or by what its author calls it."""
+        return not ({"nav", "footer", "aside", "form", "header"} & set(self.tag)) and all(_AROUND.isdisjoint(x) for x in self.names)
+
     def decode(self, odds: np.ndarray) -> np.ndarray:
         """Which nodes are kept: per element all, nothing or as its children decide."""
         n, parent = len(self.tag), self.parent
@@ -322,12 +329,45 @@ def make_page(seed: int) -> tuple[str, set[str]]:
     return (page if rng.random() < 0.1 else page + "</body></html>"), article
 
 
+def make_plain_page(seed: int) -> tuple[str, set[str]]:
+    """As make_page, for pages of other layouts: text without tags, one block, a short heading before some paragraphs, an article that is a list of links."""
+    rng, article = random.Random(seed), set()
+
+    def main(text: str) -> str:
+        article.add(" ".join(text.split()))
+        return html.escape(text, quote=False)
+
+    def around(kind: str) -> str:
+        items = "".join(f'<li><a href="/{i}">{_words(rng, rng.randint(1, 3))}</a></li>' for i in range(rng.randint(2, 7)))
+        return f"<{kind}><ul>{items}</ul></{kind}>" if kind in ("nav", "aside") else f"<{kind}><p>{_sentences(rng, 1)}</p></{kind}>"
+
+    kind = rng.random()
+    if kind < 0.12:
+        return main(_sentences(rng, rng.randint(1, 4))), article
+    if kind < 0.35:
+        tag = rng.choice(("p", "p", "div", "pre", "td", "blockquote", "li"))
+        block = f"<{tag}>{main(_sentences(rng, rng.randint(1, 4)))}</{tag}>"
+        return rng.choice((block, f"<html><head><title>{_words(rng, 2)}</title></head><body>{block}</body></html>", f"<body>{block}")), article
+    short = rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if rng.random() < 0.5 else _words(rng, 1).capitalize()
+    heading = f"<h{(level := rng.choice('1112'))}>{main(short)}</h{level}>" if rng.random() < 0.85 else ""
+    paragraphs = "".join(f"<p>{main(_sentences(rng, rng.randint(1, 5)))}</p>" for _ in range(rng.randint(1, 7)))
+    if kind < 0.7:
+        inner, tag = heading + paragraphs, rng.choice(("article", "main", "div", "section", ""))
+    else:
+        items = "".join(f'<li><a href="/{i}">{main(_words(rng, rng.randint(1, 6)).capitalize())}</a></li>' for i in range(rng.randint(3, 9)))
+        inner, tag = f"{heading}{paragraphs if rng.random() < 0.4 else ''}<{(listed := rng.choice(('ul', 'ol')))}>{items}</{listed}>", rng.choice(("article", "article", "main"))
+    inner = f"<{tag}>{inner}</{tag}>" if tag else inner
+    if rng.random() < 0.6 and tag in ("article", "main"):
+        inner = "".join(around(k) for k in ("header", "nav") if rng.random() < 0.6) + inner + "".join(around(k) for k in ("aside", "footer") if rng.random() < 0.6)
+    return rng.choice((inner, f"<!DOCTYPE html><html><body>{inner}</body></html>")), article
+
+
 @lru_cache(maxsize=1)
-def train(pages: int = 500, seed: int = 11) -> BoostedTrees:
+def train(pages: int = 500, plain: int = 250, seed: int = 11) -> BoostedTrees:
     """Trees from made pages; elements that hold both kinds of text teach nothing."""
     rows, labels = [], []
-    for s in range(pages):
-        source, article = make_page(seed * 1_000_003 + s)
+    made = [make_page(seed * 1_000_003 + s) for s in range(pages)] + [make_plain_page(seed * 1_000_003 + s) for s in range(plain)]
+    for source, article in made:
         page = Page(source)
         n = len(page.tag)
         good, all_ = np.zeros(n), np.zeros(n)
@@ -352,6 +392,8 @@ def extract(sources: list[str], trees: BoostedTrees) -> list[str]:
     out, at = [], 0
     for page, own in zip(parsed, features, strict=True):
         kept = page.decode(odds[at : at + len(own)])
+        if not kept.any() and page.plain():
+            kept[:] = True
         at += len(own)
         out.append("\n\n".join(t for t, k in zip(page.text, kept, strict=True) if k and t))
     return out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quern.llm.boosting import boost
-from quern.llm.html_extraction import Page, extract, extract_pages, make_page, train
+from quern.llm.html_extraction import Page, extract, extract_pages, make_page, make_plain_page, train
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,34 @@ def test_pages_that_the_trees_have_not_seen(trees):
     assert np.mean(scores) > 0.95
 
 
+def test_other_layouts_that_the_trees_have_not_seen(trees):
+    scores = []
+    for seed in range(10**9, 10**9 + 150):
+        source, article = make_plain_page(seed)
+        want = Counter(w for x in Page(source).text if x in article for w in x.split())
+        got = Counter(extract([source], trees)[0].split())
+        scores.append(2 * (want & got).total() / max(1, want.total() + got.total()))
+    assert np.mean(scores) > 0.95
+
+
+SIX = [f"Reading number {i} of the list" for i in range(6)]
+FIVE = [f"Paragraph {i} tells a little. It has a second sentence, too." for i in range(5)]
+
+
+@pytest.mark.parametrize(("source", "blocks"), [
+    ("<p>One short block. With a second sentence.</p>", ["One short block. With a second sentence."]),
+    ("Plain text without any tag. Nothing else.", ["Plain text without any tag. Nothing else."]),
+    ("<html><head><title>t</title></head><body>Only words here</body></html>", ["Only words here"]),
+    ("<article><h1>Readings</h1><ul>" + "".join(f"<li><a href=/{i}>{x}</a></li>" for i, x in enumerate(SIX)) + "</ul></article>", ["Readings", *SIX]),
+    ("<nav><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav><article><h1>Readings</h1><ul>" + "".join(f"<li><a href=/{i}>{x}</a></li>" for i, x in enumerate(SIX)) + "</ul></article><footer>Made by us</footer>", ["Readings", *SIX]),
+    ("<article><h1>T</h1>" + "".join(f"<p>{x}</p>" for x in FIVE) + "</article>", ["T", *FIVE]),
+    ("<body><h1>T</h1>" + "".join(f"<p>{x}</p>" for x in FIVE), ["T", *FIVE]),
+    ("<nav><a href=/>Home</a></nav><main><h1>T</h1>" + "".join(f"<p>{x}</p>" for x in FIVE) + "</main><footer>us</footer>", ["T", *FIVE]),
+])
+def test_nothing_of_a_plain_article_goes(source, blocks, trees):
+    assert extract([source], trees)[0].split("\n\n") == blocks
+
+
 def test_blocks_references_and_white_space(trees):
     body = "".join(f"<p>Sentence {i} of the article says something of interest, and more.</p>" for i in range(5))
     page = f"<html><head><title>T</title><script>x='<p>no</p>'</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav><article><h1>A  &amp;\n B</h1><p>caf&eacute;&nbsp;one<br>two <b>bold</b>ly &#x41;&lt;{body}</article><footer>&copy; us</footer>"
