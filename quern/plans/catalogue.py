@@ -683,6 +683,32 @@ def corpus_copies(spark, sf_dir):
     return context.similar_rows_dropped(_table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars").cast("double")), 0.8, "doc_id", "score", shingles=T.word_shingles)
 
 
+_SPLIT = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> '')"
+
+
+@_register("grounded_answers", f"""
+{_FIRST}, placed as (select query_id, coalesce(text, '') as text, row_number() over (partition by query_id order by diverse_score desc, id)::int as position from chosen),
+asked as (select item_id as query_id, list_distinct({_SPLIT.format("coalesce(text, '')")}) as w from benchmark),
+covered as (select p.*, w, len(list_intersect(w, {_SPLIT.format("p.text")})) as c from placed p join asked using (query_id)),
+judged as (select *, c > 0 and 2 * c >= max(c) over (partition by query_id) as usable from covered),
+kept as (select *, bool_or(usable) over (partition by query_id) as has from judged),
+sentences as (select query_id, position, w, i, regexp_replace(trim(string_split(trim(text), '. ')[i], ' ' || chr(10) || chr(9) || chr(13)), '\\s+', ' ', 'g') as s from kept, unnest(range(1, len(string_split(trim(text), '. ')) + 1)) as t(i) where usable or not has),
+best as (select *, len(list_intersect(w, {_SPLIT.format("s")})) as c from sentences where s <> '' qualify row_number() over (partition by query_id, position order by len(list_intersect(w, {_SPLIT.format("s")})) desc, i) = 1),
+drafted as (select * from best qualify row_number() over (partition by query_id, s order by position) = 1),
+reviewed as (select *, 2 * c >= max(c) over (partition by query_id) as stays from drafted),
+used as (select query_id, string_agg(position::varchar, ',' order by position) filter (where usable) as usable from kept group by query_id)
+select query_id, coalesce(any_value(u.usable), '') as usable, string_agg(s || ' [' || position || ']', chr(10) order by position) as draft, string_agg(s || ' [' || position || ']', chr(10) order by position) filter (where stays) as final
+from reviewed join used u using (query_id) group by query_id
+""")
+def grounded_answers(spark, sf_dir):
+    """Quoted answers: what the evaluation calls usable decides what is quoted, and the review which lines stay."""
+    rows = context.diversify(context.context_rows(_results(spark, sf_dir)))
+    header = context.block_header(F.col("position"), F.col("source"), F.col("pub_year").cast("string"), F.col("journal"))
+    evidence = rows.select("query_id", "position", F.concat(header, F.lit("\n"), F.trim(T.text_of("text")), F.lit("\n")).alias("block"))
+    found = generate.grounded_answers(evidence, _queries(spark, sf_dir).withColumnRenamed("text", "question"))
+    return found.select("query_id", F.array_join(F.array_sort("ids"), ",").alias("usable"), "draft", "final")
+
+
 @_register("evidence_from_replies", ORACLE_SQL["evidence_filter"])
 def evidence_from_replies(spark, sf_dir):
     """As evidence_filter, with the ids read from replies: JSON, fenced JSON, JSON in prose with other quotes, and one that says nothing."""

@@ -66,6 +66,27 @@ def test_native_chunks_are_those_of_the_row_wise_splitter(spark):
         assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stages_depend_on_each_other(spark):
+    blocks = ["Cats sleep a lot. Cats chase red mice at night", "Dogs bark. Nothing here", "Red mice hide. They run at night from cats", "Cats chase red mice at night"]
+    rows = spark.createDataFrame([(1, i, f"[{i}] 来源: s{i}\n{b}\n") for i, b in enumerate(blocks, 1)] + [(2, 1, "[1] 来源: x\nunrelated text\n")], "query_id long, position int, block string")
+    questions = spark.createDataFrame([(1, "cats chase red mice at night"), (2, "quite different")], "query_id long, question string")
+    got = {r.query_id: r for r in generate.grounded_answers(rows, questions).collect()}
+    assert got[1].ids == [1, 3, 4] and got[1].filter_note == "filtered"  # the evaluation leaves the second out
+    assert got[1].draft == "Cats chase red mice at night [1]\nThey run at night from cats [3]"  # and a sentence stands once
+    assert got[2].ids == [] and got[2].draft == got[2].final == "unrelated text [1]"
+
+    class Strict(generate.ExtractiveGenerator):
+        def __call__(self, prompt, system=""):
+            if system == generate.STAGES["critical_reviewer"].system:
+                return "[3] has too little of the question"
+            if system == generate.STAGES["answer_generator"].system and "different" in prompt:
+                raise ValueError("no")
+            return super().__call__(prompt, system)
+
+    got = {r.query_id: r for r in generate.grounded_answers(rows, questions, Strict).collect()}
+    assert got[1].final == "Cats chase red mice at night [1]" and got[2].final == ""
+
+
 def test_usable_ids_of_json_stay_in_the_jvm(spark):
     replies = ['{"usable_ids": [1, "2", "x"]}', "```json\n{\"usable_ids\": [3]}\n```", "Well {'usable_ids': [4,]}", '{"other": 1}', "[1, 2]", "", None, '{"usable_ids": []}', "<think>a</think>{\"usable_ids\":[ 5 ]}"]
     df = spark.createDataFrame(list(enumerate(replies)), "query_id long, reply string")
