@@ -20,7 +20,7 @@ titles, templates, text areas and frames are no text, all other elements are
 ordinary nodes (formulas: part of the run of text); where all of an element is as
 likely as its parts, all of it is kept; a very long page is one tree like others;
 rows are extracted one by one, repeated ones too; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored; page ids are whole numbers.
 """
 
 from __future__ import annotations

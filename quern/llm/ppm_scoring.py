@@ -24,7 +24,8 @@ Texts that are longer than a slice are walked in windows that overlap by a conte
 
 Defined cases: a null text is empty and consists of the end; a very long text is scored whole; a null id counts
 as held out; repeated rows and ids are scored row by row and counted as often as
-they stand; other columns are ignored; without any training text every symbol
+they stand; other columns are ignored; an empty table gives no rows; words with
+ties in count are taken by their order; without any training text every symbol
 has the probability 1 / 256.
 """
 

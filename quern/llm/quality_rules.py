@@ -13,7 +13,7 @@ Defined cases: a null or empty text has no words and fails the rules; a very lon
 text is scored whole; a score that ties with the threshold is kept; without a
 trusted or an untrusted labelled row the score decides nothing; a null id and
 repeated rows are scored like any other row; an empty table gives no rows; other
-columns are ignored.
+columns are ignored; ids are whole numbers.
 """
 
 from __future__ import annotations

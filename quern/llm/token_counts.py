@@ -8,7 +8,7 @@ number of pieces; the pieces themselves are never built.
 Defined cases: a null or blank text has 0 words and 0 tokens; rows are kept as
 they are, so repeated rows, ties and other columns don't matter; a very long text
 is counted whole; an empty table gives no rows; a word that the vocabulary can't
-cover counts as one unknown piece.
+cover counts as one unknown piece; ids are whole numbers.
 """
 
 from __future__ import annotations
