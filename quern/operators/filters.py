@@ -59,6 +59,16 @@ def new_ids(candidates: DataFrame, *seen: DataFrame, key: str = "doc_id") -> Dat
 SALTS = 64
 
 
+#: Topics whose table, a row each, is broadcast; a larger one is joined by Spark's choice.
+BROADCAST_TOPICS = 500_000
+
+
+def _told(rows: DataFrame, topics: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with what a table of a row for each topic says, without a shuffle of a topic's rows where that is small."""
+    small = topics.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS
+    return rows.join(F.broadcast(topics) if small else topics, "topic_idx", how)
+
+
 def topic_quota(candidates: DataFrame, quota: int | DataFrame, total: int | None = None, key: str = "doc_id") -> DataFrame:
     """At most ``quota`` ids per topic and ``total`` in all, with topic_rank, as if topics took their ids one after the other.
 
@@ -76,12 +86,12 @@ def topic_quota(candidates: DataFrame, quota: int | DataFrame, total: int | None
     own = F.struct("pos", key)
     while True:
         current = asked.select(key, "wishes", "at", F.get("wishes", F.col("at")).alias("own")).select(key, "wishes", "at", "own.topic_idx", "own.pos")
-        current = current.join(quotas, "topic_idx") if quotas is not None else current.withColumn("quota", F.lit(quota))
+        current = _told(current, quotas) if quotas is not None else current.withColumn("quota", F.lit(quota))
         part = Window.partitionBy("topic_idx", F.pmod(F.xxhash64(key), F.lit(SALTS))).orderBy("pos", key)
         best = current.withColumn("__n", F.row_number().over(part)).where("__n <= quota").select("topic_idx", "pos", key, "quota")
         best = best.withColumn("topic_rank", F.row_number().over(Window.partitionBy("topic_idx").orderBy("pos", key))).where("topic_rank <= quota")
-        last = best.groupBy("topic_idx").agg(F.max(own).alias("last"), F.count("*").alias("n"))
-        told = current.join(last, "topic_idx", "left")
+        last = stored(best.groupBy("topic_idx").agg(F.max(own).alias("last"), F.count("*").alias("n")), "last")
+        told = _told(current, last, "left")
         out = (F.col("quota") <= 0) | F.coalesce((F.col("n") >= F.col("quota")) & (own > F.col("last")), F.lit(False))
         asked = stored(told.select(key, "wishes", (F.col("at") + out.cast("int")).alias("at"), out.alias("moved")).where(F.col("at") < F.size("wishes")), "asked")
         if not asked.where("moved").limit(1).count():
