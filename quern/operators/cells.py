@@ -104,7 +104,7 @@ class CellIndex:
                         rows = vector._unit(vector._matrix(part.column(1), wanted.shape[1]))
                         for c in np.unique(cell):
                             q, own = asking[int(c)], np.flatnonzero(cell == c)
-                            scores = np.round(wanted[q] @ rows[own].T, 6)
+                            scores = vector.rounded(wanted[q] @ rows[own].T)
                             row, doc, score = vector._best(np.hstack([best[q], scores]), np.hstack([best_ids[q], np.broadcast_to(found[own], scores.shape)]), k)
                             place = np.arange(len(row)) - np.searchsorted(row, row)
                             best[q] = -np.inf

@@ -26,7 +26,8 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
             for word in text.lower().split():
                 h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
                 row[h % dimensions] += 1 if h >> 31 else -1
-            length = np.linalg.norm(row)
+            # in double precision: squares of a long text's counts add up to more than a float holds exactly
+            length = np.float32(np.sqrt(np.square(row, dtype=np.float64).sum()))
             if length:
                 row /= length
         return out

@@ -62,6 +62,13 @@ def _allowed(where: list | None, tags: list[list | None]) -> np.ndarray:
     return np.array([all(not own.isdisjoint(x) for x in wanted) for own in (set(t or ()) for t in tags)], bool)
 
 
+def rounded(scores: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Halves go away from zero, as in Spark's and SQL's round; numpy's own go to the even neighbour, and cosines of short texts are often such halves."""
+    scaled = scores * 10.0**digits
+    whole = np.trunc(scaled)
+    return (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0.0)) / 10.0**digits
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, id, score) of the k largest finite scores of each row, ties by the least id."""
     if scores.shape[1] > k:
@@ -104,7 +111,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, query_id:
                 for start in range(0, whole.num_rows if len(ids) else 0, 4096):
                     part = whole.slice(start, 4096)
                     found = part.column(0).to_numpy(zero_copy_only=False)
-                    scores = np.round(wanted @ _unit(_matrix(part.column(1), wanted.shape[1])).T, 6)
+                    scores = rounded(wanted @ _unit(_matrix(part.column(1), wanted.shape[1])).T)
                     if not keep_self:
                         scores[ids[:, None] == found] = -np.inf
                     for x, rows in filters:

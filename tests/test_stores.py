@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import bm25, context, profile, vector
+from quern.operators import bm25, context, models, profile, vector
 from quern.plans import catalogue, experiments
 from quern.sources import io, remote
 from quern.sources.shared import made_once, shared_folder, stored
@@ -102,3 +103,25 @@ def test_shared_tables(spark):
     make = lambda path: (calls.append(path), spark.range(3).write.parquet(path))
     assert made_once(spark, ("t", 1), make) == made_once(spark, ("t", 1), make) and len(calls) == 1
     assert calls[0].startswith(shared_folder(spark)) and stored(spark.range(2), "x").count() == 2
+
+
+def test_half_way_cosines_round_as_in_sql(spark):
+    """65/128 is 0.5078125, and a vector of these eighths has a length of exactly 1."""
+    v = [(1, [65 / 128, 110 / 128, 7 / 128, 3 / 128, 1 / 128, 0.0]), (2, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    assert sum(x * x for x in v[0][1]) == 1.0
+    vectors = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [1.0] + [0.0] * 5), (8, [-1.0] + [0.0] * 5)], "query_id long, embedding array<float>")
+    found = {(r.query_id, r.doc): r.score for r in vector.vector_search(queries, vectors, 2).collect()}
+    assert found[7, 1] == 0.507813 and found[8, 1] == -0.507813 and found[7, 2] == 0.0
+
+
+def test_embedding_of_a_long_text_has_the_exact_length():
+    """4097 squared is beyond what a float holds exactly."""
+    counts = [4097] * 3 + [5] * 7
+    alone = {}
+    for w in map("w{}".format, range(200)):
+        alone.setdefault(int(np.flatnonzero(models.hashing_embedder()([w])[0])[0]), w)
+    own = list(alone.values())[: len(counts)]
+    text = " ".join(" ".join([w] * n) for w, n in zip(own, counts, strict=True))
+    length = np.float32(np.sqrt(sum(n * n for n in counts)))
+    assert sorted(np.abs(models.hashing_embedder()([text])[0]))[-10:] == sorted(np.float32(n) / length for n in counts)
