@@ -215,6 +215,17 @@ def test_similar_rows_against_the_fold(spark):
     assert context.similar_rows_dropped(df.where("false")).collect() == []
 
 
+def test_different_rows_that_share_shingles_need_few_rounds(spark, monkeypatch):
+    rng, names = random.Random(3), []
+    texts = list({" ".join(sorted(rng.sample("abcdefghijkl", 6))) for _ in range(130)})
+    df = spark.createDataFrame([(i, 1.0, t) for i, t in enumerate([*texts, *texts[:3]])], "id long, relevance_score double, text string")
+    keep = context.stored
+    monkeypatch.setattr(context, "stored", lambda own, name: names.append(name) or keep(own, name))
+    found = {r.id: r.unique for r in context.similar_rows_dropped(df, 0.8, shingles=lambda c: F.split(c, " ")).collect()}
+    assert found == {i: i < len(texts) for i in range(len(texts) + 3)}
+    assert names.count("unique") <= 8
+
+
 def taken_in_turn(rows, quota, total):
     """Topics one after the other."""
     seen, out = set(), []
