@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import bm25, context, models, profile, vector
 from quern.plans import catalogue, experiments
 from quern.sources import io, remote
-from quern.sources.shared import made_once, shared_folder, stored
+from quern.sources.shared import made_once, parts, shared_folder, stored
 from quern.streaming import incremental
 
 
@@ -125,3 +125,20 @@ def test_embedding_of_a_long_text_has_the_exact_length():
     text = " ".join(" ".join([w] * n) for w, n in zip(own, counts, strict=True))
     length = np.float32(np.sqrt(sum(n * n for n in counts)))
     assert sorted(np.abs(models.hashing_embedder()([text])[0]))[-10:] == sorted(np.float32(n) / length for n in counts)
+
+
+def test_partitions_follow_the_size_of_a_table(spark, tmp_path):
+    path, cores = f"{tmp_path}/a table", spark.sparkContext.defaultParallelism
+    spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("x")).repartition(3).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "a table").iterdir() if not f.name.endswith(".crc"))
+    assert parts(spark, path) == cores and parts(spark, path, size // 50) in (50, 51)
+
+
+def test_index_is_built_in_as_many_parts_as_the_table_asks_for(spark, data, tmp_path, monkeypatch):
+    seen = []
+    keep = bm25.saved_index
+    monkeypatch.setattr(catalogue, "parts", lambda *_: 37)
+    monkeypatch.setattr(catalogue, "made_once", lambda spark, key, make, source: make(str(tmp_path)) or str(tmp_path))
+    monkeypatch.setattr(bm25, "saved_index", lambda *a, **b: seen.append(b["partitions"]) or keep(*a, **b))
+    catalogue._index(spark, data)
+    assert seen == [37]
