@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
 from quern.functions.text import tokens
-from quern.sources.shared import stored
+from quern.sources.shared import bucketed, stored
 
 
 @dataclass(frozen=True)
@@ -62,16 +62,18 @@ def _index(postings: DataFrame, docs: DataFrame) -> Index:
 
 
 def saved_index(documents: DataFrame, path: str, **options) -> Index:
-    """The index, built in one pass over the texts and written to ``path``: terms and sizes come from the written postings and lengths."""
+    """The index, built in one pass over the texts and written to ``path``: terms and sizes come from the written postings and lengths.
+
+    Postings are a table bucketed by document, so neither building it nor adding up a document's score shuffles them.
+    """
     spark = documents.sparkSession
-    doc_id, text, partitions = options.get("doc_id", "doc_id"), options.get("text", "text"), options.get("partitions")
-    own = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    own = own.repartition(partitions, "doc") if partitions else own
+    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    partitions = options.get("partitions") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).repartition(partitions, "doc")
     found = tokens(F.col("text"), options.get("stop_words", L.STOP_WORDS))
     # a document's row with no term is its length
     rows = own.select("doc", found.alias("tokens")).select("doc", F.size("tokens").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/all")
-    every = spark.read.parquet(f"{path}/all")
+    every = bucketed(rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf")), f"{path}/all", partitions, "doc", ["term"])
     built = _index(every.where("term is not null"), every.where("term is null").select("doc", "len"))
     built.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     return Index(built.postings, spark.read.parquet(f"{path}/terms"), built.docs, built.n_docs, built.average_length)
@@ -81,13 +83,27 @@ def inverse_frequency(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+#: Rows of a batch of queries (of a term, or of a term and a level) that are broadcast; more are joined by Spark's choice.
+BROADCAST_ROWS = 1_000_000
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _wanted(queries: DataFrame, terms: DataFrame, query_id: str, text: str, stop_words: list[str]) -> DataFrame:
+    """(term, df, idf, query_id, times) of the queries' words that the index has; they go to the terms and then to the postings, which stay where they are."""
+    own = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    own = stored(own, "wanted")
+    return F.broadcast(terms.join(F.broadcast(own), "term")) if _few(own) else terms.join(own, "term")
+
+
 def scores(index: Index, queries: DataFrame, query_id: str = "query_id", text: str = "text", allowed: DataFrame | None = None, k1: float = L.K1, b: float = L.B, stop_words: list[str] = L.STOP_WORDS) -> DataFrame:
     """(query_id, doc, score) of all documents that share a term; a repeated query word counts each time.
 
     ``allowed`` (doc) is a filter before ranking; statistics stay those of the whole index.
     """
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = wanted.join(index.terms, "term")
+    wanted = _wanted(queries, index.terms, query_id, text, stop_words)
     postings = index.postings if allowed is None else index.postings.join(allowed, "doc", "left_semi")
     found = postings.join(wanted, "term")
     length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(index.average_length or 1.0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.profile import positions
+from quern.sources.shared import stored
 
 
 def compare(results: DataFrame, setting: str = "setting", query_id: str = "query_id", score: str = "score") -> DataFrame:
@@ -43,7 +44,8 @@ def similar_pairs(rows: DataFrame, by: str, item: str, text: str = "text", thres
 
 
 def grid(queries: DataFrame, settings: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """The results of every setting for all queries, with the column setting."""
+    """The results of every setting for all queries, with the column setting; what they start from is made once."""
+    queries = stored(queries, "grid")
     parts = [run(queries).withColumn("setting", F.lit(name)) for name, run in settings.items()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -142,3 +142,20 @@ def test_index_is_built_in_as_many_parts_as_the_table_asks_for(spark, data, tmp_
     monkeypatch.setattr(bm25, "saved_index", lambda *a, **b: seen.append(b["partitions"]) or keep(*a, **b))
     catalogue._index(spark, data)
     assert seen == [37]
+
+
+def test_scores_are_added_up_where_a_document_lies(spark, tmp_path):
+    """Neither the postings nor their scores are shuffled: only the few best of each task."""
+    docs = spark.createDataFrame([(i, f"cat w{i % 5} dog") for i in range(40)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "cat w3"), (2, "dog dog")], "query_id long, text string")
+    saved = bm25.saved_index(docs, str(tmp_path / "i"), partitions=3)
+    plan = bm25.scores(saved, q)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert bm25.search(saved, q, 7).collect() == bm25.search(bm25.build_index(docs), q, 7).collect()
+
+
+def test_a_grid_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.range(4).select(F.udf(lambda x: made.add(1) or x, "long")("id").alias("id"))
+    found = experiments.grid(rows, {"a": lambda d: d, "b": lambda d: d.where("id > 1")}).collect()
+    assert len(found) == 6 and made.value == 4
