@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicon as L
 from quern.functions.text import tokens
-from quern.sources.shared import bucketed, stored
+from quern.sources.shared import bucketed, read_bucketed, stored
 
 
 @dataclass(frozen=True)
@@ -125,16 +125,15 @@ def search(index: Index, queries: DataFrame, k: int = 20, **options) -> DataFram
 
 #: A block holds about so many postings of one term at most, all with weights of one of the levels.
 BLOCK_POSTINGS, LEVELS = 1024, 16
-#: Block keys of a batch of queries that are broadcast; more are joined by Spark's choice.
-BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
 class BlockIndex:
     """Postings in blocks of alike weights, for top-k search that skips blocks.
 
-    ``blocks``: (term, level, part, postings), sorted by term; ``bounds``: (term, level, part, n, bound) with the greatest
-    weight in each block, without the term's idf; ``terms`` as in ``Index``.  Weights hold for the k1 and b that it was built with.
+    ``blocks``: (doc, term, level, part, weight), a table bucketed by document in which a block's postings of a bucket follow each
+    other; ``bounds``: (term, level, part, n, bound) with the greatest weight in each block, without the term's idf; ``terms`` as in
+    ``Index``.  Weights hold for the k1 and b that it was built with.
     """
 
     blocks: DataFrame
@@ -142,53 +141,60 @@ class BlockIndex:
     terms: DataFrame
 
     @staticmethod
-    def build(index: Index, path: str, k1: float = L.K1, b: float = L.B) -> BlockIndex:
-        """One shuffle of the postings; a frequent term is spread over parts by its documents' hashes, so no task holds a whole term."""
+    def build(index: Index, path: str, k1: float = L.K1, b: float = L.B, partitions: int | None = None) -> BlockIndex:
+        """Postings stay with their documents (of a saved index in ``partitions`` they aren't shuffled); a frequent term's blocks are spread over parts by its documents' hashes."""
         length = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(index.average_length or 1.0))
         weight = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + length)
-        parts = F.ceil(F.col("df") / F.lit(BLOCK_POSTINGS)).cast("int")
-        own = index.postings.join(index.terms.select("term", "df"), "term").withColumn("weight", weight)
-        own = own.withColumn("level", F.least(F.lit(LEVELS - 1), F.floor(F.col("weight") / F.lit(k1 + 1) * LEVELS).cast("int"))).withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-        made = own.groupBy("term", "level", "part").agg(F.collect_list(F.struct("doc", "weight")).alias("postings"), F.count("*").alias("n"), F.max("weight").alias("bound"))
-        made.repartitionByRange("term", "level", "part").sortWithinPartitions("term", "level", "part").write.mode("overwrite").parquet(f"{path}/blocks")
+        # only terms of more than a block have parts: one for each BLOCK_POSTINGS postings of the table at most
+        frequent = index.terms.where(F.col("df") > BLOCK_POSTINGS).select("term", F.ceil(F.col("df") / F.lit(BLOCK_POSTINGS)).cast("int").alias("parts"))
+        own = index.postings.join(F.broadcast(frequent) if _few(frequent) else frequent, "term", "left").withColumn("weight", weight)
+        level = F.least(F.lit(LEVELS - 1), F.floor(F.col("weight") / F.lit(k1 + 1) * LEVELS).cast("int"))
+        own = own.select("doc", "term", level.alias("level"), F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "weight")
+        partitions = partitions or int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = bucketed(own.repartition(partitions, "doc"), f"{path}/blocks", partitions, "doc", ["term", "level", "part"])
+        blocks.groupBy("term", "level", "part").agg(F.count("*").alias("n"), F.max("weight").alias("bound")).write.mode("overwrite").parquet(f"{path}/bounds")
         index.terms.write.mode("overwrite").parquet(f"{path}/terms")
         return BlockIndex.load(index.terms.sparkSession, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> BlockIndex:
-        every = spark.read.parquet(f"{path}/blocks")
-        return BlockIndex(every.select("term", "level", "part", "postings"), every.select("term", "level", "part", "n", "bound"), spark.read.parquet(f"{path}/terms"))
+        return BlockIndex(read_bucketed(spark, f"{path}/blocks"), spark.read.parquet(f"{path}/bounds"), spark.read.parquet(f"{path}/terms"))
 
     def _scored(self, keys: DataFrame) -> DataFrame:
-        """(query_id, doc, score) of the postings in the blocks of ``keys`` (query_id, term, level, part, factor); postings aren't shuffled, only their scores."""
-        own = F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-        rows = self.blocks.join(own, ["term", "level", "part"]).select("query_id", "factor", F.explode("postings").alias("x"))
-        return rows.groupBy("query_id", F.col("x.doc").alias("doc")).agg(F.sum(F.col("factor") * F.col("x.weight")).alias("score"))
+        """(query_id, doc, score) of the postings in the blocks of ``keys`` (query_id, term, level, factor, and part unless all are meant); neither postings nor scores are shuffled."""
+        own = F.broadcast(keys) if _few(keys) else keys
+        rows = self.blocks.join(own, [c for c in ("term", "level", "part") if c in keys.columns])
+        return rows.groupBy("query_id", "doc").agg(F.sum(F.col("factor") * F.col("weight")).alias("score"))
 
-    def plan(self, queries: DataFrame, k: int, query_id: str = "query_id", text: str = "text", stop_words: list[str] = L.STOP_WORDS) -> DataFrame:
-        """The blocks of the queries' terms with needed: whether one of their documents may be among the k best.
+    def _levels(self, queries: DataFrame, k: int, query_id: str, text: str, stop_words: list[str]) -> DataFrame:
+        """(query_id, term, level, factor, needed): LEVELS rows for each term of a query at most, however many blocks and postings it has.
 
-        Blocks of each term's best levels give scores that are too low rather than too high; the k-th of them is a floor.  A document in a block scores no more than the block's bound and the other terms' greatest.
+        The best levels of each term give scores that are too low rather than too high; the k-th of them is a floor.  A document in a level scores no more than the level's bound and the other terms' greatest.
         """
-        wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        factors = wanted.join(self.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("factor"))
-        keys = self.bounds.join(factors, "term").withColumn("most", F.col("factor") * F.col("bound"))
-        levels = keys.groupBy("query_id", "term", "level").agg(F.sum("n").alias("own"), F.avg("n").alias("mean"), F.max("most").alias("greatest"))  # LEVELS rows a term at most
+        factors = _wanted(queries, self.terms, query_id, text, stop_words).select("query_id", "term", (F.col("times") * F.col("idf")).alias("factor"))
+        words = factors.select("term").distinct()
+        levels = self.bounds.join(F.broadcast(words) if _few(words) else words, "term").groupBy("term", "level").agg(F.sum("n").alias("own"), F.max("bound").alias("bound"))
+        levels = levels.join(factors, "term").withColumn("most", F.col("factor") * F.col("bound"))
         by_term = Window.partitionBy("query_id", "term")
         above = F.sum("own").over(by_term.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1))
-        levels = levels.select("query_id", "term", "level", "mean", F.max("greatest").over(by_term).alias("greatest"), F.coalesce(above, F.lit(0)).alias("above"))
-        # of a level with many parts as many as have k postings, about
-        keys = keys.join(levels, ["query_id", "term", "level"]).withColumn("first", (F.col("above") < k) & (F.col("part") * F.col("mean") < 2 * k))
-        keys = stored(keys, "blocks")
-        floor = top_k(self._scored(keys.where("first").select("query_id", "term", "level", "part", "factor")), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        every = keys.select("query_id", "term", "greatest").distinct().groupBy("query_id").agg(F.sum("greatest").alias("every"))
-        told = keys.join(every, "query_id").join(floor, "query_id", "left")
+        levels = levels.select("query_id", "term", "level", "factor", "most", F.max("most").over(by_term).alias("greatest"), (F.coalesce(above, F.lit(0)) < k).alias("first"))
+        levels = stored(levels, "levels")
+        floor = top_k(self._scored(levels.where("first").select("query_id", "term", "level", "factor")), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        every = levels.select("query_id", "term", "greatest").distinct().groupBy("query_id").agg(F.sum("greatest").alias("every"))
+        told = levels.join(every, "query_id").join(floor, "query_id", "left")
         # scores are rounded to 6 digits, so a rounding more or less doesn't decide
-        return told.withColumn("needed", F.col("every") - F.col("greatest") + F.col("most") >= F.coalesce("floor", F.lit(0.0)) - 2e-6)
+        needed = F.col("every") - F.col("greatest") + F.col("most") >= F.coalesce("floor", F.lit(0.0)) - 2e-6
+        return stored(told.select("query_id", "term", "level", "factor", needed.alias("needed")), "levels")
+
+    def plan(self, queries: DataFrame, k: int, query_id: str = "query_id", text: str = "text", stop_words: list[str] = L.STOP_WORDS) -> DataFrame:
+        """The blocks of the queries' terms with needed: whether one of their documents may be among the k best."""
+        levels = self._levels(queries, k, query_id, text, stop_words)
+        return self.bounds.join(F.broadcast(levels) if _few(levels) else levels, ["term", "level"])
 
-    def search(self, queries: DataFrame, k: int = 20, **options) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, query_id: str = "query_id", text: str = "text", stop_words: list[str] = L.STOP_WORDS) -> DataFrame:
         """What ``search`` over the whole index gives."""
-        return top_k(self._scored(self.plan(queries, k, **options).where("needed").select("query_id", "term", "level", "part", "factor")), k)
+        levels = self._levels(queries, k, query_id, text, stop_words)
+        return top_k(self._scored(levels.where("needed").select("query_id", "term", "level", "factor")), k)
 
 
 def overfetch(scored: DataFrame, allowed: DataFrame, k: int, factor: int = 5) -> DataFrame:

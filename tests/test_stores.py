@@ -159,3 +159,18 @@ def test_a_grid_makes_its_rows_once(spark):
     rows = spark.range(4).select(F.udf(lambda x: made.add(1) or x, "long")("id").alias("id"))
     found = experiments.grid(rows, {"a": lambda d: d, "b": lambda d: d.where("id > 1")}).collect()
     assert len(found) == 6 and made.value == 4
+
+
+def test_block_scores_are_added_up_where_a_document_lies(spark, tmp_path, monkeypatch):
+    """What is sent to the blocks doesn't grow with their number, and neither postings nor scores are shuffled."""
+    docs = spark.createDataFrame([(i, " ".join(["cat"] * (i % 4) + ["dog"] * (i % 3)) + f" w{i % 5}") for i in range(200)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "cat w3"), (2, "dog dog")], "query_id long, text string")
+    monkeypatch.setattr(bm25, "BLOCK_POSTINGS", 4)
+    saved = bm25.saved_index(docs, str(tmp_path / "i"), partitions=3)
+    index = bm25.BlockIndex.build(saved, str(tmp_path / "b"), partitions=3)
+    sent = index._levels(q, 5, "query_id", "text", bm25.L.STOP_WORDS)
+    assert sent.count() <= 3 * bm25.LEVELS < index.plan(q, 5).count()
+    plan = index._scored(sent.select("query_id", "term", "level", "factor"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    again = bm25.BlockIndex(spark.read.parquet(str(tmp_path / "b" / "blocks")), index.bounds, index.terms)
+    assert index.search(q, 5).collect() == again.search(q, 5).collect() == bm25.search(saved, q, 5).collect()
