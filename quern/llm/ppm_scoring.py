@@ -17,8 +17,9 @@ escapes led there (update exclusion).  The score is log10 of the probability of
 the lower-cased text's bytes and an end symbol.
 
 The word unigram's counts cover all training tokens.  Words that are frequent
-(at most ``max_heavy`` of them, by one least count) are looked up in the tasks;
-all others go through a join on the word, where no key is large by construction.
+(at most ``max_heavy`` of them and 16 MB, by one least count) are looked up in
+the tasks; all others go through a join on the word, where no key is large by
+construction.
 
 Texts that are longer than a slice are walked in windows that overlap by a context.
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import crc_bucket, distinct, dropped, slices, spaced, stored, task, text_slices
 
-ORDER, MAX_HEAVY = 5, 200_000
+ORDER, MAX_HEAVY, _HEAVY_BYTES = 5, 200_000, 16_000_000
 #: What an estimate takes from each seen symbol for the escape.
 DISCOUNT = 0.3
 #: Symbols that no UTF-8 text holds: what stands before a text, and what ends it.
@@ -54,6 +55,8 @@ _SYMBOLS = 256
 _SLICE_BYTES = 300_000
 #: Characters of a chunk; n-grams that are evaluated together, a bucket at least; bytes that wait in memory meanwhile.
 _CHUNK_CHARS, _TOGETHER, _WAITING = 16_000_000, 200_000, 16_000_000
+#: Bytes of rows that are taken out of an Arrow batch together; n-grams that are summed, hashed, evaluated or sent together.
+_TAKEN, _AT_ONCE = 4_000_000, 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -107,6 +110,11 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts, first)
 
 
+def _blocks(n: int) -> Iterator[slice]:
+    """Consecutive ranges of ``n`` entries."""
+    return (slice(start, min(start + _AT_ONCE, n)) for start in range(0, n, _AT_ONCE))
+
+
 class HashedCodes:
     """Open addressing: code -> position in the given array."""
 
@@ -115,8 +123,11 @@ class HashedCodes:
         size = 1 << (64 - int(self.shift))
         self.mask = size - 1
         self.keys, self.position = np.full(size, _EMPTY), np.zeros(size, np.int32)
-        todo = np.arange(len(codes))
-        slot = (codes * _HASH >> self.shift).astype(np.int64)
+        for block in _blocks(len(codes)):
+            self._put(codes, np.arange(block.start, block.stop))
+
+    def _put(self, codes: np.ndarray, todo: np.ndarray) -> None:
+        slot = (codes[todo] * _HASH >> self.shift).astype(np.int64)
         while len(todo):
             free = self.keys[slot] == _EMPTY
             self.keys[slot[free]] = codes[todo[free]]
@@ -163,24 +174,27 @@ class PartialMatching:
         self.contexts, self.total, self.kinds, self.excluded = [], [], [], []
         for j in range(self.order + 1):
             own = self.grams[j] >> np.uint64(8)
-            contexts, inverse = np.unique(own, return_inverse=True)
-            self.contexts.append(contexts)
-            self.total.append(np.bincount(inverse, self.counts[j], len(contexts)))
-            self.kinds.append(np.bincount(inverse, minlength=len(contexts)))
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+            self.contexts.append(own[first])
+            self.total.append(self._by_context(self.counts[j], first))
+            self.kinds.append(np.diff(first, append=len(own)))
             if j:  # what the symbols of a context weigh after the context shorter by one
-                shorter = self.counts[j - 1][_at(self.grams[j - 1], self._suffix(self.grams[j], j))]
-                self.excluded.append(np.bincount(inverse, shorter, len(contexts)))
+                self.excluded.append(self._by_context(self.counts[j - 1][_at(self.grams[j - 1], self._suffix(self.grams[j], j))], first))
             else:
-                self.excluded.append(np.zeros(len(contexts)))
+                self.excluded.append(np.zeros(len(first)))
         j = self.order
-        at = np.searchsorted(self.contexts[j], self.grams[j] >> np.uint64(8))
-        self.longest = np.log10((self.counts[j] - DISCOUNT) / self.total[j][at]) if len(at) else np.empty(0)
+        self.longest = np.log10((self.counts[j] - DISCOUNT) / np.repeat(self.total[j], self.kinds[j]))
         self.table = None
 
     def __getstate__(self) -> dict:
         """The hash table is made where it is used."""
         return self.__dict__ | {"table": None}
 
+    @staticmethod
+    def _by_context(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sums for each context, whose n-grams begin at ``first``."""
+        return np.add.reduceat(counts, first).astype(float) if len(first) else np.empty(0)
+
     @staticmethod
     def _suffix(codes: np.ndarray, length: int) -> np.ndarray:
         """The last ``length`` bytes."""
@@ -268,22 +282,36 @@ def _unpacked(value: bytes) -> pa.RecordBatch:
 
 
 class _Sums:
-    """Distinct codes with their sums, gathered part by part."""
+    """Distinct codes with their sums, gathered part by part: what is fresh is at most half of what is summed, so only a part of it is sorted at a time."""
 
     def __init__(self):
-        self.parts, self.fresh = [], 0
+        self.summed, self.parts, self.fresh = None, [], 0
+
+    def __len__(self) -> int:
+        """Codes that are held, those of fresh parts as often as they came."""
+        return self.fresh + (len(self.summed[0]) if self.summed else 0)
 
     def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((codes, counts))
         self.fresh += len(codes)
-        if self.fresh > max(1_000_000, 2 * len(self.parts[0][0])):
+        if self.fresh > max(_AT_ONCE, (len(self) - self.fresh) // 2):
             self.done()
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
-        self.fresh = 0
-        return self.parts[0]
+        if self.parts:
+            parts, self.parts, self.fresh = self.parts, [], 0
+            codes, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            if self.summed:
+                old, sums = self.summed
+                at = np.searchsorted(old, codes)
+                known = at < len(old)
+                known[known] = old[at[known]] == codes[known]
+                sums[at[known]] += counts[known]
+                codes, counts, at = codes[~known], counts[~known], at[~known]
+                self.summed = None
+                codes, counts = np.insert(old, at, codes), np.insert(sums, at, counts)
+            self.summed = codes, counts
+        return self.summed
 
 
 def _chunked(docs: DataFrame, order: int) -> DataFrame:
@@ -301,11 +329,12 @@ def _chunked(docs: DataFrame, order: int) -> DataFrame:
             return out
 
         def of_chunk():
-            own, counts = sums.done()
-            bucket = (own >> keys.rest_bits).astype(np.int32)
-            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(own))
-            rest = (own & np.uint64((1 << int(keys.rest_bits)) - 1)).astype(keys.rest_type)
-            return _rows(_CHUNKED, len(ends), chunk=pa.array(np.full(len(ends), chunk)), bucket=pa.array(bucket[ends - 1]), grams=_binary(rest, ends), counts=_binary(counts.astype("<u4"), ends))
+            codes, often = sums.done()
+            cuts = np.flatnonzero(np.diff((codes >> keys.rest_bits).astype(np.int32), prepend=-1, append=-1))
+            for start, end in slices(np.diff(cuts).tolist(), _AT_ONCE):  # whole buckets
+                own, counts, ends = codes[cuts[start] : cuts[end]], often[cuts[start] : cuts[end]], cuts[start + 1 : end + 1] - cuts[start]
+                rest = (own & np.uint64((1 << int(keys.rest_bits)) - 1)).astype(keys.rest_type)
+                yield _rows(_CHUNKED, len(ends), chunk=pa.array(np.full(len(ends), chunk)), bucket=pa.array((own[ends - 1] >> keys.rest_bits).astype(np.int32)), grams=_binary(rest, ends), counts=_binary(counts.astype("<u4"), ends))
 
         for own, raw in text_slices(batches, most=_SLICE_BYTES):
             held = own.column(2).to_pylist()
@@ -330,13 +359,13 @@ def _chunked(docs: DataFrame, order: int) -> DataFrame:
                     read += sum(map(len, texts))
             chars += sum(map(len, raw))
             if chars >= _CHUNK_CHARS:
-                yield of_chunk()
+                yield from of_chunk()
                 chunk, chars, sums = chunk + 1, 0, _Sums()
             if len(words) > 200_000 or read > 100_000_000:  # the second for long words
                 yield of_words()
                 read = 0
-        if sums.parts:
-            yield of_chunk()
+        if len(sums):
+            yield from of_chunk()
         yield of_words()
         seen = np.flatnonzero(short) if keys.ends else np.empty(0, np.int64)
         yield _rows(_CHUNKED, len(seen), gram=pa.array(seen), n=pa.array(np.ones(len(seen), np.int64)))
@@ -345,13 +374,13 @@ def _chunked(docs: DataFrame, order: int) -> DataFrame:
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
-    """The least n such that at most ``most`` rows have n or more; looks at a bounded histogram."""
+    """The least n such that at most ``most`` words of ``_HEAVY_BYTES`` have n or more; looks at a bounded histogram."""
     bucket = F.floor(F.log2("n") * 8).cast("int")
-    found = counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("bucket")).collect()
-    least, rows = (found[0].n + 1 if found else 1), 0
+    found = counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("word")).alias("size"), F.min("n").alias("n"), F.max("n").alias("top")).orderBy(F.desc("bucket")).collect()
+    least, rows, size = (found[0].top + 1 if found else 1), 0, 0
     for row in found:
-        rows += row.rows
-        if rows > most:
+        rows, size = rows + row.rows, size + row["size"]
+        if rows > most or size > _HEAVY_BYTES:
             break
         least = row.n
     return least
@@ -368,37 +397,31 @@ class _Buckets:
         self._clear()
         last = None
         for batch in batches:
-            bucket = batch.column(1).to_numpy()
+            bucket = batch.column(1).to_numpy().copy()  # a view would keep the whole batch
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else []
             for start, end in zip(cuts, cuts[1:], strict=False):
-                if last is not None and bucket[start] != last and sum(len(p[0]) for p in self.parts) >= _TOGETHER:
-                    yield self._sum()
+                if last is not None and bucket[start] != last and len(self.sums) >= _TOGETHER:
+                    yield self.sums.done()
                     self._clear()
                 last = bucket[start]
                 self._add(batch.slice(start, end - start))
-        if self.parts:
-            yield self._sum()
+            batch = None  # before the next one comes
+        if len(self.sums):
+            yield self.sums.done()
         self.file.close()
 
     def _clear(self) -> None:
-        self.parts, self.index, self.fresh = [], [], 0
+        self.sums, self.index = _Sums(), []
         self.file = tempfile.SpooledTemporaryFile(_WAITING)
 
-    def _sum(self) -> tuple[np.ndarray, np.ndarray]:
-        self.parts, self.fresh = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
-        return self.parts[0]
-
     def _add(self, rows: pa.RecordBatch) -> None:
-        for at, size in slices(pc.binary_length(rows.column(2)).to_pylist(), 4_000_000):
+        for at, size in slices(pc.binary_length(rows.column(2)).to_pylist(), _TAKEN):
             part = rows.slice(at, size - at)
             rests, lengths = b"".join(part.column(2).to_pylist()), pc.binary_length(part.column(2)).to_numpy()
-            buckets = part.column(1).to_numpy()
+            chunks, buckets = (part.column(i).to_numpy().copy() for i in range(2))
             self.file.write(rests)
-            self.index.append((part.column(0).to_numpy(), buckets, lengths))
-            self.parts.append((self.keys.joined(buckets, lengths, rests), np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4").astype(np.int64)))
-            self.fresh += len(self.parts[-1][0])
-            if self.fresh > max(1_000_000, 2 * len(self.parts[0][0])):
-                self._sum()
+            self.index.append((chunks, buckets, lengths))
+            self.sums.add(self.keys.joined(buckets, lengths, rests), np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4").astype(np.int64))
 
     def waiting(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
         """(chunks, buckets, bytes of each row's rests, all these bytes)."""
@@ -416,10 +439,10 @@ def _by_length(codes: np.ndarray, counts: np.ndarray, most: int, least: int = 0)
     return out
 
 
-def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
+def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int, tasks: int) -> DataFrame:
     """(chunk, bucket, logs): for each row of ``grams`` the log10 of each n-gram's last symbol."""
     keys = Keys(order)
-    rows = grams.repartition("bucket").sortWithinPartitions("bucket")
+    rows = grams.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +450,9 @@ def _logs(grams: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int
         for found, counts in waiting.read(batches):
             seen = counts > 0
             parts = [*low, *_by_length(keys.codes(found[seen]), counts[seen], order, keys.ends)]
-            logs = PartialMatching(order, [p[0] for p in parts], [p[1] for p in parts]).log10(keys.codes(found)).astype("<f4")
+            model = PartialMatching(order, [p[0] for p in parts], [p[1] for p in parts])
+            logs = np.concatenate([model.log10(keys.codes(found[block])).astype("<f4") for block in _blocks(len(found))])
+            del parts, model
             for chunks, buckets, lengths, rests in waiting.waiting():
                 own = logs[np.searchsorted(found, keys.joined(buckets, lengths, rests))]
                 ends = np.cumsum(lengths) // keys.rest_type.itemsize
@@ -450,7 +475,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_heavy: int = MAX_HE
     # 256 ** ends rows at most
     shortest = counts.where("gram is not null").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * ends) - 1)).alias("gram")).agg(F.count("*").alias("n")).toArrow()
     low = _by_length(shortest.column(0).to_numpy().astype(np.uint64), shortest.column(1).to_numpy().astype(np.int64), ends - 1) if ends else []
-    logs = _logs(chunked.where("bucket >= 0").select("chunk", "bucket", "grams", "counts"), low, order)
+    # a task for each chunk, so what a task reads doesn't grow with the table
+    tasks = max(spark.sparkContext.defaultParallelism, chunked.where("bucket = -1").select("chunk").distinct().count())
+    logs = _logs(chunked.where("bucket >= 0").select("chunk", "bucket", "grams", "counts"), low, order, tasks)
     least = _least_count(words, max_heavy)
     heavy = {bytes(w): float(np.log10(n + 0.1)) for w, n in zip(*words.where(F.col("n") >= least).toArrow().to_pydict().values(), strict=True)}
     sent = spark.sparkContext.broadcast(heavy)
@@ -462,7 +489,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_heavy: int = MAX_HE
 
     def scored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Slices of a chunk's documents with the table of its n-grams and their logarithms, which come after them by bucket."""
-        packed, logs, last = [], [], None
+        packed, logs, last = [], bytearray(), None
 
         def whole_chunk():
             sums = _Sums()
@@ -470,20 +497,25 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_heavy: int = MAX_HE
                 for _, group in windows([lowered(x) for x in _unpacked(value).column("text").to_pylist()], order):
                     codes = distinct(keys.of(gram_codes(group, order)[0]))
                     sums.add(codes, np.zeros(len(codes), np.int8))
-            table, values = HashedCodes(sums.done()[0]), np.concatenate(logs)
+            table, values = HashedCodes(sums.done()[0]), np.frombuffer(logs, "<f4")
+            del sums
             for value in packed:
                 yield _unpacked(value), table, values
 
+        part = None
         for batch in batches:
-            for chunk, bucket, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if chunk != last:
-                    if packed:
-                        yield from whole_chunk()
-                    last, packed, logs = chunk, [], []
-                if bucket < 0:
-                    packed.append(value)
-                else:
-                    logs.append(np.frombuffer(value, "<f4"))
+            for start, end in slices(pc.binary_length(batch.column(2)).to_pylist(), _TAKEN):
+                part = batch.slice(start, end - start)
+                for chunk, bucket, value in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if chunk != last:
+                        if packed:
+                            yield from whole_chunk()
+                        last, packed, logs = chunk, [], bytearray()
+                    if bucket < 0:
+                        packed.append(value)
+                    else:
+                        logs += value
+            batch = part = None  # before the next one comes
         if packed:
             yield from whole_chunk()
 
@@ -519,7 +551,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_heavy: int = MAX_HE
         dropped(sent)  # the joins that follow need the memory
 
     texts = chunked.where("bucket = -1").select("chunk", "bucket", F.col("grams").alias("logs"))
-    together = texts.unionByName(logs).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    together = texts.unionByName(logs).repartition(tasks, "chunk").sortWithinPartitions("chunk", "bucket")
     done = stored(together.mapInArrow(task(run), f"row long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rest array<struct<word:binary,n:int>>"), "scored")
     rare = done.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.n")
     looked = rare.join(words.where(F.col("n") < least).withColumnRenamed("n", "c"), "word", "left")

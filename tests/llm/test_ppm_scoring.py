@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, empty
 
-from quern.llm.ppm_scoring import DISCOUNT, HashedCodes, PartialMatching, _by_length, gram_codes, lowered, score_documents, windows
+from quern.llm.ppm_scoring import DISCOUNT, HashedCodes, Keys, PartialMatching, _Buckets, _by_length, _Sums, gram_codes, lowered, score_documents, windows
 
 
 def codes_of(texts, order, most=None):
@@ -129,3 +130,58 @@ def test_odd_tables(spark):
     assert score_documents(empty(spark)).count() == 0
     alone = score_documents(documents(spark, ["ab"], [None])).first()  # nothing to learn from
     assert alone.score == pytest.approx(-3 * math.log10(256)) and alone.n_known == 0 and alone.train_tokens == 0
+
+
+def test_sums_are_those_of_a_counter(monkeypatch):
+    monkeypatch.setattr("quern.llm.ppm_scoring._AT_ONCE", 7)
+    rng, sums, want = np.random.default_rng(0), _Sums(), Counter()
+    for _ in range(60):
+        codes = rng.integers(0, 50, rng.integers(0, 6)).astype(np.uint64)
+        counts = rng.integers(0, 3, len(codes))
+        sums.add(codes, counts)
+        for code, n in zip(codes.tolist(), counts.tolist(), strict=True):
+            want[code] += n
+    codes, counts = sums.done()
+    assert codes.tolist() == sorted(want) and counts.tolist() == [want[c] for c in sorted(want)]
+
+
+def test_waiting_rows_keep_no_batch(monkeypatch):
+    """A bucket of many batches: what waits of them isn't their buffers."""
+    monkeypatch.setattr("quern.llm.ppm_scoring._WAITING", 1)
+    keys, held = Keys(5), []
+
+    def batches():
+        grams, counts = (np.arange(50_000, dtype="<u4").tobytes() for _ in range(2))
+        for chunk in range(20):
+            rows = pa.record_batch([pa.array([chunk]), pa.array([7], pa.int32()), pa.array([grams], pa.binary()), pa.array([counts], pa.binary())], names=["chunk", "bucket", "grams", "counts"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema) as writer:
+                writer.write_batch(rows)
+            del rows
+            held.append(pa.total_allocated_bytes())
+            yield pa.ipc.open_stream(out.getvalue()).read_next_batch()
+
+    waiting = _Buckets(keys)
+    (found,) = [(codes, counts) for codes, counts in waiting.read(batches())]
+    assert len(found[0]) == 50_000 and found[1].tolist() == [20 * i for i in range(50_000)]
+    assert max(held) - held[0] < 4 * 400_000
+
+
+def test_tasks_grow_in_number_and_words_are_sent_by_bytes(spark, monkeypatch):
+    """Each chunk is a task's work whatever the shuffle's partitions; words beyond the bytes that are sent go through the join."""
+    monkeypatch.setattr("quern.llm.ppm_scoring._HEAVY_BYTES", 100, raising=False)
+    monkeypatch.setattr("quern.llm.ppm_scoring._CHUNK_CHARS", 200)
+    monkeypatch.setattr("quern.llm.ppm_scoring._SLICE_BYTES", 100)
+    texts = [f"{'x' * 150} a a a b{i} {'é' * 60}" for i in range(40)]
+    docs = documents(spark, texts, [*range(40)]).repartition(2)
+    sent, dealt, frame = [], [], type(docs)
+    broadcast, repartition = type(spark.sparkContext).broadcast, frame.repartition
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: dealt.append(by) or repartition(self, *by))
+    got = {r.doc_id: r for r in score_documents(docs).collect()}
+    assert [n >= 20 for n, _ in dealt] == [True, True] and list(sent[0]) == [b"a"]
+    words = lambda t: [*lowered(t).split(), b""]
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in words(t))
+    size = math.log10(counts.total() + 0.1 * (len(counts) + 1))
+    for i, t in enumerate(texts):
+        assert got[i].base_score == pytest.approx(sum(math.log10(counts[w] + 0.1) - size for w in words(t))) and got[i].n_known == sum(counts[w] > 0 for w in words(t))
