@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.sources.shared import shared_folder, stored
 
 #: Texts that are handled together in a Python worker hold about this many characters.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 750_000
 #: A worker forgets its word hashes when it holds so many.
 CACHED_WORDS = 250_000
 
@@ -35,10 +35,20 @@ _KEPT: dict[str, object] = {}
 Batches = Iterator[pa.RecordBatch]
 
 
+def _given_back() -> None:
+    """Free memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def kept(name: str, make: Callable[[], object]):
     """The worker's object of that name, made if it isn't there."""
     if name not in _KEPT:
         _KEPT[name] = make()
+        _given_back()
     return _KEPT[name]
 
 
@@ -56,11 +66,7 @@ def task(function: Callable[[Batches], Batches], keeps: str = "") -> Callable[[B
         try:
             yield from function(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _given_back()
 
     return run
 

@@ -30,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LONG_WORD, kept, stored, task, text_slices
+from quern.llm.common import LONG_WORD, kept, slices, stored, task, text_slices
 from quern.llm.ppm_scoring import HashedCodes
 
 #: Characters of texts that are encoded together.
-_TOGETHER = 3_000_000
+_TOGETHER = 1_000_000
+#: Bytes of distinct pre-tokens that are merged together.
+_MERGED = 100_000
 
 
 def _byte_units() -> dict[int, str]:
@@ -107,8 +109,13 @@ class BytePairs:
         return np.array([x.id for x in self.model.tokenize("".join(map(_UNITS.__getitem__, piece)))], np.uint64)
 
     def merged(self, pieces: pa.Array) -> Ragged:
-        """The ids of each pre-token (none empty): again and again, each merges its first pair of the least rank."""
+        """The ids of each pre-token (none empty), merged some at a time."""
         raw = pieces.cast(pa.large_binary())
+        done = [self._merged(raw.slice(start, end - start)) for start, end in slices(pc.binary_length(raw).to_pylist(), _MERGED)]
+        return Ragged(np.concatenate([x.values for x in done]), np.cumsum(np.concatenate([[0], *(np.diff(x.bounds) for x in done)]))) if done else self._merged(raw)
+
+    def _merged(self, raw: pa.Array) -> Ragged:
+        """Again and again, each pre-token merges its first pair of the least rank."""
         bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
         sizes = np.diff(bounds)
         long = np.flatnonzero(sizes > LONG_WORD)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import WordHashes, mix64, task, text_slices, window_hashes
@@ -117,6 +117,11 @@ def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return float(cuts[int(np.argmin(cost))])
 
 
+def _marked(spark: SparkSession, good: list[int], bad: list[int]) -> DataFrame:
+    """(doc_id, good). By Arrow, since rows of Python go through workers of their own, which stay beside the operators'."""
+    return spark.createDataFrame(pa.table({"doc_id": pa.array([*good, *bad], pa.int64()), "good": np.repeat([True, False], [len(good), len(bad)])}))
+
+
 def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 10_000, smoothing: float = 0.5) -> QualityModel | None:
     """Counts over all rows of ``docs``; None where one of the labels has no row."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -131,9 +136,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 10_000,
     target[counts.bucket] += counts.target
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     model = QualityModel(ratio, -np.inf)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i, True) for i in good] + [(i, False) for i in bad], "doc_id long, good boolean")
-    labelled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(_marked(docs.sparkSession, good, bad)), "doc_id")
     schema = pa.schema([("score", pa.float64()), ("good", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,3 +88,21 @@ def test_repeated_rows_keep_their_pieces(spark):
     docs = documents(spark, ["a b"] * 50, [None] * 50)
     rows = pack(docs, PATH, group_size=8).collect()
     assert len(rows) == 50 and len({(r.sequence_id, r.offset) for r in rows}) == 50
+
+
+def test_merging_holds_a_part_of_the_pre_tokens():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pairs = WordEncoder(PATH).pairs
+    rng = random.Random(8)
+    pieces = pa.array(["".join(rng.choices("abcdefghij", k=10)) for _ in range(100_000)])
+    tracemalloc.start()
+    found = pairs.merged(pieces)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(pieces) and most < 40 << 20, most
+    for i in [0, 1, *rng.sample(range(len(pieces)), 500), len(pieces) - 1]:
+        letters = pieces[i].as_py()
+        assert found[i].tolist() == [x.id for x in pairs.model.tokenize(letters)]

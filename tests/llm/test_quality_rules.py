@@ -106,3 +106,12 @@ def test_odd_tables(spark):
     got = {r.doc_id: r for r in quality_rules(documents(spark), None).collect()}
     assert len(got) == documents(spark).count() and got[0].n_words == 0 and not got[0].kept and got[7].n_words == 60_001
     assert quality_rules(empty(spark), None).count() == 0
+
+
+def test_sampled_ids_start_no_python_workers(spark):
+    from quern.llm.quality_rules import _marked
+
+    ids = _marked(spark, [3, 1], [2])
+    assert sorted(map(tuple, ids.collect())) == [(1, True), (2, False), (3, True)]
+    assert _marked(spark, [3], []).dtypes == [("doc_id", "bigint"), ("good", "boolean")]
+    assert "PythonRDD" not in ids._jdf.queryExecution().toRdd().toDebugString()
